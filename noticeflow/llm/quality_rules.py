@@ -33,14 +33,18 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a WINDOW-word window found twice or more in the array, first ones included."""
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda a plain expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def window_hashes(words: Column) -> Column:
+    """A hash of every WINDOW-word window in text order; null if there is at most one."""
     n = F.size(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = F.when(
-        n >= WINDOW + 1, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-    )
-    return windows
+    return F.when(n > WINDOW, bound(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda hs: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hs, i, WINDOW))),
+    ))
 
 
 def covered(windows: Column) -> Column:
@@ -57,8 +61,7 @@ def covered(windows: Column) -> Column:
         gaps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    # transform over one-element arrays binds each step's result to a name, so it is computed once
-    return F.get(F.transform(F.transform(F.array(ranked), places), total), 0)
+    return bound(bound(ranked, places), total)
 
 
 def statistics(docs: DataFrame, text: str = "text", out: tuple[str, ...] = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) -> DataFrame:
@@ -73,7 +76,7 @@ def statistics(docs: DataFrame, text: str = "text", out: tuple[str, ...] = ("n_w
             n_symbols: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             word_chars: F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
         })
-        .withColumn(wins_c, repeated_words(F.col(words_c)))
+        .withColumn(wins_c, window_hashes(F.col(words_c)))
         .withColumns({
             n_words: F.size(words_c).cast("long"),
             n_dup_lines: (F.size(lines_c) - F.size(F.array_distinct(lines_c))).cast("long"),

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, mixing, quality_rules, url_filter
+from noticeflow.llm import bpe, chat, mixing, quality_rules, topk, url_filter, warc
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -121,11 +121,45 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.page_records(warc.read_archives(spark, warc.write_archives(pages, min_bytes=0)))
+
+
+_DIGIT32 = lambda i: f"to_base(('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT, 32, 4)"
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  translate({' || '.join(_DIGIT32(i) for i in range(8))}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  max(page_id) OVER (PARTITION BY html) AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to FROM d
+"""
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe": op4_bpe,
     "op6_chat_format": op6_chat_format,
+    "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_topk": op9_topk,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL}

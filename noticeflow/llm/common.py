@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the word rules of this package know it: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -59,11 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def native_sum(blobs: list[bytes], dtype) -> np.ndarray:
-    out = np.frombuffer(blobs[0], dtype).copy()
-    for b in blobs[1:]:
-        out += np.frombuffer(b, dtype)
-    return out
+def arrow_columns(batch: pa.RecordBatch, add: dict[str, pa.Array], drop: Iterable[str] = ()) -> pa.RecordBatch:
+    """The batch with columns added or replaced, and some left out."""
+    cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names) if n not in set(drop)}
+    return pa.RecordBatch.from_pydict(cols | add)
+
+
+def with_fields(df: DataFrame, add: dict[str, T.DataType], drop: Iterable[str] = ()) -> T.StructType:
+    """The schema that arrow_columns gives."""
+    fields = {f.name: f for f in df.schema.fields if f.name not in set(drop)}
+    return T.StructType([*(fields | {n: T.StructField(n, t) for n, t in add.items()}).values()])
 
 
 # ------------------------------------------------------- blocked Bloom filter

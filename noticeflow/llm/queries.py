@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, mixing, quality_rules, topk, url_filter, warc
+from noticeflow.llm import bpe, chat, html_text, mixing, quality_model, quality_rules, topk, url_filter, warc
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -71,6 +71,12 @@ SELECT doc_id, source, lang, n_chars, text, copy_no,
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    tree = html_text.train(html_text.labelled_blocks(spark))
+    return html_text.extract(pages, tree).select("page_id", "url", "text", "n_chars")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokenizer = bpe.load(spark, tokenizer_path())
@@ -82,6 +88,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+THRESHOLD = 0.3
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = written(quality_model.statistics(docs), "stats")
+    model = quality_model.fit(stats, table(spark, sf_dir, "labels"))
+    return quality_model.score(stats, model).select(
+        "doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
@@ -156,7 +175,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
+    "op3_html_text": op3_html_text,
     "op4_bpe": op4_bpe,
+    "op5_quality_model": op5_quality_model,
     "op6_chat_format": op6_chat_format,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,

@@ -133,7 +133,7 @@ def bloom_build(keys: DataFrame, hash_col: str, n_blocks: int, slices: int = 16)
     parts = (
         keys.select(F.col(hash_col).cast("long").alias("h")).where("h is not null")
         .mapInPandas(local, "slice int, words binary")
-        .groupBy("slice").applyInPandas(_iterated(merge), "slice int, words binary")
+        .groupBy("slice").applyInPandas(iterated(merge), "slice int, words binary")
     )
     words = np.zeros((n_blocks, 8), np.uint32)
     for r in parts.collect():  # n_blocks * 32 bytes in all
@@ -141,7 +141,7 @@ def bloom_build(keys: DataFrame, hash_col: str, n_blocks: int, slices: int = 16)
     return words
 
 
-def _iterated(fn):
+def iterated(fn):
     """A grouped function that gets its group in batches."""
     from collections.abc import Iterator
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, html_text, mixing, quality_model, quality_rules, topk, url_filter, warc
+from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, quality_model, quality_rules, topk, url_filter, warc
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -172,6 +172,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.join(docs, k=5, percent=75)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -182,5 +187,6 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL}

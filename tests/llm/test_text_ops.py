@@ -1,0 +1,200 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from noticeflow.llm import bpe, html_text, quality_model, quality_rules, queries
+
+tokenizers = pytest.importorskip("tokenizers")
+
+
+@pytest.fixture(scope="module")
+def tools():
+    path = queries.tokenizer_path()
+    spec = bpe.read_spec(path)
+    return bpe.Encoder(spec), bpe.Decoder(spec), tokenizers.Tokenizer.from_file(path)
+
+
+def same(tools, s):
+    enc, dec, lib = tools
+    want = lib.encode(s, add_special_tokens=False).ids
+    got = np.frombuffer(enc.encode(s), np.int32)
+    assert list(got) == want, s
+    assert dec.decode(got).decode() == lib.decode(want, skip_special_tokens=False), s
+
+
+def test_bpe_equals_the_library(tools):
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz'ABC é0123 .,!<|\u0301Σñ#$%\u00a0\x1c\x85\u2028\tß世界🙂"
+    for _ in range(3000):
+        same(tools, "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))))
+    vocab = [t.replace("</w>", "") for t in tools[2].get_vocab()]
+    for _ in range(3000):
+        same(tools, "".join(rng.choice(vocab) for _ in range(rng.randint(1, 5))))
+    for s in ("", " ", "a<|endoftext|>b <|startoftext|><|endoftext|>", "x" * 20_000, "thethethe" * 3000, "<|endoftext", "don't 'S 's'S", "İstanbul ΣΑΣ"):
+        same(tools, s)
+
+
+def test_bpe_with_little_memory(tools, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_CACHED", 3)
+    fresh = (bpe.Encoder(bpe.read_spec(queries.tokenizer_path())), *tools[1:])
+    rng = random.Random(2)
+    for _ in range(200):
+        same(fresh, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(20)))
+
+
+def test_bpe_on_tables(spark, tools):
+    texts = ["Hello  World", "", None, "Hello  World", "é" * 50_000]
+    docs = spark.createDataFrame([(None if i == 3 else i, t, "old") for i, t in enumerate(texts)], "doc_id int, text string, decoded string")
+    tok = bpe.load(spark, queries.tokenizer_path())
+    out = bpe.decode(bpe.encode(docs, tok), tok).collect()
+    assert [r["ids"] for r in out] == [tools[2].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [r["decoded"] for r in out] == [tools[2].decode(r["ids"], skip_special_tokens=False) for r in out]
+    assert [r["doc_id"] for r in out] == [0, 1, 2, None, 4]
+    assert bpe.encode(docs.limit(0), tok).count() == 0
+
+
+def counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_rule_counts_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [None, "", " \n\t ", "a", "a b c d e f g h", "a b c d e f g h " * 2, "x " * 3000, "é|#\nx\n x\nx\n\n\n", "a\x0bb\x0cc\rd"]
+    texts += ["".join(rng.choice(["a ", "b ", "c\n", "d# ", " ", "\t", "é "]) for _ in range(rng.randint(0, 200))) for _ in range(150)]
+    texts += ["a b c d e f g " * 40_000]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, words string")
+    got = quality_rules.statistics(docs).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got] == [counts(t) for t in texts]
+    assert got[0]["words"] == "clash"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + "."
+
+
+def test_outliers_go_and_clean_texts_stay(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, int(np.exp(rng.gauss(5, 1))) + 25), "en" if i % 3 else None, "hot" if i % 2 else f"s{i % 40}") for i in range(900)]
+    bad = [(1000 + i, " ".join(w + "%%%" for w in prose(rng, 200).split()), "en", "hot") for i in range(12)]
+    bad += [(1100 + i, " | ".join(prose(rng, 200).split()), None, "s1") for i in range(12)]
+    docs = spark.createDataFrame([*rows, *bad, (2000, None, "en", "hot"), (2001, "short", None, None)], "doc_id int, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, min_group=50).collect()}
+    assert sum(out[r[0]]["kept"] for r in rows) >= 899
+    assert not any(out[b[0]]["kept"] for b in bad) and not any(out[b[0]]["base_failed"] for b in bad)
+    assert out[2000]["base_failed"] and out[2001]["base_failed"] and not out[2000]["kept"]
+    assert quality_rules.apply_rules(docs.limit(0)).count() == 0
+
+
+def test_mcd_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.multivariate_normal(np.zeros(5), np.diag([1, 0.3, 0.3, 0.3, 0.5]) + 0.1, 800)
+    x[:80] += 8
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{d} double" for d in quality_rules.DIMS))
+    e = quality_rules.mcd(df).first()
+    got = np.array([e[f"m_{d}"] for d in quality_rules.DIMS])
+    low = np.array([[e[f"l_{a}_{b}"] if (a, b) in quality_rules.PAIRS else 0.0 for b in quality_rules.DIMS] for a in quality_rules.DIMS])
+    # concentration steps in numpy, from the same start
+    floors = np.array(list(quality_rules.FLOORS.values()))
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    m, s = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floors) ** 2)
+    for _ in range(3):
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+        near = x[d <= np.percentile(d, 75)]
+        m, s = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
+    assert np.abs(got - m).max() < 0.02 and np.abs(low @ low.T - s).max() < 0.05
+    assert np.abs(got).max() < 0.2  # the shifted tenth has no say
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html_text.train(html_text.labelled_blocks(spark))
+
+
+PAGES = {
+    "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>A</a></ul></nav><!-- x --><div class=\"ad\">Buy this now and more words here.</div>"
+    "<article><h1>Head &amp; tail</h1><p><b>One\n two<br>three<p>Four &lt;x&gt;</p></article><footer>&copy; f</footer></body></html>": "Head & tail\n\nOne two three\n\nFour <x>",
+    "<body><header><h1>Site</h1></header><main><p class=lead>Lead</p><ul><li>a<li>b</ul><aside><p>no</aside><form><p>no</form><section id=comments><article><p>" + "no " * 60 + "</article></section></main><div class='cookie-notice'><p>" + "no " * 50 + "</div>":
+    "Lead\n\na\n\nb",
+    "<article>a < b <script>x<y</script>c<p class=ad>no<p>yes</article>": "a < b c\n\nyes",
+    "<article><p>open": "open", "": "", None: "", "<p></p>": "", "</div></article><": "", "<article>" + "long " * 50_000 + "</article>": ("long " * 50_000).strip(),
+}
+
+
+def test_main_text(spark, tree):
+    rows = [(i, "u", h, "old") for i, h in enumerate(PAGES)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
+    out = html_text.extract(df.unionByName(df), tree).orderBy("page_id").collect()
+    assert [r["text"] for r in out] == [t for t in PAGES.values() for _ in range(2)]
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
+    assert html_text.extract(df.limit(0), tree).count() == 0
+
+
+def test_tree_tells_plain_layouts_apart(tree):
+    held_out = html_text.labelled_pages(200, seed=99)
+    right = total = 0
+    for page in held_out:
+        found = html_text.blocks(page, "data-main")
+        keep = html_text.classify(tree, html_text.features(found))
+        right += sum(bool(b[6]) == bool(k) for b, k in zip(found, keep, strict=True))
+        total += len(found)
+    assert right / total > 0.97
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<" * 20_000, "<p class='" * 3000, "<div>" * 5000, "<!--" * 20_000, "&" * 50_000, "<p>" * 20_000):
+        html_text.blocks(page)
+    assert time.time() - start < 20
+
+
+def test_classifier_on_held_out_rows(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1200):
+        good = rng.random() < 0.8
+        text = prose(rng, rng.randint(30, 200))
+        rows.append((i, text if good else rng.choice([text.upper() + "!!", " ".join(w for w in text.split() for _ in range(4)), text.replace(" ", "$$$ ")])))
+        if i % 5:
+            labels.append((i, int(good)))
+    labels += [(3, None), (5, 1)]
+    docs = spark.createDataFrame([*rows, (5000, ""), (5001, None)], "doc_id int, text string")
+    known = spark.createDataFrame(labels, "doc_id int, quality int")
+    stats = quality_model.statistics(docs)
+    model = quality_model.fit(stats, known)
+    out = quality_model.score(stats, model).withColumn("held", quality_model.held_out(F.col("doc_id"))).collect()
+    truth = {i: q for i, q in labels if q is not None}
+    held = [(r["score"] >= 0.3, truth[r["doc_id"]] == 1) for r in out if r["held"] and r["doc_id"] in truth]
+    assert len(held) > 100 and sum(a == b for a, b in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in out) and len(out) == len(rows) + 2
+    import zlib
+
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    direct = {r["doc_id"]: r["score"] for r in quality_model.score(docs, model, text="text").collect()}
+    assert all(abs(direct[r["doc_id"]] - r["score"]) < 1e-12 for r in out)
+    again = quality_model.fit(stats, known)
+    assert np.abs(again.weights - model.weights).max() < 1e-6
+    none = quality_model.fit(stats, known.limit(0))
+    assert {r["score"] for r in quality_model.score(stats, none).collect()} == {0.5}
+    assert quality_model.score(stats.limit(0), model).count() == 0
+
+
+def test_pooling_is_monotone():
+    rng = np.random.default_rng(1)
+    x = np.arange(300.0)
+    n = rng.integers(1, 9, 300).astype(float)
+    s = np.array([rng.binomial(int(k), p) for k, p in zip(n, np.linspace(0.1, 0.9, 300), strict=True)], float)
+    knots, levels = quality_model.pooled(x, n, s)
+    assert (np.diff(levels) > 0).all() and (np.diff(knots) > 0).all()
+    assert hashlib.md5(levels.tobytes()).hexdigest() == hashlib.md5(quality_model.pooled(x, n, s)[1].tobytes()).hexdigest()

@@ -1,0 +1,44 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent.parent))
+import compare
+
+import corpus_pipeline
+from noticeflow.llm import bpe, jaccard, queries
+
+pytestmark = pytest.mark.skipif(not compare.present, reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    compare.same_rows(queries.QUERIES[name](spark, compare.SMALL), compare.connection(compare.SMALL), queries.SQL[name])
+
+
+def test_every_operator_has_its_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = spark.read.parquet(f"{compare.SMALL}/documents.parquet")
+    at, before = docs, {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        from noticeflow.llm.common import written
+
+        out = written(stage(spark, at, compare.SMALL), name)
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert set(ids) <= before and ids
+        if name != "encoding":
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            assert len(ids) == len(set(ids)) == jaccard.join(out).select("component_id").distinct().count()
+        if name == "encoding":
+            assert sorted(ids) == sorted(r["doc_id"] for r in at.collect())
+            row, text = out.first(), {r["doc_id"]: r["text"] for r in at.collect()}
+            import numpy as np
+
+            enc = bpe.Encoder(bpe.read_spec(queries.tokenizer_path()))
+            assert list(np.frombuffer(enc.encode(text[row["doc_id"]]), np.int32)) == row["ids"]
+        at, before = out, set(ids)

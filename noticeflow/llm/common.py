@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,16 @@ def arrow_columns(batch: pa.RecordBatch, add: dict[str, pa.Array], drop: Iterabl
     return pa.RecordBatch.from_pydict(cols | add)
 
 
+#: Rows that a task works on at a time, so that what it makes of an Arrow batch stays small beside the batch.
+ROWS = 256
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_fields(df: DataFrame, add: dict[str, T.DataType], drop: Iterable[str] = ()) -> T.StructType:
     """The schema that arrow_columns gives."""
     fields = {f.name: f for f in df.schema.fields if f.name not in set(drop)}

@@ -42,14 +42,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, iterated, written
+from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, iterated, sliced, written
 
 WORDS = 5
 #: Counters of the sketch of shingle frequencies; one byte each where tasks get it.
 COUNTERS = 1 << 21
 SLICES = 32
 #: Words whose hash a task keeps; beyond that it starts anew.
-MAX_CACHED = 1_000_000
+MAX_CACHED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _word_hashes: dict[bytes, int] = {}
 
@@ -115,7 +115,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     """A row for each document, and at the end this task's counters in slices."""
     counts = np.zeros(COUNTERS, np.uint32)
     some = False
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, signatures, sketches, places = [], [], [], []
         for text in batch.column("text").to_pylist():
             h = shingle_set(text, k)
@@ -123,9 +123,9 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             signatures.append(xxhash.xxh128_digest(h.tobytes()))
             sketches.append(parity(h) if len(h) else b"")
             places.append((h >> np.uint64(40)).astype(np.int32) & (COUNTERS - 1))
-        if sizes:
-            some = True
-            counts += np.bincount(np.concatenate(places), minlength=COUNTERS).astype(np.uint32)
+        some = True
+        at, n = np.unique(np.concatenate(places), return_counts=True)
+        counts[at] += n.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int32()), "signature": pa.array(signatures, pa.binary()),
             "sketch": pa.array(sketches, pa.binary()), "slice": pa.nulls(len(sizes), pa.int32()), "counts": pa.nulls(len(sizes), pa.binary()),
@@ -210,11 +210,12 @@ def boundary(sizes: dict[int, int], share: float, threshold: Fraction, most: int
 PART = 20_000
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light: int, rare, unit: float) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light: int, rare, unit: float, members) -> Iterator[pa.RecordBatch]:
     """List entries (key, node, n, at, parts): a key is a shingle, or a pair of them.
 
     ``at`` is the place of its (second) shingle in the order. ``parts`` says over how many parts a long list is dealt, by
-    the estimate of its shingle; ``unit`` is the count that the rarity 0 stands for.
+    the estimate of its shingle; ``unit`` is the count that the rarity 0 stands for. ``members`` is a filter of the
+    documents that take part; None: all do.
     """
     table = rare.value
 
@@ -222,7 +223,9 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light:
         about = unit * 2.0 ** (table[(hashes >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)] / 4.0)
         return np.where(about > unit, np.ceil(about / PART), 1).astype(np.int32)
 
-    for batch in batches:
+    for batch in sliced(batches):
+        if members is not None:
+            batch = batch.filter(pa.array(bloom_test(members.value, batch.column("h").to_numpy(zero_copy_only=False))))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         keys, nodes, ns, ats, parts = [], [], [], [], []
         for text, node in zip(batch.column("text").to_pylist(), ids, strict=True):
@@ -293,7 +296,7 @@ def _exact_test(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction)
     """Rows come sorted by (a, role): the text of a, then those of all b to hold against it."""
     t, u = threshold.numerator, threshold.denominator
     at, own = None, []
-    for batch in batches:
+    for batch in sliced(batches):
         left, right = [], []
         for a, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text")], strict=True):
             h = shingle_set(text, k)
@@ -306,23 +309,20 @@ def _exact_test(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction)
         yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``nodes``, and perhaps a few more.
-
-    As long as a filter of bounded size tells them apart, no text is shuffled for it; beyond that, by a join.
-    """
+def _filter_of(nodes: DataFrame):
+    """A broadcast filter of the nodes; None where one of bounded size could not tell them apart."""
     count = nodes.count()
     if count * 16 > MAX_BLOCKS * 256:
-        return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    words = docs.sparkSession.sparkContext.broadcast(
-        bloom_build(nodes.select(F.xxhash64("node").alias("h")), "h", bloom_blocks(count))
-    )
+        return None
+    words = bloom_build(nodes.select(F.xxhash64("node").alias("h")), "h", bloom_blocks(count))
+    return nodes.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def listed(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom_test(words.value, h.to_numpy()))
 
-    return docs.where("doc_id is not null").where(listed(F.xxhash64("doc_id")))
+def _only(batches: Iterator[pa.RecordBatch], members) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        kept = batch.filter(pa.array(bloom_test(members.value, batch.column("h").to_numpy(zero_copy_only=False))))
+        if kept.num_rows:
+            yield kept
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -332,7 +332,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, thr
         pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(partial(_sketch_test, threshold=threshold), "a long, b long"), "likely"
     )
     ids = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    texts = _texts_of(docs, ids)
+    # with a filter only texts that it may hold are shuffled; the join that follows is exact
+    members = _filter_of(ids)
+    texts = docs.where("doc_id is not null")
+    if members is not None:
+        texts = texts.withColumn("h", F.xxhash64("doc_id"))
+        texts = texts.mapInArrow(partial(_only, members=members), texts.schema)
     # a hub may have any number of partners: they are dealt over buckets of bounded size, and the hub's text goes to each
     numbered = likely.withColumn("bucket", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     fan = likely.groupBy("a").agg(F.ceil(F.count("*") / F.lit(64)).cast("int").alias("buckets"))
@@ -419,8 +424,12 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     rare = spark.sparkContext.broadcast(rarity(counts))
     unit = mean + 4 * mean**0.5 + 1
     # entries of documents that stand for their class; of a few others that the filter lets through, the copies do no harm
-    entries = _texts_of(docs.where("doc_id is not null"), classes.select("node")).mapInArrow(
-        partial(_keys, k=k, threshold=threshold, light=light, rare=rare, unit=unit), "key long, node long, n int, at int, parts int"
+    members = _filter_of(classes.select("node"))
+    texts = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    if members is None:
+        texts = texts.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    entries = texts.mapInArrow(
+        partial(_keys, k=k, threshold=threshold, light=light, rare=rare, unit=unit, members=members), "key long, node long, n int, at int, parts int"
     ).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     in_part = Window.partitionBy("key", "part")
     entry = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "at")

@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from noticeflow.llm.common import arrow_columns, sliced, with_fields
+
 #: White space that str.split() cuts at, but the tokenizer's ``\s`` does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Encoded chunks that a task keeps; beyond that it starts anew.
-MAX_CACHED = 400_000
+#: Encoded chunks and words that a task keeps of each in a young and in an old table, and pairs known to be compatible or not.
+MAX_CACHED = 80_000
 
 
 def byte_alphabet() -> list[str]:
@@ -73,7 +75,7 @@ class Encoder:
         import ahocorasick
         import regex
 
-        self.spec, suffix = spec, spec["suffix"]
+        suffix, self.added_ids = spec["suffix"], spec["added"]
         inner = lambda t: t[: -len(suffix)] + self.END if t.endswith(suffix) and t != suffix else t
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.ids = {inner(t): i for t, i in spec["vocab"].items()}
@@ -96,18 +98,14 @@ class Encoder:
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
         self.fits: dict[tuple[int, int], bool] = {}
-        strings = [""] * size
-        for t, i in (*spec["vocab"].items(), *spec["added"].items()):
-            strings[i] = t
-        pieces = [f"{s} ".encode() for s in strings]  # decoding parts tokens by a space
-        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
-        self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = regex.compile(spec["pattern"])
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
         self.spaces = regex.compile(r"[^\S\x1c-\x1f]+")
-        self.cache: dict[str, bytes] = {}  # by chunk
-        self.known: dict[str, bytes] = {}  # by word
+        # what was encoded lately, by chunk and by word; a full young table becomes the old one, so what is used often stays
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between tokens a and b open.
@@ -179,16 +177,18 @@ class Encoder:
             low = text.lower()
         else:  # each character is lowered by itself: a final sigma is a sigma
             low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        known, out = self.known, []
+        out = []
         for w in [low] if low.isalpha() and low.isascii() else self.words.findall(low):
-            got = known.get(w)
+            got = self.known.get(w)
             if got is None:
-                letters = w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)
-                got = array("i", self.word(letters)).tobytes()
-                if len(known) >= MAX_CACHED:
-                    known.clear()
+                got = self.old_known.get(w)
+                if got is None:
+                    letters = w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)
+                    got = array("i", self.word(letters)).tobytes()
+                if len(self.known) >= MAX_CACHED:
+                    self.old_known, self.known = self.known, {}
                 if len(w) < 100:
-                    known[w] = got
+                    self.known[w] = got
             out.append(got)
         return b"".join(out)
 
@@ -197,31 +197,41 @@ class Encoder:
             return self.plain(text)
         parts = self.added.split(text)
         return b"".join(
-            array("i", [self.spec["added"][part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(parts)
+            array("i", [self.added_ids[part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(parts)
         )
 
     def encode(self, text: str) -> bytes:
-        cache = self.cache
         if any(c in text for c in NOT_SPACE):
             chunks = [c for c in self.spaces.split(text) if c]
         else:
             chunks = text.split()
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        out = []
+        out, young, old = [], self.chunks, self.old_chunks
         for c in chunks:
-            got = cache.get(c)
+            got = young.get(c)
             if got is None:
-                if len(cache) >= MAX_CACHED:
-                    cache.clear()
-                got = self.chunk(c)
+                got = old.get(c)
+                if got is None:
+                    got = self.chunk(c)
+                if len(young) >= MAX_CACHED:
+                    self.old_chunks, self.chunks = old, young = young, {}
                 if len(c) < 100:
-                    cache[c] = got
+                    young[c] = got
             out.append(got)
         return b"".join(out)
 
+
+class Decoder:
+    """One string of all tokens and where in it each begins."""
+
+    def __init__(self, spec: dict):
+        strings = [""] * (1 + max([*spec["vocab"].values(), *spec["added"].values()]))
+        for t, i in (*spec["vocab"].items(), *spec["added"].items()):
+            strings[i] = t
+        pieces = [f"{s} ".encode() for s in strings]  # decoding parts tokens by a space
+        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.array([len(p) for p in pieces], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens, parted by single spaces."""
         sizes = self.sizes[ids]
@@ -233,45 +243,33 @@ class Encoder:
         return self.blob[shift + np.arange(total)][: total - 1].tobytes()
 
 
-_READY: dict[int, Encoder] = {}
+_READY: dict = {}
 
 
-def encoder(broadcast) -> Encoder:
-    """One encoder a worker process, made from the broadcast tables."""
-    key = broadcast._jbroadcast_id if hasattr(broadcast, "_jbroadcast_id") else id(broadcast.value)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Encoder(broadcast.value)
-    return _READY[key]
+def _ready(kind: type, tables):
+    """One encoder or decoder a worker process, made from the broadcast tables."""
+    spec = tables.value
+    if _READY.get("of") is not spec or "made" not in _READY or not isinstance(_READY["made"], kind):
+        _READY.update(of=spec, made=kind(spec))
+    return _READY["made"]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-    return pa.RecordBatch.from_pydict(cols | {name: values})
-
-
-def _encode(batches: Iterator[pa.RecordBatch], spec, text: str, ids: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(spec)
-    for batch in batches:
+def _encode(batches: Iterator[pa.RecordBatch], tables, text: str, ids: str) -> Iterator[pa.RecordBatch]:
+    enc = _ready(Encoder, tables)
+    for batch in sliced(batches):
         parts = [enc.encode(t or "") for t in batch.column(text).to_pylist()]
         ends = np.cumsum([0, *[len(p) // 4 for p in parts]]).astype(np.int32)
         flat = np.frombuffer(b"".join(parts), np.int32)
-        yield _with_column(batch, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        yield arrow_columns(batch, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
 
-def _decode(batches: Iterator[pa.RecordBatch], spec, ids: str, out: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(spec)
-    for batch in batches:
+def _decode(batches: Iterator[pa.RecordBatch], tables, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    dec = _ready(Decoder, tables)
+    for batch in sliced(batches):
         col = batch.column(ids)
         flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-        texts = [enc.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield _with_column(batch, out, pa.array(texts, pa.binary()).cast(pa.string()))
-
-
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        return T.StructType([T.StructField(f.name, kind) if f.name == name else f for f in df.schema.fields])
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+        texts = [dec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield arrow_columns(batch, {out: pa.array(texts, pa.binary()).cast(pa.string())})
 
 
 def load(spark, path: str):
@@ -281,9 +279,9 @@ def load(spark, path: str):
 
 def encode(docs: DataFrame, tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of every whole text. ``tokenizer`` comes from ``load``."""
-    return docs.mapInArrow(partial(_encode, spec=tokenizer, text=text, ids=ids), _schema(docs, ids, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(partial(_encode, tables=tokenizer, text=text, ids=ids), with_fields(docs, {ids: T.ArrayType(T.IntegerType())}))
 
 
 def decode(tokens: DataFrame, tokenizer, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the text of the ids, special tokens included."""
-    return tokens.mapInArrow(partial(_decode, spec=tokenizer, ids=ids, out=out), _schema(tokens, out, T.StringType()))
+    return tokens.mapInArrow(partial(_decode, tables=tokenizer, ids=ids, out=out), with_fields(tokens, {out: T.StringType()}))

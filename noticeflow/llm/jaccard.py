@@ -14,12 +14,14 @@ that matters for the components, without writing all pairs of a group of copies.
    with, put out the former, which are the inverted lists that heavy sets scan. The size where light
    ends is where the sum of both costs, estimated from the sizes of all sets and the
    sketch, is least.
-3. In every list each set is first held against one hub, the list's member with the least hash;
-   links found that way join sets to components. Then only lists whose members are still in several
-   components are scanned for the pairs between different components.
-4. A pair is a candidate if sizes and places in the order allow a link. Parity sketches (the bits
+3. A pair is a candidate if sizes and places in the order allow a link. Parity sketches (the bits
    that differ between two are never more than the shingles that differ) drop most false candidates
    without their texts; the rest are decided on whole sets, recomputed from the texts.
+4. In every list each set is first held against one hub, the list's member with the least hash;
+   links found that way join sets to components. Then only lists whose members are still in several
+   components are scanned for pairs between components: short lists by joining them with themselves,
+   long ones in blocks inside the tasks, where short sketches let through only what may link, first
+   each set's nearest partner, and in a last round whatever is then still apart.
 
 Defined results: words are cut at ASCII white space after A-Z are lower-cased; fewer than five
 words are one shingle; null and empty texts, and texts of white space, have no shingles, link with
@@ -93,22 +95,29 @@ def prefix_length(n: int, threshold: Fraction) -> int:
     return n - needed(n, threshold) + 1
 
 
+#: Bits of the short sketches that long lists are scanned with.
+SHORT = 512
+
+
 def parity(h: np.ndarray) -> bytes:
     """A bit for each residue of the hashes: whether an odd number of them has it. Two to four bits a shingle."""
-    bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    bits = max(SHORT, 1 << int(2 * len(h) - 1).bit_length())
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits from one of more."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def differing(a: bytes, b: bytes) -> int:
     """At least so many shingles are in one of the two sets only; the longer sketch is folded to the shorter."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        half = len(x) // 2
-        x = x[:half] ^ x[half:]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -116,19 +125,20 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
     counts = np.zeros(COUNTERS, np.uint32)
     some = False
     for batch in sliced(batches):
-        sizes, signatures, sketches, places = [], [], [], []
+        sizes, signatures, sketches, shorts, places = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             h = shingle_set(text, k)
             sizes.append(len(h))
             signatures.append(xxhash.xxh128_digest(h.tobytes()))
             sketches.append(parity(h) if len(h) else b"")
+            shorts.append(folded(np.frombuffer(sketches[-1], np.uint64), SHORT // 64).tobytes())
             places.append((h >> np.uint64(40)).astype(np.int32) & (COUNTERS - 1))
         some = True
         at, n = np.unique(np.concatenate(places), return_counts=True)
         counts[at] += n.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int32()), "signature": pa.array(signatures, pa.binary()),
-            "sketch": pa.array(sketches, pa.binary()), "slice": pa.nulls(len(sizes), pa.int32()), "counts": pa.nulls(len(sizes), pa.binary()),
+            "sketch": pa.array(sketches, pa.binary()), "short": pa.array(shorts, pa.binary()), "slice": pa.nulls(len(sizes), pa.int32()), "counts": pa.nulls(len(sizes), pa.binary()),
         })
     if some:
         # squeezed: most counters are small, and in a small task most are zero
@@ -137,7 +147,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         parts = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, SLICES)]
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.nulls(SLICES, pa.int64()), "n": pa.nulls(SLICES, pa.int32()), "signature": pa.nulls(SLICES, pa.binary()),
-            "sketch": pa.nulls(SLICES, pa.binary()), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(parts, pa.binary()),
+            "sketch": pa.nulls(SLICES, pa.binary()), "short": pa.nulls(SLICES, pa.binary()), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(parts, pa.binary()),
         })
 
 
@@ -385,8 +395,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ join
 
-#: Rounds with a hub a list, after the first and before all pairs of what is still apart.
-HUB_ROUNDS = 1
+#: Lists up to this size are joined with themselves.
+LONG = 32
+#: Members of a long list that one task holds of each of two blocks.
+BLOCK = 4096
 
 
 def _star(lists: DataFrame, threshold: Fraction, light: int) -> DataFrame:
@@ -395,11 +407,96 @@ def _star(lists: DataFrame, threshold: Fraction, light: int) -> DataFrame:
     return e.select(F.least("e.node", "hub.node").alias("a"), F.greatest("e.node", "hub.node").alias("b"))
 
 
+def _short_pairs(lists: DataFrame, threshold: Fraction, light: int) -> DataFrame:
+    """Candidate pairs (a, b) of members of a short list in different components."""
+    x, y = lists.alias("x"), lists.alias("y")
+    found = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", threshold, light))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _long_pairs(lists: DataFrame, classes: DataFrame, nearest: bool, threshold: Fraction, light: int) -> DataFrame:
+    """The same for long lists: members are dealt over blocks, and each two blocks of a list are compared in one task."""
+    n_blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    dealt = (
+        lists.join(classes.select("node", "short"), "node")
+        .withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "root", "short")
+    )
+    together = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return together.mapInArrow(partial(_scan_lists, nearest=nearest, threshold=threshold, light=light), "a long, b long")
+
+
+def _scan_lists(batches: Iterator[pa.RecordBatch], nearest: bool, threshold: Fraction, light: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, i, j); each such group is two blocks of a list, or one block twice."""
+    held: list[pa.RecordBatch] = []
+
+    def groups(rows: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+        ids = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1), rows.num_rows]
+        whole = cuts if last else cuts[:-1]
+        return [rows.slice(a, b - a) for a, b in zip(whole[:-1], whole[1:], strict=True)], rows.slice(whole[-1])
+
+    def found(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        pairs = [_near(g, nearest, threshold, light) for g in parts]
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    for batch in batches:
+        held.append(batch)
+        parts, rest = groups(pa.Table.from_batches(held), False)
+        yield from found(parts)
+        held = rest.combine_chunks().to_batches()
+    if held:
+        yield from found(groups(pa.Table.from_batches(held), True)[0])
+
+
+def _near(group: pa.Table, nearest: bool, threshold: Fraction, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group in different components that sizes, places and short sketches let through.
+
+    With ``nearest`` only the closest partner of each member that is not in the group's largest component.
+    """
+    t, u = threshold.numerator, threshold.denominator
+    own, node, n, at, root = (group.column(c).to_numpy().astype(np.int64) for c in ("own", "node", "n", "at", "root"))
+    sketch = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint64).reshape(len(node), -1)
+    one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    single = group.column("key")[0].as_py() & 1 == 0
+    _, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
+    small = np.flatnonzero(inverse != counts.argmax())
+    rows = np.flatnonzero(np.isin(np.arange(len(node)), small))
+    left, right = [], []
+    for k in range(0, len(rows), 64):
+        x = rows[k : k + 64, None]
+        n2, least = n[x] + n, np.minimum(n[x] - at[x], n - at)
+        both_light = np.maximum(n[x], n) <= light
+        fine = (root[x] != root) & (u * n[x] >= t * n) & (u * n >= t * n[x])
+        # the same rule as _may_link: pair keys count for light sets, single ones for the others
+        fine &= (~both_light & (least * (t + u) >= t * n2)) if single else (both_light & ((least + 1) * (t + u) >= t * n2))
+        if not one_block:
+            fine &= own[x] != own
+        bits = np.bitwise_count(sketch[x[:, 0], None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+        fine &= bits * (t + u) <= (u - t) * n2
+        if nearest:
+            bits[~fine] = 1 << 30
+            best = bits.argmin(axis=1)
+            ok = fine[np.arange(len(x)), best]
+            left.append(node[x[ok, 0]])
+            right.append(node[best[ok]])
+        else:
+            i, j = np.nonzero(fine)
+            left.append(node[x[i, 0]])
+            right.append(node[j])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries, with their component's root, of the lists whose members lie in several components."""
+    """Entries, with their component's root and the list's size, of the lists whose members lie in several components."""
     member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "at", "root")
-    apart = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return member.join(apart, "key", "left_semi")
+    apart = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+    return member.join(apart.where("lo <> hi").select("key", "size"), "key")
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = 75) -> DataFrame:
@@ -407,12 +504,12 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     spark, threshold = docs.sparkSession, Fraction(percent, 100)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = written(
-        docs.mapInArrow(partial(_first_pass, k=k), "doc_id long, n int, signature binary, sketch binary, slice int, counts binary"), "sets"
+        docs.mapInArrow(partial(_first_pass, k=k), "doc_id long, n int, signature binary, sketch binary, short binary, slice int, counts binary"), "sets"
     )
-    rows = first.where("slice is null").select("doc_id", "n", "signature", "sketch")
+    rows = first.where("slice is null").select("doc_id", "n", "signature", "sketch", "short")
     counts = frequencies(first)
     classes = written(
-        rows.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        rows.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short")),
         "classes",
     )
     histogram = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}  # sizes, not documents
@@ -440,31 +537,29 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     # the hubs of a long list's parts are held against the least of them
     tops = listed.where("parts > 1").select("key", "hub").distinct()
     tops = tops.select("key", "hub.*").withColumn("hub", F.min(F.struct("h", "node", "n", "at")).over(Window.partitionBy("key")))
-    star = _star(listed, threshold, light).unionByName(_star(tops, threshold, light)).distinct()
-    star = written(star, "star")
-    links = _verified(docs, star, classes, k, threshold)
-    links = written(links, "links")
-    root_of = written(components(links), "roots")
+    star = written(_star(listed, threshold, light).unionByName(_star(tops, threshold, light)).distinct(), "star")
+    root_of = written(components(_verified(docs, star, classes, k, threshold)), "roots")
 
-    # more rounds: lists whose members still lie in several components, with other hubs and then all pairs of such members
+    # lists whose members still lie in several components
     lists = listed.select("key", "node", "n", "at")
-    for seed in range(1, HUB_ROUNDS + 2):
+    for nearest in (True, False):
         lists = written(_open_lists(lists, root_of), "open")
-        if seed <= HUB_ROUNDS:
-            hub = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "at", "root")).alias("hub"))
-            pairs = _star(lists.join(hub, "key").where("root <> hub.root"), threshold, light)
-        else:
-            x, y = lists.alias("x"), lists.alias("y")
-            pairs = (
-                x.join(y, "key")
-                .where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", threshold, light))
-                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            )
+        pairs = _long_pairs(lists.where(F.col("size") > LONG), classes, nearest, threshold, light)
+        if nearest:
+            pairs = pairs.unionByName(_short_pairs(lists.where(F.col("size") <= LONG), threshold, light))
+        lists = lists.where(F.col("size") > LONG).drop("root", "size")
         pairs = written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
         star = star.unionByName(pairs)
-        links = links.unionByName(written(_verified(docs, pairs, classes, k, threshold), "links"))
-        lists = lists.drop("root")
-        root_of = written(components(links), "roots")
+        # links between sets are links between the components found so far
+        to_root = lambda c: root_of.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        links = _verified(docs, pairs, classes, k, threshold).join(to_root("a"), "a", "left").join(to_root("b"), "b", "left")
+        links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        joined = written(components(links), "joined").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = root_of.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        alone = joined.join(root_of.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        root_of = written(known.unionByName(alone), "roots")
 
     final = root_of
     root = classes.select("signature", "node").join(final, "node", "left").select("signature", F.coalesce("root", "node").alias("root"))

@@ -514,7 +514,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     )
     histogram = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}  # sizes, not documents
     if not histogram:
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.lit(True), F.col("doc_id")).alias("component_id"))
+        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     total, mean = float(counts.sum()), float(counts.mean())
     share = max(0.0, float((counts.astype(float) ** 2).sum()) / max(total, 1.0) - 1 - mean)
     light = boundary(histogram, min(share, 100.0), threshold)
@@ -538,7 +538,11 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     tops = listed.where("parts > 1").select("key", "hub").distinct()
     tops = tops.select("key", "hub.*").withColumn("hub", F.min(F.struct("h", "node", "n", "at")).over(Window.partitionBy("key")))
     star = written(_star(listed, threshold, light).unionByName(_star(tops, threshold, light)).distinct(), "star")
-    root_of = written(components(_verified(docs, star, classes, k, threshold)), "roots")
+    # rows that repeat an id with other texts are one document
+    mine = rows.where("doc_id is not null").join(classes.select("signature", "node"), "signature").select("doc_id", "node")
+    several = mine.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    same = several.join(mine, "doc_id").select("a", F.col("node").alias("b"))
+    root_of = written(components(_verified(docs, star, classes, k, threshold).unionByName(same)), "roots")
 
     # lists whose members still lie in several components
     lists = listed.select("key", "node", "n", "at")
@@ -561,8 +565,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
         alone = joined.join(root_of.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
         root_of = written(known.unionByName(alone), "roots")
 
-    final = root_of
-    root = classes.select("signature", "node").join(final, "node", "left").select("signature", F.coalesce("root", "node").alias("root"))
+    root = classes.select("signature", "node").join(root_of, "node", "left").select("signature", F.coalesce("root", "node").alias("root"))
     out = rows.join(root, "signature", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"),

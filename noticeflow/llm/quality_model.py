@@ -142,8 +142,8 @@ def _normal(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFr
 
 
 def _add_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values("part")["row"]
-    return pd.DataFrame({"k": [key[0]], "row": [np.stack(rows.to_numpy()).sum(axis=0)]})
+    pdf = pdf.sort_values("part")  # a fixed order, so that a rerun gives the same sum
+    return pd.DataFrame({"k": [key[0]], "row": [np.stack(pdf["row"].to_numpy()).sum(axis=0)], "part": [pdf["part"].iloc[0]]})
 
 
 def pooled(x: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,8 @@ def fit(
     model = Model(mean, scale, directions, phases, np.zeros(n_features + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     got = (
         train.mapInPandas(partial(_normal, model=model), "k int, row array<double>, part int")
-        .groupBy("k").applyInPandas(_add_rows, "k int, row array<double>").orderBy("k").collect()
+        .groupBy("k", F.expr("part % 64")).applyInPandas(_add_rows, "k int, row array<double>, part int")
+        .groupBy("k").applyInPandas(_add_rows, "k int, row array<double>, part int").orderBy("k").collect()
     )
     total = np.array([r["row"] for r in got])
     penalty = ridge * n[0] * np.eye(n_features + 1) / n_features

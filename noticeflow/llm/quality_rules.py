@@ -92,7 +92,7 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
 
 
 #: Transformed statistics and, for each, the least standard deviation an estimate may have.
-FLOORS = {"x0": 0.6, "x1": 0.08, "x2": 0.15, "x3": 0.15, "x4": 0.25}
+FLOORS = {"x0": 0.6, "x1": 0.08, "x2": 0.15, "x3": 0.2, "x4": 0.28}
 
 
 def vectors(n_words: Column, word_chars: Column, n_symbols: Column, n_dup_lines: Column, n_repeat: Column) -> dict[str, Column]:
@@ -159,7 +159,8 @@ def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) ->
     for k in range(steps):
         est = written(est, f"mcd-{k}")
         placed = _distance(points.join(est, group), "d").select(group, "n", *DIMS, "d")
-        cut = placed.groupBy(group).agg(F.percentile_approx("d", h, 2000).alias("cut"))
+        # written, so that it is known to be small and the points need no shuffle by group, where one may hold a third of them
+        cut = written(placed.groupBy(group).agg(F.percentile_approx("d", h, 2000).alias("cut")), f"cut-{k}")
         sums = placed.join(cut, group).where("d <= cut").groupBy(group, "n").agg(*_scatter_aggregates())
         est = _factored(sums, [group, "n"])
     return written(est, "mcd")
@@ -173,46 +174,62 @@ CUT = 30.86 * 1.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, text: str = "text", out: tuple[str, ...] = COUNTS, **rules) -> DataFrame:
+def apply_rules(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", out: tuple[str, ...] = COUNTS,
+    cut: float = CUT, kept: str = "kept", failed: str = "base_failed", **how,
+) -> DataFrame:
     """``docs`` with the five counts, ``failed`` by the base rules, and the verdict ``kept``.
 
-    Estimates are made from all documents that pass the base rules. For the other parameters see judge_counted.
+    Estimates are made from all documents that pass the base rules, by a first pass that writes nothing but the counts;
+    a second one judges each document. For ``how`` see estimates.
     """
-    return judge_counted(statistics(docs, text, out), out=out, **rules)
+    counted = statistics(docs, text, out)
+    narrow = written(counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *out), "counts")
+    return judge(counted, estimates(narrow, out=out, **how), lang, source, cut, kept, failed, out)
+
+
+def _group_keys(lang: str, source: str) -> tuple[Column, Column, Column]:
+    """Keys of a document's groups, the narrowest first."""
+    name = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null"))
+    by_lang = F.concat(F.lit("lang|"), name(lang))
+    return F.concat(F.lit("both|"), name(lang), F.lit("|"), name(source)), by_lang, F.lit("all")
 
 
-def judge_counted(
-    counted: DataFrame, *, lang: str = "lang", source: str = "source", min_group: int = 500, cut: float = CUT,
-    h: float = 0.75, steps: int = 3, kept: str = "kept", failed: str = "base_failed", out: tuple[str, ...] = COUNTS,
+def estimates(
+    counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = 500, h: float = 0.75, steps: int = 3,
+    out: tuple[str, ...] = COUNTS,
 ) -> DataFrame:
-    """The verdicts for a table that has the counts ``out`` already; groups of under ``min_group`` documents use a wider one."""
+    """(group, e), one row a language and source: the estimate of the narrowest group around it of ``min_group`` documents.
+
+    ``counted`` has the counts ``out`` and is read several times, so it should be a written table.
+    """
     c = [F.col(x) for x in out]
-    bad = base_failed(c[0], c[4])
-    name = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null"))
-    all_key = F.lit("all")
-    lang_key, both_key = F.concat(F.lit("lang|"), name(lang)), F.concat(F.lit("both|"), name(lang), F.lit("|"), name(source))
-    vec = vectors(*c)
-    points = counted.where(~bad).select(F.explode(F.array(all_key, lang_key, both_key)).alias("g"), *[v.alias(k) for k, v in vec.items()])
-    points = written(points, "points")
-    est = mcd(points, "g", h, steps)
-    # one row a group; each key looks up its own estimate
-    names = fresh(counted.columns, "k_all", "k_lang", "k_both", "v", "d")
-    k_all, k_lang, k_both, v, d = names
-    packed = est.select("g", F.struct("n", *[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]).alias("e"))
-    side = lambda key: packed.select(F.col("g").alias(f"{key}_g"), F.col("e").alias(key))
-    joined = counted.withColumns({f"{k_all}_k": all_key, f"{k_lang}_k": lang_key, f"{k_both}_k": both_key})
-    for key in (k_all, k_lang, k_both):
-        s = side(key)
-        joined = joined.join(s, F.col(f"{key}_k") == F.col(f"{key}_g"), "left").drop(f"{key}_k", f"{key}_g")
-    chosen = F.when(F.col(k_both)["n"] >= min_group, F.col(k_both)).when(F.col(k_lang)["n"] >= min_group, F.col(k_lang)).otherwise(F.col(k_all))
-    joined = joined.withColumn(v, chosen).drop(k_all, k_lang, k_both)
+    passed = counted.where(~base_failed(c[0], c[4]))
+    keys = _group_keys(lang, source)
+    points = written(passed.select(F.explode(F.array(*keys)).alias("g"), *[v.alias(k) for k, v in vectors(*c).items()]), "points")
+    est = mcd(points, "g", h, steps).select("g", "n", F.struct(*[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]).alias("e"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), key.alias("g")) for k, key in enumerate(keys)])
+    wider = passed.select(keys[0].alias("group"), levels.alias("levels")).distinct()
+    wider = wider.select("group", F.explode("levels").alias("l")).select("group", "l.level", "l.g").join(est, "g")
+    own = wider.where((F.col("n") >= min_group) | (F.col("level") == 2)).groupBy("group").agg(F.min_by("e", "level").alias("e"))
+    return written(own, "estimates")
+
+
+def judge(
+    counted: DataFrame, own: DataFrame, lang: str = "lang", source: str = "source", cut: float = CUT, kept: str = "kept",
+    failed: str = "base_failed", out: tuple[str, ...] = COUNTS,
+) -> DataFrame:
+    """The verdicts for a table that has the counts ``out``, by the ``estimates`` own."""
+    c = [F.col(x) for x in out]
+    bad, vec = base_failed(c[0], c[4]), vectors(*c)
+    key, group, v, d = fresh([*counted.columns, kept, failed], "own_key", "own_group", "v", "d")
+    own = own.select(F.col("group").alias(group), F.col("e").alias(v))
+    joined = counted.withColumn(key, _group_keys(lang, source)[0]).join(own, F.col(key) == F.col(group), "left").drop(key, group)
     ys: dict[str, Column] = {}
     for i, a in enumerate(DIMS):
         rest = reduce(lambda p, q: p + q, [F.col(v)[f"l_{a}_{k}"] * ys[k] for k in DIMS[:i]], F.lit(0.0))
         ys[a] = (vec[a] - F.col(v)[f"m_{a}"] - rest) / F.col(v)[f"l_{a}_{a}"]
     square = reduce(lambda p, q: p + q, [y * y for y in ys.values()])
-    return (
-        joined.withColumn(d, square)
-        .withColumns({failed: bad, kept: ~bad & F.coalesce(F.col(d) <= cut, F.lit(True))})
-        .drop(v, d)
-    )
+    # one comparison, so that a filter on the verdict is not split and computed below the join a second time
+    distance = F.when(bad, F.lit(float("inf"))).otherwise(F.coalesce(square, F.lit(0.0)))
+    return joined.withColumn(d, distance).withColumns({failed: bad, kept: F.col(d) <= cut}).drop(v, d)

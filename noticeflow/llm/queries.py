@@ -134,7 +134,7 @@ FROM w GROUP BY conv_id
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted = written(quality_rules.statistics(docs).drop("text"), "counts")
-    verdicts = quality_rules.judge_counted(counted)
+    verdicts = quality_rules.judge(counted, quality_rules.estimates(counted))
     return verdicts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

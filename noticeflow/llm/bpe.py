@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import arrow_columns, sliced, with_fields
+from noticeflow.llm.common import arrow_columns, sliced, small_batches, with_fields
 
 #: White space that str.split() cuts at, but the tokenizer's ``\s`` does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Encoded chunks and words that a task keeps of each in a young and in an old table, and pairs known to be compatible or not.
-MAX_CACHED = 80_000
+MAX_CACHED = 60_000
 
 
 def byte_alphabet() -> list[str]:
@@ -59,13 +59,24 @@ def read_spec(path: str) -> dict:
         raise ValueError("this encoder knows BPE with a word-end suffix and no decoder")
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in raw["added_tokens"]):
         raise ValueError("added tokens have to match raw text exactly")
+    vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+    tokens = [""] * (1 + max([*vocab.values(), *[t["id"] for t in raw["added_tokens"]]]))
+    for t, i in vocab.items():
+        tokens[i] = t
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    # few large objects, so that each worker's copy is small: tokens in order of id, merges as (left, right, result)
+    triples = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
     return {
-        "vocab": model["vocab"], "merges": [m if isinstance(m, list) else m.split(" ") for m in model["merges"]],
-        "suffix": model["end_of_word_suffix"], "pattern": split["pattern"]["Regex"],
+        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": split["pattern"]["Regex"],
         "added": {t["content"]: t["id"] for t in raw["added_tokens"]},
     }
 
 
+def tokens_of(spec: dict) -> list[str]:
+    """Token by id; ids of added tokens, and ids that are not used, are empty here."""
+    return spec["tokens"].split("\0")
+
+
 class Encoder:
     """Tables of one tokenizer: automaton, merges, pair compatibility and offsets."""
 
@@ -76,16 +87,15 @@ class Encoder:
         import regex
 
         suffix, self.added_ids = spec["suffix"], spec["added"]
+        tokens = tokens_of(spec)
         inner = lambda t: t[: -len(suffix)] + self.END if t.endswith(suffix) and t != suffix else t
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.ids = {inner(t): i for t, i in spec["vocab"].items()}
-        size = 1 + max([*spec["vocab"].values(), *spec["added"].values()])
+        self.ids = {inner(t): i for i, t in enumerate(tokens) if t}
+        size = self.size = len(tokens)
         self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
-        self.joined: dict[tuple[int, int], int] = {}
-        for k, (a, b) in enumerate(spec["merges"]):
-            x, y = self.ids[inner(a)], self.ids[inner(b)]
-            z = self.ids[inner(a + b)] if not a.endswith(suffix) else self.ids[inner(a) + inner(b)]
-            self.joined[x, y] = k
+        self.joined: dict[int, int] = {}  # by left * size + right
+        for k, (x, y, z) in enumerate(spec["merges"].tolist()):
+            self.joined[x * size + y] = k
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = k, x, y
         self.length = [0] * size
@@ -97,7 +107,7 @@ class Encoder:
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words = regex.compile(spec["pattern"])
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
         self.spaces = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -114,14 +124,14 @@ class Encoder:
         then meet at the border have a merge that comes before the one just undone,
         merging would have joined them.
         """
-        known = self.fits.get((a, b))
+        known = self.fits.get(a * self.size + b)
         if known is not None:
             return known
         x, y, rank = a, b, self.rank
         bound = len(self.joined)  # a merge across the border counts if it came before this one
         fine = True
         while True:
-            across = self.joined.get((x, y))
+            across = self.joined.get(x * self.size + y)
             if across is not None and across < bound:
                 fine = False
                 break
@@ -134,7 +144,7 @@ class Encoder:
                 bound, y = ry + 1, self.left[y]
         if len(self.fits) > MAX_CACHED:
             self.fits.clear()
-        self.fits[a, b] = fine
+        self.fits[a * self.size + b] = fine
         return fine
 
     def word(self, letters: str) -> list[int]:
@@ -224,8 +234,8 @@ class Decoder:
     """One string of all tokens and where in it each begins."""
 
     def __init__(self, spec: dict):
-        strings = [""] * (1 + max([*spec["vocab"].values(), *spec["added"].values()]))
-        for t, i in (*spec["vocab"].items(), *spec["added"].items()):
+        strings = tokens_of(spec)
+        for t, i in spec["added"].items():
             strings[i] = t
         pieces = [f"{s} ".encode() for s in strings]  # decoding parts tokens by a space
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
@@ -279,9 +289,11 @@ def load(spark, path: str):
 
 def encode(docs: DataFrame, tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of every whole text. ``tokenizer`` comes from ``load``."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(partial(_encode, tables=tokenizer, text=text, ids=ids), with_fields(docs, {ids: T.ArrayType(T.IntegerType())}))
 
 
 def decode(tokens: DataFrame, tokenizer, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the text of the ids, special tokens included."""
+    small_batches(tokens.sparkSession)
     return tokens.mapInArrow(partial(_decode, tables=tokenizer, ids=ids, out=out), with_fields(tokens, {out: T.StringType()}))

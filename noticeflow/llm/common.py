@@ -71,6 +71,16 @@ def arrow_columns(batch: pa.RecordBatch, add: dict[str, pa.Array], drop: Iterabl
 ROWS = 256
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Lower the session's limits of an Arrow batch, where they are higher: whole texts are long, and each task holds several batches."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        number = int(now.rstrip("bB")) if now and now.rstrip("bB").lstrip("-").isdigit() else 0
+        if number <= 0 or number > most:
+            spark.conf.set(key, str(most))
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, iterated, sliced, written
+from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, iterated, sliced, small_batches, written
 
 WORDS = 5
 #: Counters of the sketch of shingle frequencies; one byte each where tasks get it.
@@ -502,6 +502,7 @@ def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     spark, threshold = docs.sparkSession, Fraction(percent, 100)
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = written(
         docs.mapInArrow(partial(_first_pass, k=k), "doc_id long, n int, signature binary, sketch binary, short binary, slice int, counts binary"), "sets"

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import arrow_columns, with_fields, written
+from noticeflow.llm.common import arrow_columns, small_batches, with_fields, written
 
 #: Sets of ASCII characters whose share of a text is a statistic.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "?", "|", "#*$%&", "<>{}[]=\\/^~_@+", ".,;:", "\n", "\t ", "\"'()-")
@@ -78,6 +78,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], text: str, out: str) -> Itera
 
 def statistics(docs: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
     """``docs`` with an array of statistics in place of the text."""
+    small_batches(docs.sparkSession)
     schema = with_fields(docs, {out: T.ArrayType(T.DoubleType())}, drop=[text])
     return docs.mapInArrow(partial(_statistics, text=text, out=out), schema)
 

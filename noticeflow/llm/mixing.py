@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import fresh
+from noticeflow.llm.common import fresh, written
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -45,32 +45,34 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, many).otherwise(F.array(F.lit(1.0)))
 
 
+def _sizes(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, chars), one row a source, counted before the shuffle."""
+    return written(docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("chars")), "sizes")
+
+
 def tempered_rates(docs: DataFrame, source: str, text: str, exponent: float, epochs: float) -> DataFrame:
     """(source, rate): target share proportional to characters ** exponent, of a budget of epochs * all characters."""
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("chars"))
-    totals = sizes.agg(F.sum("chars").alias("all"), F.sum(F.pow(F.col("chars").cast("double"), F.lit(exponent))).alias("norm"))
-    rate = F.when(
-        F.col("chars") > 0,
-        F.lit(epochs) * F.col("all") * F.pow(F.col("chars").cast("double"), F.lit(exponent)) / F.col("norm") / F.col("chars"),
-    ).otherwise(F.lit(1.0))
-    return sizes.join(F.broadcast(totals), how="cross").select("source", rate.alias("rate"))  # totals is one row
+    sizes, power = _sizes(docs, source, text), F.pow(F.col("chars").cast("double"), F.lit(exponent))
+    total = sizes.agg(F.sum("chars").cast("double").alias("all"), F.sum(power).alias("norm")).first()
+    if not total["all"]:
+        return sizes.select("source", F.lit(1.0).alias("rate"))
+    share = F.lit(epochs) * F.lit(total["all"]) * power / F.lit(total["norm"]) / F.col("chars")
+    return sizes.select("source", F.when(F.col("chars") > 0, share).otherwise(F.lit(1.0)).alias("rate"))
 
 
 def target_rates(docs: DataFrame, source: str, text: str, weights: dict[str, float], epochs: float) -> DataFrame:
     """(source, rate) from named target weights; weights need not add up to 1."""
-    spark, norm = docs.sparkSession, sum(weights.values())
-    shares = spark.createDataFrame([(k, v / norm) for k, v in weights.items()], "source string, share double")
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("chars"))
-    total = sizes.agg(F.sum("chars").alias("all"))
-    rate = F.when(F.col("chars") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(epochs) * F.col("all") / F.col("chars"))
-    return (
-        sizes.join(shares, "source", "left").join(F.broadcast(total), how="cross")
-        .select("source", F.coalesce(rate, F.when(F.col("share") > 0, 1.0), F.lit(0.0)).alias("rate"))
-    )
+    norm = sum(weights.values())
+    shares = docs.sparkSession.createDataFrame([(k, v / norm) for k, v in weights.items()], "source string, share double")
+    sizes = _sizes(docs, source, text)
+    total = sizes.agg(F.sum("chars").cast("double")).first()[0] or 0.0
+    share = F.coalesce("share", F.lit(0.0))
+    rate = F.when(F.col("chars") > 0, share * F.lit(epochs) * F.lit(total) / F.col("chars")).when(share > 0, 1.0).otherwise(0.0)
+    return sizes.join(shares, "source", "left").select("source", rate.alias("rate"))
 
 
-#: Sources whose rates may be sent to every task as one literal table; with more, the join is left to Spark.
-MAX_LOCAL_SOURCES = 10_000
+#: Sources, and values of their distributions, that are sent to every task as one table; with more, the join is left to Spark.
+MAX_LOCAL_SOURCES, MAX_LOCAL_VALUES = 10_000, 1_000_000
 
 
 def mix(
@@ -87,11 +89,13 @@ def mix(
         target_rates(docs, source, text, weights, epochs) if weights else tempered_rates(docs, source, text, exponent, epochs)
     )
     got = rates.limit(MAX_LOCAL_SOURCES + 1).collect()
-    if len(got) <= MAX_LOCAL_SOURCES:
+    values = sum(r["rate"] + 12 * r["rate"] ** 0.5 + 41 for r in got)
+    few = len(got) <= MAX_LOCAL_SOURCES and values <= MAX_LOCAL_VALUES
+    if few:
         rates = spark.createDataFrame(got, "source string, rate double")
     c_copy, c_order, c_source, c_cdf = fresh(docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf")
     cdfs = rates.select(F.col("source").alias(c_source), poisson_cdf(F.col("rate")).alias(c_cdf))
-    if len(got) <= MAX_LOCAL_SOURCES:
+    if few:
         cdfs = F.broadcast(cdfs)
     u = uniform(seed, F.col(doc_id))
     count = F.size(F.filter(c_cdf, lambda c: c <= u))

@@ -8,8 +8,8 @@ next mean and covariance. A document whose distance from its group's estimate
 exceeds the cut is rejected. All steps are aggregations over groups and
 joins with one row a group; the 5 x 5 algebra is column arithmetic.
 
-A group too small for an estimate of its own is judged by its language's estimate,
-then by that of all documents. Covariances get a floor on the diagonal, so that a
+A group of fewer than MIN_GROUP documents, too few for an estimate in five dimensions, is judged by
+its language's estimate, then by that of all documents. Covariances get a floor on the diagonal, so that a
 statistic that is constant in the nearer share (such as symbols: none) does not make
 the scatter singular, nor a document with one symbol an outlier.
 
@@ -171,6 +171,9 @@ def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) ->
 CUT = 30.86 * 1.5
 
 
+#: Documents that an estimate needs: six a dimension, with the floors as regularisation.
+MIN_GROUP = 30
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -196,7 +199,7 @@ def _group_keys(lang: str, source: str) -> tuple[Column, Column, Column]:
 
 
 def estimates(
-    counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = 500, h: float = 0.75, steps: int = 3,
+    counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP, h: float = 0.75, steps: int = 3,
     out: tuple[str, ...] = COUNTS,
 ) -> DataFrame:
     """(group, e), one row a language and source: the estimate of the narrowest group around it of ``min_group`` documents.

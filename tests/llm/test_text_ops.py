@@ -115,6 +115,26 @@ def test_mcd_against_numpy(spark):
     assert np.abs(got).max() < 0.2  # the shifted tenth has no say
 
 
+def counted(spark, rows):
+    """A table of counts from (source, n_words, n_symbols, n_dup_lines, n_repeat_words); words have five letters or so."""
+    rng = random.Random(5)
+    rows = [(i, "en", s, n, int(n * rng.gauss(5, 0.2)), sym, dup, rep) for i, (s, n, sym, dup, rep) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id int, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+
+
+def kept(table):
+    return [r["kept"] for r in quality_rules.judge(table, quality_rules.estimates(table)).orderBy("doc_id").collect()]
+
+
+def test_small_source_is_judged_by_its_own_normal(spark):
+    rng = random.Random(1)
+    length = lambda: int(np.exp(rng.gauss(5.5, 0.5))) + 30
+    web = [("web", length(), 0, 0, 0) for _ in range(600)]
+    lists = [("lists", n, n // 2, 0, 0) for n in (length() for _ in range(40))]  # half as many symbols as words
+    got = kept(counted(spark, [*web, *lists, ("lists", 250, 0, 0, 0), ("web", 250, 125, 0, 0)]))
+    assert all(got[:640]) and got[640:] == [False, False]
+
+
 @pytest.fixture(scope="module")
 def tree(spark):
     return html_text.train(html_text.labelled_blocks(spark))

@@ -3,19 +3,21 @@
 Statistics of every whole text are turned into a vector (logs and ratios). For each
 group of documents a minimum-covariance-determinant estimate of centre and
 scatter is found by concentration steps: starting from the coordinate-wise median
-and spread, the share ``h`` of documents nearest by Mahalanobis distance gives the
-next mean and covariance. A document whose distance from its group's estimate
+and median deviation, the half of the vectors nearest by Mahalanobis distance gives the
+next mean and covariance, until the determinant stops falling. The vectors within the
+0.975 quantile of that estimate then give the final one. A vector counts once in a group,
+however many documents have it, so that copies have no weight of their own. A document whose distance from its group's estimate
 exceeds the cut is rejected. All steps are aggregations over groups and
 joins with one row a group; the 5 x 5 algebra is column arithmetic.
 
-A group of fewer than MIN_GROUP documents, too few for an estimate in five dimensions, is judged by
+A group of fewer than MIN_GROUP vectors, too few for an estimate in five dimensions, is judged by
 its language's estimate, then by that of all documents. Covariances get a floor on the diagonal, so that a
 statistic that is constant in the nearer share (such as symbols: none) does not make
 the scatter singular, nor a document with one symbol an outlier.
 
 Defined results: a null text has no words and fails the base rules, as does an empty
 one; null languages and sources are groups of their own; rows that repeat are judged
-each, and count each; an empty table gives an empty result; further columns of the
+each, and count once in the estimate; an empty table gives an empty result; further columns of the
 input are left out of ``statistics`` and pass through ``apply_rules``.
 """
 
@@ -116,11 +118,11 @@ def _scatter_aggregates() -> list[Column]:
             *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS]]
 
 
-def _factored(sums: DataFrame, keep: list[str]) -> DataFrame:
-    """Means and the Cholesky factor of (covariance + floors), one row a group, as columns m_* and l_*."""
+def _factored(sums: DataFrame, keep: list[str], scale: Column | float = 1.0) -> DataFrame:
+    """Means and the Cholesky factor of (covariance times ``scale`` + floors), one row a group, as columns m_* and l_*."""
     df = sums.select(
         *keep, *[(F.col(f"s_{a}") / F.col("m")).alias(f"m_{a}") for a in DIMS],
-        *[((F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("m")) / F.col("m")).alias(f"c_{a}_{b}") for a, b in PAIRS],
+        *[((F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("m")) / F.col("m") * scale).alias(f"c_{a}_{b}") for a, b in PAIRS],
     )
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[: i + 1]):
@@ -145,6 +147,8 @@ def _distance(df: DataFrame, out: str) -> DataFrame:
 def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) -> DataFrame:
     """One row a group: n, centre (m_*) and factor (l_*) of the share ``h`` of points with the least scatter.
 
+    A fixed number of plain concentration steps, without consistency factors; verdicts rest on ``robust``.
+
     ``points`` has the group and the columns of DIMS; it is read once a step, so it should be a written table.
     """
     start = points.groupBy(group).agg(
@@ -166,12 +170,56 @@ def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) ->
     return written(est, "mcd")
 
 
-#: 0.99999 quantile of chi-square with five degrees, times the square of the factor by which the
-#: nearer 75 % understate the scale of normal data (1.5).
-CUT = 30.86 * 1.5
+#: The half of normal data in five dimensions nearest to its centre, and what lies within its 0.975 quantile, understate the covariance by these factors.
+HALF, MOST = 1.912, 1.0555
+#: 0.975 quantile of chi-square with five degrees.
+WITHIN = 12.8325
+#: Least fall of the log determinant that counts as one: percentiles are approximate in large groups.
+FALL = 1e-3
+
+
+def robust(points: DataFrame, group: str = "g") -> DataFrame:
+    """One row a group: n, centre (m_*) and factor (l_*) of the half of its vectors with the least scatter, reweighted.
+
+    ``points`` has the group and the columns of DIMS; vectors that repeat in a group count once.
+    """
+    points = written(points.select(group, *DIMS).distinct(), "vectors")
+    middle = written(
+        points.groupBy(group).agg(F.count("*").alias("n"), *[F.percentile_approx(a, 0.5, 10000).alias(f"m_{a}") for a in DIMS]), "medians"
+    )
+    spread = points.join(middle, group).groupBy(group, "n", *[f"m_{a}" for a in DIMS]).agg(
+        *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 10000).alias(f"d_{a}") for a in DIMS]
+    )
+    diagonal = [
+        F.greatest(1.4826 * F.col(f"d_{a}"), F.lit(FLOORS[a])).alias(f"l_{a}_{b}") if a == b else F.lit(0.0).alias(f"l_{a}_{b}")
+        for a, b in PAIRS
+    ]
+    names = ["n", *[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]]
+    est = spread.select(group, "n", *[f"m_{a}" for a in DIMS], *diagonal)
+    est = written(est.withColumns({"det": F.lit(float("inf")), "falls": F.lit(True)}), "start")
+    log_det = sum((2 * F.log(f"l_{a}_{a}") for a in DIMS[1:]), 2 * F.log(f"l_{DIMS[0]}_{DIMS[0]}"))
+    while est.where("falls").limit(1).count():
+        placed = _distance(points.join(est.where("falls"), group), "d").select(group, "n", *DIMS, "d")
+        # written, so that it is known to be small and the points need no shuffle by group, where one may hold a third of them
+        cut = written(placed.groupBy(group).agg(F.percentile_approx("d", 0.5, 10000).alias("cut")), "cut")
+        sums = placed.join(cut, group).where("d <= cut").groupBy(group, "n").agg(*_scatter_aggregates())
+        step = _factored(sums, [group, "n"], HALF).withColumn("det", log_det)
+        step = step.select(F.col(group).alias("step_group"), F.struct(*names, "det").alias("s"))
+        falls = F.coalesce(F.col("s.det") < F.col("det") - FALL, F.lit(False))
+        est = written(est.join(step, F.col(group) == F.col("step_group"), "left").select(
+            group, *[F.when(falls, F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in (*names, "det")], falls.alias("falls")
+        ), "mcd")
+    near = _distance(points.join(est, group), "d").where(F.col("d") <= WITHIN)
+    # the last factor makes the mean squared distance of further documents the number of dimensions for small groups too
+    small = (F.col("m") + 1) / F.greatest(F.col("m") - len(DIMS) - 2, F.lit(1))
+    return written(_factored(near.groupBy(group, "n").agg(*_scatter_aggregates()), [group, "n"], MOST * small), "mcd")
+
+
+#: 0.99999 quantile of chi-square with five degrees.
+CUT = 30.86
 
 
-#: Documents that an estimate needs: six a dimension, with the floors as regularisation.
+#: Distinct vectors that an estimate needs: six a dimension, with the floors as regularisation.
 MIN_GROUP = 30
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -199,10 +247,10 @@ def _group_keys(lang: str, source: str) -> tuple[Column, Column, Column]:
 
 
 def estimates(
-    counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP, h: float = 0.75, steps: int = 3,
+    counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP,
     out: tuple[str, ...] = COUNTS,
 ) -> DataFrame:
-    """(group, e), one row a language and source: the estimate of the narrowest group around it of ``min_group`` documents.
+    """(group, e), one row a language and source: the estimate of the narrowest group around it of ``min_group`` vectors.
 
     ``counted`` has the counts ``out`` and is read several times, so it should be a written table.
     """
@@ -210,7 +258,7 @@ def estimates(
     passed = counted.where(~base_failed(c[0], c[4]))
     keys = _group_keys(lang, source)
     points = written(passed.select(F.explode(F.array(*keys)).alias("g"), *[v.alias(k) for k, v in vectors(*c).items()]), "points")
-    est = mcd(points, "g", h, steps).select("g", "n", F.struct(*[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]).alias("e"))
+    est = robust(points).select("g", "n", F.struct(*[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]).alias("e"))
     levels = F.array(*[F.struct(F.lit(k).alias("level"), key.alias("g")) for k, key in enumerate(keys)])
     wider = passed.select(keys[0].alias("group"), levels.alias("levels")).distinct()
     wider = wider.select("group", F.explode("levels").alias("l")).select("group", "l.level", "l.g").join(est, "g")

@@ -135,6 +135,18 @@ def test_small_source_is_judged_by_its_own_normal(spark):
     assert all(got[:640]) and got[640:] == [False, False]
 
 
+@pytest.mark.parametrize("copies", ["exact", "near"])
+def test_a_third_of_junk_copies_has_no_say(spark, copies):
+    rng = random.Random(2)
+    clean = [("web", int(np.exp(rng.gauss(5.5, 0.5))) + 30, 0, 0, 0) for _ in range(200)]
+    junk = [("web", n, n // 2, 0, 0) for n in (240 + (k if copies == "near" else 0) for k in range(100))]
+    table = counted(spark, [*clean, *junk])
+    if copies == "exact":
+        table = table.withColumn("word_chars", F.when(F.col("n_symbols") > 0, 1200).otherwise(F.col("word_chars")).cast("long"))
+    got = kept(table)
+    assert all(got[:200]) and not any(got[200:])
+
+
 @pytest.fixture(scope="module")
 def tree(spark):
     return html_text.train(html_text.labelled_blocks(spark))

@@ -11,7 +11,7 @@ exceeds the cut is rejected. All steps are aggregations over groups and
 joins with one row a group; the 5 x 5 algebra is column arithmetic.
 
 A group of fewer than MIN_GROUP vectors, too few for an estimate in five dimensions, is judged by
-its language's estimate, then by that of all documents. Covariances get a floor on the diagonal, so that a
+its language's estimate, then by that of all documents. Variances are raised to a floor where they are below it, so that a
 statistic that is constant in the nearer share (such as symbols: none) does not make
 the scatter singular, nor a document with one symbol an outlier.
 
@@ -93,8 +93,9 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
 
 
-#: Transformed statistics and, for each, the least standard deviation an estimate may have.
-FLOORS = {"x0": 0.6, "x1": 0.08, "x2": 0.15, "x3": 0.2, "x4": 0.28}
+#: Transformed statistics and, for each, the least standard deviation an estimate may have. With CUT, a statistic that is
+#: off by 5.56 of these rejects alone; base rules leave x4 up to log(4), so its floor has to be below 0.2495.
+FLOORS = {"x0": 0.6, "x1": 0.08, "x2": 0.15, "x3": 0.15, "x4": 0.24}
 
 
 def vectors(n_words: Column, word_chars: Column, n_symbols: Column, n_dup_lines: Column, n_repeat: Column) -> dict[str, Column]:
@@ -118,8 +119,11 @@ def _scatter_aggregates() -> list[Column]:
             *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS]]
 
 
-def _factored(sums: DataFrame, keep: list[str], scale: Column | float = 1.0) -> DataFrame:
-    """Means and the Cholesky factor of (covariance times ``scale`` + floors), one row a group, as columns m_* and l_*."""
+def _factored(sums: DataFrame, keep: list[str], scale: Column | float = 1.0, least: bool = True) -> DataFrame:
+    """Means and the Cholesky factor of the covariance times ``scale``, one row a group, as columns m_* and l_*.
+
+    Variances are at least their floor's square, or with ``least=False`` have it added.
+    """
     df = sums.select(
         *keep, *[(F.col(f"s_{a}") / F.col("m")).alias(f"m_{a}") for a in DIMS],
         *[((F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("m")) / F.col("m") * scale).alias(f"c_{a}_{b}") for a, b in PAIRS],
@@ -128,7 +132,9 @@ def _factored(sums: DataFrame, keep: list[str], scale: Column | float = 1.0) ->
         for j, b in enumerate(DIMS[: i + 1]):
             rest = reduce(lambda u, v: u + v, [F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in DIMS[:j]], F.lit(0.0))
             if i == j:
-                value = F.sqrt(F.greatest(F.col(f"c_{a}_{a}") + FLOORS[a] ** 2 - rest, F.lit(FLOORS[a] ** 2 * 0.01)))
+                square = FLOORS[a] ** 2
+                variance = F.greatest(F.col(f"c_{a}_{a}"), F.lit(square)) if least else F.col(f"c_{a}_{a}") + square
+                value = F.sqrt(F.greatest(variance - rest, F.lit(square * 0.01)))
             else:
                 value = (F.col(f"c_{a}_{b}") - rest) / F.col(f"l_{b}_{b}")
             df = df.withColumn(f"l_{a}_{b}", value)
@@ -147,7 +153,7 @@ def _distance(df: DataFrame, out: str) -> DataFrame:
 def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) -> DataFrame:
     """One row a group: n, centre (m_*) and factor (l_*) of the share ``h`` of points with the least scatter.
 
-    A fixed number of plain concentration steps, without consistency factors; verdicts rest on ``robust``.
+    A fixed number of plain concentration steps, without consistency factors and with floors added; verdicts rest on ``robust``.
 
     ``points`` has the group and the columns of DIMS; it is read once a step, so it should be a written table.
     """
@@ -166,7 +172,7 @@ def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) ->
         # written, so that it is known to be small and the points need no shuffle by group, where one may hold a third of them
         cut = written(placed.groupBy(group).agg(F.percentile_approx("d", h, 2000).alias("cut")), f"cut-{k}")
         sums = placed.join(cut, group).where("d <= cut").groupBy(group, "n").agg(*_scatter_aggregates())
-        est = _factored(sums, [group, "n"])
+        est = _factored(sums, [group, "n"], least=False)
     return written(est, "mcd")
 
 

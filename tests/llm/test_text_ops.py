@@ -147,6 +147,14 @@ def test_a_third_of_junk_copies_has_no_say(spark, copies):
     assert all(got[:200]) and not any(got[200:])
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(3)
+    clean = [("web", int(400 * np.exp(rng.gauss(0, 0.3))), 0, 0, 0) for _ in range(300)]
+    odd = [("web", 16000, 0, 0, 0), ("web", 400, 30, 0, 0), ("web", 400, 0, 14, 0), ("web", 400, 0, 0, 119)]
+    got = kept(counted(spark, [*clean, *odd]))
+    assert all(got[:300]) and got[300:] == [False] * 4
+
+
 @pytest.fixture(scope="module")
 def tree(spark):
     return html_text.train(html_text.labelled_blocks(spark))

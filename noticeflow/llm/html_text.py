@@ -1,17 +1,20 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into flat blocks of text. Each block gets shallow features:
-its word count and link density, those of the blocks before and after it, whether it is a
-heading, and which kind of container is nearest (main content, or a menu, advert, form and so
-on, by element, role, class or id). A small decision tree, trained on a small labelled
-table of blocks, tells main text from the rest.
+A page is cut at block-level tags into flat blocks of text. Each block gets shallow features: its
+word count and link density, those of the blocks before and after it, its kind of element, and
+what the containers around it hint at, each hint by itself: the nearest sectioning element, the names
+(class, id) below and above it, whether it is hidden, whether the page has a main element at all. No
+hint decides alone: names mislead (``site has-comments``), articles hold menus, adverts and comments, asides hold
+articles, and many pages hint at nothing. A decision tree, trained on a small labelled table of blocks
+from pages of many layouts, weighs them.
 
 Defined results: a null or empty page has no text; character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by two line
 breaks; nothing else is dropped, whatever the length; tags that are not closed, or closed
-without having been opened, are put up with; pages that repeat are extracted each; an empty
-table gives an empty result; further columns pass through, and columns that have an
-output's name are replaced.
+without having been opened, are put up with: only script, style, textarea and title run to the
+page's end, the label of a button or the like that is not closed ends at the next tag; pages that repeat
+are extracted each; an empty table gives an empty result; further columns pass through, and columns that
+have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import arrow_columns, with_fields
+from noticeflow.llm.common import arrow_columns, sliced, with_fields
 
 TOKENS = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<bad>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
@@ -35,21 +40,28 @@ TOKENS = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style title textarea template noscript iframe svg math canvas object audio video select datalist button head".split())
-#: Elements that stay inside a line of text.
+#: Names that say what a page has or lacks, not what a container is.
+ABOUT = re.compile(r"(?:has|no|not|with|without|is|enable|disable)(?:[-_]|(?=[A-Z]))|.*[-_](?:enabled|disabled|open|closed|active)$")
+
+#: Elements that hold raw text, up to their end tag or the page's end.
+RAW = frozenset("script style textarea title".split())
+#: Other elements whose content is no text of the page.
+SKIPPED = frozenset("template noscript iframe canvas object audio video select datalist button head".split())
+#: Elements that stay inside a line of text, those of formulas and drawings among them.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small
+    span strike strong sub sup time tt u var wbr math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose
+    msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd svg g defs use symbol path rect circle ellipse line polyline polygon text tspan textpath""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ITEMS = frozenset(("li", "dt", "dd", "tr", "td", "th"))
 #: Elements that hold no others of their kind directly; without attributes they are no containers.
-LEAVES = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS))
+LEAVES = frozenset(("p", *ITEMS, *HEADINGS))
 MAIN = frozenset(("article", "main"))
-ASIDE = frozenset("nav aside footer form dialog menu fieldset".split())
+ASIDE = frozenset("nav aside footer dialog menu fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that mark what is around the main text.
+#: Words in a class or id that hint at what is around the main text.
 ASIDE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar
     navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related recommended recommendations share
@@ -57,52 +69,79 @@ ASIDE_NAMES = frozenset(
     login search form pagination pager toolbar skip copyright disclaimer toc""".split()
 )
 MAIN_NAMES = frozenset("article entry story post".split())
-#: Words that mark readers' comments, whatever lies inside.
+#: Words that hint at readers' comments.
 COMMENT_NAMES = frozenset("comment comments commentlist commenter reply replies respond responses disqus discussion".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_main", "in_aside")
-
-
-def _names(attrs: str) -> dict[str, str]:
-    return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)}
-
-
-def _kind(tag: str, attrs: str, inside_main: bool) -> int:
-    """What a container is: 0 nothing, 1 main, 2 aside, 3 comments."""
-    kind = 1 if tag in MAIN else 2 if tag in ASIDE or (tag == "header" and not inside_main) else 0
-    if attrs and tag not in ("body", "html"):
-        at = _names(attrs)
-        words = {w.lower() for k in ("class", "id") for w in WORDS_IN_NAME.findall(at.get(k, ""))}
-        if words & COMMENT_NAMES:
-            return 3
-        style = at.get("style", "").replace(" ", "").lower()
-        if words & ASIDE_NAMES or ("header" in words and not inside_main) or at.get("role") in ASIDE_ROLES:
-            kind = 2
-        elif words & MAIN_NAMES or at.get("role") in ("main", "article") or at.get("itemprop") == "articleBody":
-            kind = 1
-        if "display:none" in style or at.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-            kind = 2
-    return kind
-
-
-def blocks(page: str, mark: str | None = None) -> list[tuple[str, int, float, int, int, int, bool]]:
-    """(text, words, link density, heading, in main, in aside, marked) of each flat block with text, in page order.
 
-    ``mark`` is the name of an attribute that labels a container in training pages.
-    """
-    out = []
-    stack: list[tuple[str, int, bool]] = []  # open containers: tag, kind, marked
+class State(NamedTuple):
+    """What the open containers hint at; a container's is made from its parent's, so a tag costs the same at any depth."""
+
+    element: int = 0  # nearest sectioning element: 1 main, -1 aside
+    name: int = 0  # names below the nearest main element: -1 main, 1 aside, 2 comments
+    above: int = 0  # the same above it
+    outer: int = 0  # around the nearest main element: 1 a form, 2 an aside
+    form: int = 0
+    hidden: int = 0
+    marked: bool = False
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    links: float
+    heading: int
+    item: int
+    state: State
+
+
+@lru_cache(4096)
+def _hints(attrs: str) -> tuple[int, bool, int, int]:
+    """(name, "header" among the names, element by role, hidden) of an element's attributes."""
+    at = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)}
+    names = [n for k in ("class", "id") for n in at.get(k, "").split() if not ABOUT.match(n)]
+    words = {w.lower() for n in names for w in WORDS_IN_NAME.findall(n)}
+    name = 2 if words & COMMENT_NAMES else 1 if words & ASIDE_NAMES else -1 if words & MAIN_NAMES else 0
+    role = 1 if at.get("role") in ("main", "article") or at.get("itemprop") == "articleBody" else -1 if at.get("role") in ASIDE_ROLES else 0
+    style = at.get("style", "").replace(" ", "").lower()
+    hidden = "display:none" in style or at.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
+    return name, "header" in words, role, int(hidden)
+
+
+def _within(s: State, tag: str, attrs: str, mark: str | None) -> State:
+    """The state inside a container that opens in ``s``."""
+    hints = _hints if len(attrs) < 256 else _hints.__wrapped__
+    name, header, role, hidden = hints(attrs) if attrs and tag not in ("body", "html") else (0, False, 0, 0)
+    in_main = s.element == 1
+    element = role or (1 if tag in MAIN else -1 if tag in ASIDE or (tag == "header" and not in_main) else 0)
+    if header and not in_main and name == 0:
+        name = 1
+    s = s._replace(hidden=s.hidden | hidden, marked=s.marked or bool(mark and mark in attrs))
+    if tag == "form":
+        return s._replace(form=1, element=-1 if in_main else s.element, name=max(s.name, name, int(in_main)))
+    if element == 1 and name != 2:
+        outer = max(s.outer, 2 if s.element == -1 else s.form)
+        if in_main:  # a main element in another one: what was between them still counts
+            return s._replace(outer=outer)
+        return s._replace(element=1, outer=outer, above=max(s.above, s.name), name=0)
+    if s.name == 2 or name == 2:
+        name = 2
+    elif name == 0 or (name == -1 and s.name == 1 and in_main):
+        name = s.name
+    return s._replace(element=element if element == -1 else s.element, name=name)
+
+
+def blocks(page: str, mark: str | None = None) -> list[Block]:
+    """Each flat block with text, in page order. ``mark`` is the name of an attribute that labels a container in training pages."""
+    out: list[Block] = []
+    stack: list[tuple[str, State]] = []  # open containers
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = 0
-    main = aside = marked = False
+    in_link = heading = item = 0
+    outside = state = State()
+    nexts: dict[tuple[str, str], tuple[int, int]] = {}  # of a pattern: where the last look-up began, and what it found
     at = 0
-
-    def around() -> tuple[bool, bool, bool]:
-        if any(k == 3 for _, k, _ in stack):
-            return False, True, False
-        near = next((k for _, k, _ in reversed(stack) if k), 0)
-        return near == 1, near == 2, any(m for _, _, m in stack)
+    had_head = False
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -110,7 +149,7 @@ def blocks(page: str, mark: str | None = None) -> list[tuple[str, int, float, in
         if text:
             n = text.count(" ") + 1
             link_words = len(html_lib.unescape(" ".join(linked)).split())
-            out.append((text, n, min(1.0, link_words / n), int(heading > 0), int(main), int(aside), marked))
+            out.append(Block(text, n, min(1.0, link_words / n), int(heading > 0), int(item > 0), state))
         parts, linked = [], []
 
     def text_until(end: int) -> None:
@@ -119,12 +158,30 @@ def blocks(page: str, mark: str | None = None) -> list[tuple[str, int, float, in
             if in_link:
                 linked.append(page[at:end])
 
+    def following(kind: str, tag: str, pattern: str) -> re.Match | int:
+        """The place of the next match from here on, len(page) if there is none; each stretch of a page is searched once for a pattern."""
+        begun, found = nexts.get((kind, tag), (-1, -1))
+        if begun < 0 or found < at:
+            m = re.compile(pattern, re.I).search(page, at)
+            found = m.start() if m else len(page)
+            nexts[kind, tag] = (at, found)
+        return found
+
+    def close(k: int) -> None:
+        for t, _ in stack[k:]:
+            n_open[t] -= 1
+        del stack[k:]
+
+    last = page.rfind(">") + 1  # behind it no tag ends, so none is looked for
     while True:
-        m = TOKENS.search(page, at)
+        m = TOKENS.search(page, at, last)
         if m is None:
             break
         text_until(m.start())
         at = m.end()
+        if page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            at = len(page)
+            break
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
@@ -136,11 +193,20 @@ def blocks(page: str, mark: str | None = None) -> list[tuple[str, int, float, in
             if tag == "br":
                 parts.append(" ")
             continue
-        if tag in SKIPPED:
-            if not closing and not attrs.endswith("/"):
-                # up to its end tag; a head that is not closed ends at the body
-                stop = re.compile(rf"</{re.escape(tag)}\s*>|(?=<body[\s>])" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+        if tag in RAW or tag in SKIPPED:
+            if not closing and not attrs.endswith("/") and not (tag == "head" and had_head):
+                name = re.escape(tag)
+                stop = following("close", tag, rf"</{name}\s*>")
+                if tag == "head":
+                    had_head = True
+                    body = following("open", "body", r"<body[\s>]")
+                    at = body if body < stop else stop
+                elif tag in RAW or (stop < len(page) and stop <= following("open", tag, rf"<{name}[\s>]")):
+                    at = stop
+                else:  # not closed before the next one of its kind begins
+                    at = following("any", "tag", r"<[a-zA-Z/]")
+                if at == stop and stop < len(page):
+                    at = page.index(">", stop) + 1
                 parts.append(" ")
             continue
         end_block()
@@ -149,37 +215,53 @@ def blocks(page: str, mark: str | None = None) -> list[tuple[str, int, float, in
             heading = 0 if closing else 1
         elif tag in ("p", "li"):
             heading = 0
+        if tag in ITEMS:
+            item = 0 if closing else 1
+        elif tag in ("ul", "ol", "dl", "table"):
+            item = 0
         if tag in VOID:
             continue
         if stack and stack[-1][0] == "p" and not closing:
-            stack.pop()  # whatever begins a block ends a paragraph
-        if closing or tag in LEAVES:  # an element that was not closed ends where the next of its kind begins
+            close(len(stack) - 1)  # whatever begins a block ends a paragraph
+        if (closing or tag in LEAVES) and n_open[tag]:  # an element that was not closed ends where the next of its kind begins
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in LEAVES and stack[k][0] not in LEAVES:
                     break
+        state = stack[-1][1] if stack else outside
         if not closing and not attrs.endswith("/") and (attrs or tag not in LEAVES):
-            stack.append((tag, _kind(tag, attrs, around()[0]), bool(mark and mark in attrs)))
-        main, aside, marked = around()
-    text_until(len(page))
+            state = _within(state, tag, attrs, mark)
+            stack.append((tag, state))
+            n_open[tag] += 1
+    rest = page.find("<!--", at)
+    text_until(rest if rest >= 0 else len(page))
     end_block()
     return out
 
 
-def features(found: Sequence[tuple]) -> np.ndarray:
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item",
+    "element", "name", "above", "outer", "form", "hidden", "main_on_page",
+)
+#: Those that are read off texts and links alone.
+SHALLOW = FEATURES[:8]
+
+
+def features(found: Sequence[Block]) -> np.ndarray:
     """A row of FEATURES for each block of one page."""
-    own = np.array([[b[1], b[2]] for b in found], float).reshape(-1, 2)
+    own = np.array([[b.words, b.links] for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    kinds = np.array([[b[3], b[4], b[5]] for b in found], float).reshape(-1, 3)
-    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], kinds])
+    kinds = np.array([[b.heading, b.item, *b.state[:6]] for b in found], float).reshape(-1, 8)
+    main = any(b.state.element == 1 and b.state.outer < 2 and b.state.above < 2 for b in found)
+    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], kinds, np.full((len(found), 1), float(main))])
 
 
 # ------------------------------------------------------------ decision tree
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> dict:
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> dict:
     """Binary splits by Gini impurity; leaves hold the share of main text."""
     share = float(y.mean()) if len(y) else 0.0
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -213,57 +295,109 @@ def classify(tree: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
-    """Training pages of usual layouts; main content lies in containers with the attribute data-main.
-
-    Half of them tell their parts by elements or class names, the others by nothing but words and links.
-    """
-    rng = random.Random(seed)
-    words = lambda a, b: " ".join("lorem" for _ in range(rng.randint(a, b)))
-    links = lambda k: "".join(f"<li><a href='#'>{words(1, 3)}</a></li>" for _ in range(k))
-    out = []
-    for k in range(n):
-        named = k % 2 == 0
-        body = [f"<h1>{words(1, 12)}</h1>"]
-        for _ in range(rng.randint(1, 7)):
-            kind = rng.random()
-            if kind < 0.12:
-                body.append(f"<h2>{words(1, 6)}</h2>")
-            elif kind < 0.24 and named:
-                body.append(f"<ul>{''.join(f'<li>{words(1, 12)}</li>' for _ in range(3))}</ul>")
-            elif kind < 0.34 and named:
-                body.append(f"<p><a href='#'>{words(1, 9)}</a>{words(0, 3)}</p>")
-            elif kind < 0.5 and named:
-                body.append(f"<p>{words(1, 4)}</p>")
-            elif rng.random() < 0.4:
-                body.append(f"<p>{words(8, 90)} <a href='#'>{words(1, 3)}</a> {words(2, 40)}</p>")
-            else:
-                body.append(f"<p>{words(12, 150)}</p>")
-        main = "".join(body)
-        if named:
-            main = rng.choice(["<article data-main>{}</article>", "<main data-main>{}</main>", "<div role='main' data-main>{}</div>"]).format(main)
-            before = [f"<nav><ul>{links(6)}</ul></nav>", f"<header><h2>{words(1, 4)}</h2></header>", f"<div class='menu'>{links(4)}</div>"]
-            after = [
-                f"<div class='ad'>{words(3, 150)}</div>", f"<aside><h3>{words(1, 3)}</h3><p>{words(5, 150)}</p></aside>",
-                f"<div id='cookie-notice'><p>{words(5, 40)}</p></div>", f"<form><p>{words(2, 12)}</p></form>",
-                f"<section class='comments'><p>{words(2, 150)}</p><p>{words(20, 60)}</p></section>", f"<footer>{words(3, 40)}</footer>",
-            ]
-        else:
-            main = f"<div data-main>{main}</div>"
-            before = [f"<ul>{links(6)}</ul>", f"<ul>{links(3)}</ul>", f"<div>{words(1, 6)}</div>"]
-            after = [f"<ul>{links(5)}</ul>", f"<div>{words(1, 5)} <a href='#'>{words(3, 6)}</a></div>", f"<div>{words(1, 9)}</div>"]
-        rng.shuffle(before)
-        rng.shuffle(after)
-        out.append(f"<html><body>{''.join(before[:2])}{''.join(after[:1])}{main}{''.join(after[1:])}</body></html>")
-    return out
+class _Layouts:
+    """Training pages; main content lies in containers with the attribute data-main."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def words(self, a: int, b: int) -> str:
+        return " ".join("lorem" for _ in range(self.rng.randint(a, b)))
+
+    def links(self, k: int) -> str:
+        return "".join(f"<li><a href='#'>{self.words(1, 4)}</a></li>" for _ in range(k))
+
+    def menu(self) -> str:
+        """Links one after another, as a list or not."""
+        k = self.rng.randint(3, 9)
+        rows = "".join(f"<div><a href='#'>{self.words(1, 6)}</a></div>" for _ in range(k))
+        return rows if self.rng.random() < 0.3 else f"<ul>{self.links(k)}</ul>"
+
+    def aside(self, name: str = "") -> str:
+        """Something that is no main text, told by an element, by ``name`` or by its links alone."""
+        rng, w = self.rng, self.words
+        inner = rng.choice([w(1, 200), f"<p>{w(1, 200)}</p>", f"<ul>{self.links(rng.randint(1, 2))}</ul>", f"<h3>{w(1, 4)}</h3><p>{w(2, 120)}</p>", self.menu(), f"<p>{w(1, 6)} <a href='#'>{w(1, 6)}</a></p>"])
+        if name:
+            return f"<div class='{name}'>{inner}</div>"
+        return rng.choice([
+            f"<nav>{self.menu()}</nav>", f"<nav>{inner}</nav>", f"<aside>{inner}</aside>", f"<footer>{inner}</footer>", f"<form><p>{w(1, 20)}</p>{inner}</form>",
+            f"<div role='complementary'>{inner}</div>", f"<div hidden>{inner}</div>", f"<div style='display: none'>{inner}</div>",
+        ])
+
+    def named(self) -> str:
+        name = self.rng.choice(sorted(ASIDE_NAMES | COMMENT_NAMES))
+        return self.aside(self.rng.choice([name, f"block-{name}", f"{name}-box wide", f"{name}Area"]))
+
+    def cards(self) -> str:
+        card = lambda: f"<article><h3><a href='#'>{self.words(2, 9)}</a></h3><p>{self.words(0, 30)}</p></article>"
+        return f"<aside>{''.join(card() for _ in range(self.rng.randint(2, 4)))}</aside>"
+
+    def comments(self) -> str:
+        one = lambda tag: f"<{tag} class='{self.rng.choice(['comment', 'reply', 'comment-body'])}'><p>{self.words(1, 120)}</p></{tag}>"
+        many = "".join(one(self.rng.choice(["div", "article", "li"])) for _ in range(self.rng.randint(1, 4)))
+        plain = f"<article><p>{self.words(1, 120)}</p></article><article><p>{self.words(1, 120)}</p></article>"
+        return self.rng.choice([many, f"<section class='comments'>{self.rng.choice([many, plain])}</section>"])
+
+    def piece(self, hinted: bool) -> str:
+        """A piece of main text; where nothing around it hints at main text, one that can be told by its words."""
+        rng, w = self.rng, self.words
+        if not hinted:
+            return rng.choice([f"<p>{w(25, 150)}</p>", f"<p>{w(15, 90)} <a href='#'>{w(1, 3)}</a> {w(10, 40)}</p>"])
+        return rng.choice([
+            f"<p>{w(1, 4)}</p>", f"<p>{w(5, 40)}</p>", f"<p>{w(20, 200)}</p>", f"<p>{w(1, 90)} <a href='#'>{w(1, 6)}</a> {w(0, 40)}</p>", w(1, 60),
+            f"<h2>{w(1, 8)}</h2><p>{w(1, 80)}</p>", f"<ul>{''.join(f'<li>{w(1, 25)}</li>' for _ in range(3))}</ul>", f"<p>{w(1, 60)}</p><p><a href='#'>{w(1, 9)}</a></p><p>{w(1, 60)}</p>",
+            f"<ul><li>{w(1, 20)}</li><li><a href='#'>{w(1, 9)}</a></li><li>{w(1, 20)}</li></ul>",
+            f"<table><tr><td>{w(1, 4)}</td><td>{w(1, 9)}</td></tr></table>", f"<blockquote><p>{w(5, 60)}</p></blockquote>",
+        ])
+
+    def body(self, hinted: bool) -> str:
+        rng = self.rng
+        title = f"<h1>{self.words(1, 14)}</h1>"
+        head = rng.choice([title, title, f"<header>{title}<p>{self.words(1, 8)}</p></header>" if hinted else title])
+        out = [head if hinted or rng.random() < 0.5 else ""]
+        out += [self.piece(hinted) for _ in range(rng.randint(1 if hinted else 3, 9))]
+        if hinted:
+            for extra in (self.aside, self.named, self.comments, self.menu):
+                if rng.random() < 0.25:
+                    out.insert(rng.randint(1, len(out)), f"<div data-out>{extra()}</div>")
+        return "".join(out)
+
+    def page(self, kind: int) -> str:
+        rng = self.rng
+        if kind == 2:  # nothing but words and links
+            short = lambda: rng.choice([self.menu(), f"<div>{self.words(1, 8)}</div>", f"<div>{self.words(1, 5)} <a href='#'>{self.words(3, 8)}</a></div>", f"<p>{self.words(1, 9)}</p>"])
+            return f"<html><body>{self.menu()}{short()}<div data-main>{self.body(False)}</div>{short()}{short()}{self.menu()}</body></html>"
+        if kind == 0:  # main elements, some with names that mislead
+            tag = rng.choice(["article", "main", "div role='main'", "article class='post'", "article class='post share'", "main class='content has-sidebar'", "section itemprop='articleBody'"])
+            main = f"<{tag} data-main>{self.body(True)}</{tag.split()[0]}>"
+        else:  # names alone
+            main = f"<div class='{rng.choice(['post', 'entry', 'story', 'article-text', 'post-body'])}' data-main>{self.body(True)}</div>"
+        wrap = rng.choice(["{}"] * 4 + ["<div class='site no-sidebar has-comments'>{}</div>", "<form>{}</form>"] + ["<div class='comments-page'>{}</div>", "<div class='banner widget'>{}</div>"] * (kind == 0))
+        around = [rng.choice([self.aside, self.named, self.comments, self.cards, self.menu])() for _ in range(rng.randint(2, 6))]
+        around += [f"<header><h2>{self.words(1, 5)}</h2></header>"] * (rng.random() < 0.4) + [f"<p>{self.words(1, 60)}</p>"] * (rng.random() < 0.3)
+        rng.shuffle(around)
+        cut = rng.randint(0, len(around))
+        return f"<html><body>{''.join(around[:cut])}{wrap.format(main)}{''.join(around[cut:])}</body></html>"
+
+
+def labelled_pages(n: int = 1200, seed: int = 7) -> list[str]:
+    """Pages of usual layouts: a third tell their parts by elements, a third by names, the others by nothing but words and links."""
+    make = _Layouts(seed)
+    return [make.page(k % 3) for k in range(n)]
+
+
+def labels(page: str) -> tuple[list[Block], np.ndarray]:
+    """A training page's blocks, and for each whether it is main text: in a container marked data-main, and in none marked data-out."""
+    found = blocks(page, "data-main")
+    return found, np.array([b.state.marked for b in found]) & ~np.array([b.state.marked for b in blocks(page, "data-out")])
 
 
 def labelled_blocks(spark: SparkSession, pages: Sequence[str] | None = None) -> DataFrame:
     """The labelled table: FEATURES and main (0/1) of each block of the training pages."""
     rows = []
     for page in pages or labelled_pages():
-        found = blocks(page, "data-main")
-        rows += [[float(v) for v in f] + [int(b[6])] for f, b in zip(features(found), found, strict=True)]
+        found, main = labels(page)
+        rows += [[float(v) for v in f] + [int(y)] for f, y in zip(features(found), main, strict=True)]
     return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", main int")
 
 
@@ -271,7 +405,7 @@ def labelled_blocks(spark: SparkSession, pages: Sequence[str] | None = None) ->
 MAX_LABELLED = 100_000
 
 
-def train(labelled: DataFrame, depth: int = 6) -> dict:
+def train(labelled: DataFrame, depth: int = 10) -> dict:
     """The tree of a labelled table of at most MAX_LABELLED rows."""
     rows = labelled.select(*FEATURES, "main").limit(MAX_LABELLED + 1).toPandas()
     if len(rows) > MAX_LABELLED:
@@ -280,12 +414,12 @@ def train(labelled: DataFrame, depth: int = 6) -> dict:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], tree: dict, html: str, text: str, n_chars: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = [blocks(h) if h else [] for h in batch.column(html).to_pylist()]
         keep = classify(tree, np.vstack([np.empty((0, len(FEATURES))), *[features(f) for f in found]]))
         texts, at = [], 0
         for f in found:
-            texts.append("\n\n".join(b[0] for b, k in zip(f, keep[at : at + len(f)], strict=True) if k))
+            texts.append("\n\n".join(b.text for b, k in zip(f, keep[at : at + len(f)], strict=True) if k))
             at += len(f)
         add = {text: pa.array(texts, pa.string()), n_chars: pa.array([len(t) for t in texts], pa.int64())}
         yield arrow_columns(batch, add, drop=[html] if html != text else [])

@@ -1,18 +1,18 @@
 """Quality rules: base rules, then robust multivariate outliers for each language and source.
 
 Statistics of every whole text are turned into a vector (logs and ratios). For each
-group of documents a minimum-covariance-determinant estimate of centre and
-scatter is found by concentration steps: starting from the coordinate-wise median
-and median deviation, the half of the vectors nearest by Mahalanobis distance gives the
-next mean and covariance, until the determinant stops falling. The vectors within the
+group of documents the minimum-covariance-determinant estimate of centre and scatter is sought as is usual: from
+several starts (the coordinate-wise median and median deviation, and a few vectors picked by a seeded hash), concentration
+steps, in which the half of the vectors nearest by Mahalanobis distance gives the next mean and covariance, lower the
+determinant; after two steps the best starts go on until none falls, and the least determinant wins. The vectors within the
 0.975 quantile of that estimate then give the final one. A vector counts once in a group,
-however many documents have it, so that copies have no weight of their own. A document whose distance from its group's estimate
-exceeds the cut is rejected. All steps are aggregations over groups and
-joins with one row a group; the 5 x 5 algebra is column arithmetic.
+however many documents have it, so that copies have no weight of their own. A document whose distance from its group's
+estimate exceeds the cut is rejected. All steps are aggregations that are combined before they are shuffled, and joins with a few rows a
+group, which are sent to every task, so no group meets in one task; the 5 x 5 algebra is column arithmetic.
 
 A group of fewer than MIN_GROUP vectors, too few for an estimate in five dimensions, is judged by
 its language's estimate, then by that of all documents. Variances are raised to a floor where they are below it, so that a
-statistic that is constant in the nearer share (such as symbols: none) does not make
+statistic that is constant in the nearer half (such as symbols: none) does not make
 the scatter singular, nor a document with one symbol an outlier.
 
 Defined results: a null text has no words and fails the base rules, as does an empty
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import SPACE, fresh, written
@@ -112,113 +112,123 @@ def vectors(n_words: Column, word_chars: Column, n_symbols: Column, n_dup_lines:
 
 DIMS = list(FLOORS)
 PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+CENTRE, FACTOR = [f"m_{a}" for a in DIMS], [f"l_{a}_{b}" for a, b in PAIRS]
+#: Vectors are kept as whole numbers of this fraction, far below any floor: sums of them are exact in any order, so that a
+#: task that runs again, or another number of partitions, gives the same estimate.
+GRID = 1024
+#: Groups whose estimates are sent to every task; beyond that they are joined, with groups split in PARTS.
+MAX_SENT, PARTS = 10_000, 64
 
 
-def _scatter_aggregates() -> list[Column]:
-    return [F.count("*").alias("m"), *[F.sum(a).alias(f"s_{a}") for a in DIMS],
-            *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in PAIRS]]
+def gridded(x: Column) -> Column:
+    return F.round(x * GRID).cast("int")
 
 
-def _factored(sums: DataFrame, keep: list[str], scale: Column | float = 1.0, least: bool = True) -> DataFrame:
-    """Means and the Cholesky factor of the covariance times ``scale``, one row a group, as columns m_* and l_*.
+def _with_estimates(points: DataFrame, est: DataFrame, sent: bool) -> DataFrame:
+    """Each point with each row of its group in ``est``, without bringing a group together in one task."""
+    if sent:
+        return points.join(F.broadcast(est), "g")
+    parts = est.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return points.withColumn("part", F.pmod(F.xxhash64(*DIMS), F.lit(PARTS)).cast("int")).join(parts, ["g", "part"]).drop("part")
 
-    Variances are at least their floor's square, or with ``least=False`` have it added.
-    """
-    df = sums.select(
-        *keep, *[(F.col(f"s_{a}") / F.col("m")).alias(f"m_{a}") for a in DIMS],
-        *[((F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("m")) / F.col("m") * scale).alias(f"c_{a}_{b}") for a, b in PAIRS],
-    )
+
+# The algebra is written as SQL text in one projection each, whose later columns use the earlier ones.
+
+
+def _scatter(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, sums and sums of products of each key's vectors."""
+    sums = ["count(*) AS m", *[f"sum(cast({a} AS double)) AS s_{a}" for a in DIMS], *[f"sum(cast({a} AS double) * {b}) AS s_{a}_{b}" for a, b in PAIRS]]
+    return points.groupBy(*keys).agg(*map(F.expr, sums))
+
+
+def _factored(sums: DataFrame, keep: list[str], scale: str = "1.0D") -> DataFrame:
+    """Means and the Cholesky factor of the covariance times ``scale``, as columns m_* and l_*. Variances are at least their floor's square."""
+    cols = [f"s_{a} / m / {GRID} AS m_{a}" for a in DIMS]
+    cols += [f"(s_{a}_{b} - s_{a} * s_{b} / m) / m / {GRID**2} * {scale} AS c_{a}_{b}" for a, b in PAIRS]
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[: i + 1]):
-            rest = reduce(lambda u, v: u + v, [F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in DIMS[:j]], F.lit(0.0))
-            if i == j:
-                square = FLOORS[a] ** 2
-                variance = F.greatest(F.col(f"c_{a}_{a}"), F.lit(square)) if least else F.col(f"c_{a}_{a}") + square
-                value = F.sqrt(F.greatest(variance - rest, F.lit(square * 0.01)))
-            else:
-                value = (F.col(f"c_{a}_{b}") - rest) / F.col(f"l_{b}_{b}")
-            df = df.withColumn(f"l_{a}_{b}", value)
-    return df.select(*keep, *[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS])
-
-
-def _distance(df: DataFrame, out: str) -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution."""
-    for i, a in enumerate(DIMS):
-        rest = reduce(lambda u, v: u + v, [F.col(f"l_{a}_{k}") * F.col(f"y_{k}") for k in DIMS[:i]], F.lit(0.0))
-        df = df.withColumn(f"y_{a}", (F.col(a) - F.col(f"m_{a}") - rest) / F.col(f"l_{a}_{a}"))
-    square = reduce(lambda u, v: u + v, [F.col(f"y_{a}") * F.col(f"y_{a}") for a in DIMS])
-    return df.withColumn(out, square).drop(*[f"y_{a}" for a in DIMS])
+            rest = "".join(f" - l_{a}_{k} * l_{b}_{k}" for k in DIMS[:j])
+            square = FLOORS[a] ** 2
+            cols.append(f"sqrt(greatest(greatest(c_{a}_{a}, {square}D){rest}, {square * 0.01}D)) AS l_{a}_{a}" if i == j else f"(c_{a}_{b}{rest}) / l_{b}_{b} AS l_{a}_{b}")
+    return sums.selectExpr(*keep, *cols).select(*keep, *CENTRE, *FACTOR)
 
 
-def mcd(points: DataFrame, group: str = "g", h: float = 0.75, steps: int = 3) -> DataFrame:
-    """One row a group: n, centre (m_*) and factor (l_*) of the share ``h`` of points with the least scatter.
+def _distance(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and d, the squared Mahalanobis distance, by forward substitution."""
+    ys = [f"({a} / {GRID} - m_{a}" + "".join(f" - l_{a}_{k} * y_{k}" for k in DIMS[:i]) + f") / l_{a}_{a} AS y_{a}" for i, a in enumerate(DIMS)]
+    return df.selectExpr(*keep, *ys, " + ".join(f"y_{a} * y_{a}" for a in DIMS) + " AS d").select(*keep, "d")
 
-    A fixed number of plain concentration steps, without consistency factors and with floors added; verdicts rest on ``robust``.
 
-    ``points`` has the group and the columns of DIMS; it is read once a step, so it should be a written table.
-    """
-    start = points.groupBy(group).agg(
-        F.count("*").alias("n"), *[F.percentile_approx(a, [0.25, 0.5, 0.75], 2000).alias(f"q_{a}") for a in DIMS]
-    )
-    diagonal = [
-        F.greatest((F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349, F.lit(FLOORS[a])).alias(f"l_{a}_{b}") if a == b
-        else F.lit(0.0).alias(f"l_{a}_{b}")
-        for a, b in PAIRS
-    ]
-    est = start.select(group, "n", *[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in DIMS], *diagonal)
-    for k in range(steps):
-        est = written(est, f"mcd-{k}")
-        placed = _distance(points.join(est, group), "d").select(group, "n", *DIMS, "d")
-        # written, so that it is known to be small and the points need no shuffle by group, where one may hold a third of them
-        cut = written(placed.groupBy(group).agg(F.percentile_approx("d", h, 2000).alias("cut")), f"cut-{k}")
-        sums = placed.join(cut, group).where("d <= cut").groupBy(group, "n").agg(*_scatter_aggregates())
-        est = _factored(sums, [group, "n"], least=False)
-    return written(est, "mcd")
+def _middle(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """The least value that half of a key's rows do not exceed, by counting equal values first; ``value`` has few different ones."""
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    counts = counts.withColumns({"upto": F.sum("c").over(order), "of": F.sum("c").over(Window.partitionBy(*keys))})
+    return counts.where("2 * upto >= of").groupBy(*keys).agg(F.min(value).alias(out))
 
 
 #: The half of normal data in five dimensions nearest to its centre, and what lies within its 0.975 quantile, understate the covariance by these factors.
 HALF, MOST = 1.912, 1.0555
 #: 0.975 quantile of chi-square with five degrees.
 WITHIN = 12.8325
-#: Least fall of the log determinant that counts as one: percentiles are approximate in large groups.
-FALL = 1e-3
-
-
-def robust(points: DataFrame, group: str = "g") -> DataFrame:
-    """One row a group: n, centre (m_*) and factor (l_*) of the half of its vectors with the least scatter, reweighted.
-
-    ``points`` has the group and the columns of DIMS; vectors that repeat in a group count once.
+#: Fall of the log determinant that counts as one.
+FALL = 1e-6
+#: Starts from random vectors, besides that from medians; vectors in each, about; steps before the best few go on.
+STARTS, FIRST, EARLY, BEST = 4, 8, 2, 2
+
+
+def _starts(points: DataFrame, sizes: DataFrame, sent: bool) -> DataFrame:
+    """(g, s, n, centre, factor): for each group the median and median deviation (s = 0), and estimates of a few vectors picked by a seeded hash."""
+    long = points.select("g", F.posexplode(F.array(*DIMS)).alias("a", "x"))
+    centre = written(_middle(long, ["g", "a"], "x", "centre"), "medians")
+    off = long.join(F.broadcast(centre) if sent else centre, ["g", "a"]).withColumn("off", F.abs(F.col("x") - F.col("centre")))
+    spread = _middle(off, ["g", "a"], "off", "spread").join(centre, ["g", "a"])
+    of = lambda c, k: f"max(CASE WHEN a = {k} THEN {c} END) / {GRID}"
+    wide = [f"{of('centre', k)} AS m_{a}" for k, a in enumerate(DIMS)]
+    wide += [f"greatest(1.4826D * {of('spread', k)}, {FLOORS[a]}D) AS l_{a}_{a}" for k, a in enumerate(DIMS)]
+    plain = spread.groupBy("g").agg(*map(F.expr, wide), *[F.lit(0.0).alias(f"l_{a}_{b}") for a, b in PAIRS if a != b]).withColumn("s", F.lit(0)).join(sizes, "g")
+    picked = _with_estimates(points, sizes, sent).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    picked = picked.where(F.pmod(F.xxhash64("s", "g", *DIMS), F.col("n")) < FIRST)
+    names = ["g", "s", "n", *CENTRE, *FACTOR]
+    random = _factored(_scatter(picked, ["g", "s", "n"]), ["g", "s", "n"])
+    return plain.select(*names).unionByName(random.select(*names)).withColumns({"det": F.lit(float("inf")), "falls": F.lit(True)})
+
+
+def _step(points: DataFrame, est: DataFrame, sent: bool) -> DataFrame:
+    """One concentration step of each estimate that still falls: the scatter of the half of its group nearest to it."""
+    moving = est.where("falls").select("g", "s", "n", *CENTRE, *FACTOR)
+    placed = _distance(_with_estimates(points, moving, sent), ["g", "s", "n", *DIMS])
+    placed = placed.selectExpr("g", "s", "n", *DIMS, "cast(floor(log1p(d) * 512) AS int) AS bin")
+    cut = _middle(placed, ["g", "s"], "bin", "cut")
+    near = placed.join(F.broadcast(cut) if sent else cut, ["g", "s"]).where("bin <= cut")
+    names = [*CENTRE, *FACTOR, "det"]
+    log_det = " + ".join(f"2 * ln(l_{a}_{a})" for a in DIMS)
+    new = _factored(_scatter(near, ["g", "s", "n"]), ["g", "s", "n"], f"{HALF}D").selectExpr("*", f"{log_det} AS det")
+    new = new.select("g", "s", F.struct(*names).alias("new"))
+    both = est.join(new, ["g", "s"], "left").withColumnRenamed("falls", "fell").withColumn("falls", F.expr(f"coalesce(new.det < det - {FALL}D, false)"))
+    return both.selectExpr("g", "s", "n", *[f"CASE WHEN falls THEN new.{c} ELSE {c} END AS {c}" for c in names], "falls")
+
+
+def robust(points: DataFrame) -> DataFrame:
+    """One row a group ``g``: n, centre (m_*) and factor (l_*) of the half of its vectors whose scatter has the least determinant, reweighted.
+
+    ``points`` has different vectors in grid units in each group, and is read several times, so it should be a written table.
     """
-    points = written(points.select(group, *DIMS).distinct(), "vectors")
-    middle = written(
-        points.groupBy(group).agg(F.count("*").alias("n"), *[F.percentile_approx(a, 0.5, 10000).alias(f"m_{a}") for a in DIMS]), "medians"
-    )
-    spread = points.join(middle, group).groupBy(group, "n", *[f"m_{a}" for a in DIMS]).agg(
-        *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 10000).alias(f"d_{a}") for a in DIMS]
-    )
-    diagonal = [
-        F.greatest(1.4826 * F.col(f"d_{a}"), F.lit(FLOORS[a])).alias(f"l_{a}_{b}") if a == b else F.lit(0.0).alias(f"l_{a}_{b}")
-        for a, b in PAIRS
-    ]
-    names = ["n", *[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]]
-    est = spread.select(group, "n", *[f"m_{a}" for a in DIMS], *diagonal)
-    est = written(est.withColumns({"det": F.lit(float("inf")), "falls": F.lit(True)}), "start")
-    log_det = sum((2 * F.log(f"l_{a}_{a}") for a in DIMS[1:]), 2 * F.log(f"l_{DIMS[0]}_{DIMS[0]}"))
+    sizes = written(points.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    sent = sizes.count() <= MAX_SENT
+    est, k = written(_starts(points, sizes, sent), "mcd"), 0
     while est.where("falls").limit(1).count():
-        placed = _distance(points.join(est.where("falls"), group), "d").select(group, "n", *DIMS, "d")
-        # written, so that it is known to be small and the points need no shuffle by group, where one may hold a third of them
-        cut = written(placed.groupBy(group).agg(F.percentile_approx("d", 0.5, 10000).alias("cut")), "cut")
-        sums = placed.join(cut, group).where("d <= cut").groupBy(group, "n").agg(*_scatter_aggregates())
-        step = _factored(sums, [group, "n"], HALF).withColumn("det", log_det)
-        step = step.select(F.col(group).alias("step_group"), F.struct(*names, "det").alias("s"))
-        falls = F.coalesce(F.col("s.det") < F.col("det") - FALL, F.lit(False))
-        est = written(est.join(step, F.col(group) == F.col("step_group"), "left").select(
-            group, *[F.when(falls, F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in (*names, "det")], falls.alias("falls")
-        ), "mcd")
-    near = _distance(points.join(est, group), "d").where(F.col("d") <= WITHIN)
+        est, k = _step(points, est, sent), k + 1
+        if k == EARLY:
+            best = F.row_number().over(Window.partitionBy("g").orderBy("det", "s"))  # a row a start
+            est = est.withColumn("rank", best).where(F.col("rank") <= BEST).drop("rank")
+        est = written(est, "mcd")
+    names = ["n", *CENTRE, *FACTOR]
+    least = est.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("det", "s")).alias("e")).select("g", "e.*")
+    near = _distance(_with_estimates(points, least, sent), ["g", "n", *DIMS]).where(F.col("d") <= WITHIN)
     # the last factor makes the mean squared distance of further documents the number of dimensions for small groups too
-    small = (F.col("m") + 1) / F.greatest(F.col("m") - len(DIMS) - 2, F.lit(1))
-    return written(_factored(near.groupBy(group, "n").agg(*_scatter_aggregates()), [group, "n"], MOST * small), "mcd")
+    small = f"{MOST}D * (m + 1) / greatest(m - {len(DIMS) + 2}, 1)"
+    return written(_factored(_scatter(near, ["g", "n"]), ["g", "n"], small), "mcd")
 
 
 #: 0.99999 quantile of chi-square with five degrees.
@@ -237,19 +247,17 @@ def apply_rules(
 ) -> DataFrame:
     """``docs`` with the five counts, ``failed`` by the base rules, and the verdict ``kept``.
 
-    Estimates are made from all documents that pass the base rules, by a first pass that writes nothing but the counts;
-    a second one judges each document. For ``how`` see estimates.
+    Texts are counted once and written with their counts; estimates are made from the counts of all documents that
+    pass the base rules. For ``how`` see estimates.
     """
-    counted = statistics(docs, text, out)
-    narrow = written(counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *out), "counts")
-    return judge(counted, estimates(narrow, out=out, **how), lang, source, cut, kept, failed, out)
+    counted = written(statistics(docs, text, out), "counts")
+    return judge(counted, estimates(counted, lang, source, out=out, **how), lang, source, cut, kept, failed, out)
 
 
-def _group_keys(lang: str, source: str) -> tuple[Column, Column, Column]:
-    """Keys of a document's groups, the narrowest first."""
+def _group_keys(lang: str, source: str) -> tuple[Column, Column]:
+    """Keys of a document's language and source, and of its language."""
     name = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null"))
-    by_lang = F.concat(F.lit("lang|"), name(lang))
-    return F.concat(F.lit("both|"), name(lang), F.lit("|"), name(source)), by_lang, F.lit("all")
+    return F.concat(F.lit("both|"), name(lang), F.lit("|"), name(source)), F.concat(F.lit("lang|"), name(lang))
 
 
 def estimates(
@@ -261,15 +269,22 @@ def estimates(
     ``counted`` has the counts ``out`` and is read several times, so it should be a written table.
     """
     c = [F.col(x) for x in out]
-    passed = counted.where(~base_failed(c[0], c[4]))
-    keys = _group_keys(lang, source)
-    points = written(passed.select(F.explode(F.array(*keys)).alias("g"), *[v.alias(k) for k, v in vectors(*c).items()]), "points")
-    est = robust(points).select("g", "n", F.struct(*[f"m_{a}" for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS]).alias("e"))
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), key.alias("g")) for k, key in enumerate(keys)])
-    wider = passed.select(keys[0].alias("group"), levels.alias("levels")).distinct()
-    wider = wider.select("group", F.explode("levels").alias("l")).select("group", "l.level", "l.g").join(est, "g")
-    own = wider.where((F.col("n") >= min_group) | (F.col("level") == 2)).groupBy("group").agg(F.min_by("e", "level").alias("e"))
-    return written(own, "estimates")
+    own, by_lang = _group_keys(lang, source)
+    passed = counted.where(~base_failed(c[0], c[4])).select(own.alias("g"), by_lang.alias("l"), *[gridded(v).alias(k) for k, v in vectors(*c).items()])
+    vecs = written(passed.distinct(), "vectors")
+    sizes = written(vecs.groupBy("g", "l").agg(F.count("*").alias("n")), "groups").withColumn("few", F.col("n") < min_group)
+    # a wider group is estimated only where a narrower one is too small
+    parts = [vecs.join(sizes.where("not few").select("g"), "g", "left_semi").drop("l")]
+    few_langs = written(sizes.where("few").select("l").distinct(), "languages")
+    in_few = written(vecs.join(few_langs, "l", "left_semi").select(F.col("l").alias("g"), *DIMS).distinct(), "vectors")
+    lang_sizes = written(in_few.groupBy("g").agg(F.count("*").alias("n")), "groups")
+    parts.append(in_few.join(lang_sizes.where(F.col("n") >= min_group).select("g"), "g", "left_semi"))
+    if lang_sizes.where(F.col("n") < min_group).limit(1).count():
+        parts.append(vecs.select(F.lit("all").alias("g"), *DIMS).distinct())
+    est = robust(written(reduce(DataFrame.unionByName, parts), "points")).select("g", F.struct(*CENTRE, *FACTOR).alias("e"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), g.alias("g")) for k, g in enumerate((F.col("g"), F.col("l"), F.lit("all")))])
+    found = sizes.select(F.col("g").alias("group"), F.explode(levels).alias("at")).select("group", "at.*").join(est, "g")
+    return written(found.groupBy("group").agg(F.min_by("e", "level").alias("e")), "estimates")
 
 
 def judge(
@@ -281,6 +296,7 @@ def judge(
     bad, vec = base_failed(c[0], c[4]), vectors(*c)
     key, group, v, d = fresh([*counted.columns, kept, failed], "own_key", "own_group", "v", "d")
     own = own.select(F.col("group").alias(group), F.col("e").alias(v))
+    own = F.broadcast(own) if own.count() <= MAX_SENT else own
     joined = counted.withColumn(key, _group_keys(lang, source)[0]).join(own, F.col(key) == F.col(group), "left").drop(key, group)
     ys: dict[str, Column] = {}
     for i, a in enumerate(DIMS):

@@ -33,6 +33,26 @@ from pyspark.sql import types as T
 
 from noticeflow.llm.common import arrow_columns, sliced, small_batches, with_fields
 
+# Where the tokenizer's character tables and those of Unicode 15.1 differ. Its letters and numbers are those of
+# Unicode 16, its lower case is that of 17, and its combining classes are those of an older version, in which these
+# characters are no marks and the last one composes with none.
+LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LOWERED = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+NO_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF), (0x11930, 0x11930),
+)
 #: White space that str.split() cuts at, but the tokenizer's ``\s`` does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Encoded chunks and words that a task keeps of each in a young and in an old table, and pairs known to be compatible or not.
@@ -46,6 +66,31 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(visible) else chr(next(spare)) for b in range(256)]
 
 
+def _listed(ranges) -> str:
+    """Ranges of code points as the inside of a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def pinned(pattern: str) -> str:
+    """The pattern with letters and numbers that are the tokenizer's, whatever the regex module's version knows."""
+    import regex
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    code = lambda i: i if i < 0xD800 else i + 0x800
+    for name, more in (("L", LETTERS), ("N", NUMBERS)):
+        extra = {c for a, b in more for c in range(a, b + 1)}
+        mine = {c for c in map(ord, every) if c in extra or unicodedata.category(chr(c))[0] == name}
+        theirs = {code(i) for m in regex.finditer(rf"\p{{{name}}}+", every) for i in range(*m.span())}
+        parts = f"\\p{{{name}}}"
+        for op, chars in (("--", theirs - mine), ("||", mine - theirs)):
+            if chars:
+                starts = sorted(c for c in chars if c - 1 not in chars)
+                ends = sorted(c for c in chars if c + 1 not in chars)
+                parts = f"[{parts}{op}[{_listed(zip(starts, ends, strict=True))}]]"
+        pattern = pattern.replace(f"\\p{{{name}}}", parts)
+    return "(?V1)" + pattern
+
+
 def read_spec(path: str) -> dict:
     """What the encoder needs of a tokenizer file; about the size of the vocabulary. Raises if it asks for other rules."""
     with open(path, encoding="utf-8") as f:
@@ -67,7 +112,7 @@ def read_spec(path: str) -> dict:
     # few large objects, so that each worker's copy is small: tokens in order of id, merges as (left, right, result)
     triples = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
     return {
-        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": split["pattern"]["Regex"],
+        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": pinned(split["pattern"]["Regex"]),
         "added": {t["content"]: t["id"] for t in raw["added_tokens"]},
     }
 
@@ -110,6 +155,8 @@ class Encoder:
         self.fits: dict[int, bool] = {}
         self.words = regex.compile(spec["pattern"])
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
+        self.apart = regex.compile(f"([{_listed(NO_MARKS)}])")
+        self.upper = regex.compile(f"[{_listed((c, c) for c in LOWERED)}]")
         self.spaces = regex.compile(r"[^\S\x1c-\x1f]+")
         # what was encoded lately, by chunk and by word; a full young table becomes the old one, so what is used often stays
         self.chunks: dict[str, bytes] = {}
@@ -185,8 +232,13 @@ class Encoder:
         """Ids, as int32 bytes, of a text without white space and added tokens."""
         if text.isascii():
             low = text.lower()
-        else:  # each character is lowered by itself: a final sigma is a sigma
-            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        else:
+            # what the tokenizer takes for no mark keeps apart what is before and behind it
+            parts = self.apart.split(text) if self.apart.search(text) else (text,)
+            low = "".join(unicodedata.normalize("NFC", t) for t in parts)
+            low = low.replace("Σ", "σ").lower()  # each character is lowered by itself: a final sigma is a sigma
+            if self.upper.search(low):
+                low = low.translate(LOWERED)
         out = []
         for w in [low] if low.isalpha() and low.isascii() else self.words.findall(low):
             got = self.known.get(w)
@@ -257,11 +309,14 @@ _READY: dict = {}
 
 
 def _ready(kind: type, tables):
-    """One encoder or decoder a worker process, made from the broadcast tables."""
+    """One encoder and one decoder a worker process, made from the broadcast tables."""
     spec = tables.value
-    if _READY.get("of") is not spec or "made" not in _READY or not isinstance(_READY["made"], kind):
-        _READY.update(of=spec, made=kind(spec))
-    return _READY["made"]
+    if _READY.get("of") is not spec:
+        _READY.clear()
+        _READY["of"] = spec
+    if kind not in _READY:
+        _READY[kind] = kind(spec)
+    return _READY[kind]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tables, text: str, ids: str) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -52,3 +53,14 @@ def test_bpe_on_tables(spark, tools):
     assert [r["decoded"] for r in out] == [tools[2].decode(r["ids"], skip_special_tokens=False) for r in out]
     assert [r["doc_id"] for r in out] == [0, 1, 2, None, 4]
     assert bpe.encode(docs.limit(0), tok).count() == 0
+
+
+def test_every_code_point_is_as_the_library_has_it(tools):
+    """Alone between a letter and a digit, and between a letter and marks of lower and higher class; Hangul and Han but for samples."""
+    same_tables = [*range(0x3400, 0x4DC0, 97), *range(0x4E00, 0xA000, 97), *range(0xAC00, 0xD7A4, 97), *range(0x20000, 0x323B0, 997)]
+    rest = [c for c in range(0x110000) if not (0x3400 <= c < 0x4DC0 or 0x4E00 <= c < 0xA000 or 0xAC00 <= c < 0xE000 or 0x20000 <= c < 0xE0000 or c >= 0xE1000)]
+    texts = [f"a{c}b1 \u1eb9{c}\u0327 e{c}\u0301{c}b" for c in map(chr, rest + same_tables)]
+    texts += [unicodedata.normalize("NFD", chr(c)) for c in rest if unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+    enc, _, lib = tools
+    wrong = [t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(enc.encode(t), np.int32).tolist() != e.ids]
+    assert not wrong, [hex(ord(t[1])) for t in wrong[:20]]

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, iterated, sliced, small_batches, written
+from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, fresh, iterated, sliced, small_batches, written
 
 WORDS = 5
 #: Counters of the sketch of shingle frequencies; one byte each where tasks get it.
@@ -95,6 +95,11 @@ def prefix_length(n: int, threshold: Fraction) -> int:
     return n - needed(n, threshold) + 1
 
 
+def tiny(threshold: Fraction) -> int:
+    """The size up to which two sets may link by a single shingle, so that pairs of shingles don't find them all."""
+    return threshold.denominator // threshold.numerator
+
+
 #: Bits of the short sketches that long lists are scanned with.
 SHORT = 512
 
@@ -216,8 +221,8 @@ def boundary(sizes: dict[int, int], share: float, threshold: Fraction, most: int
     return at
 
 
-#: Entries of one key that one task should read in the first round.
-PART = 20_000
+#: Entries of one key that one task should read.
+PART = 2_000
 
 
 def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light: int, rare, unit: float, members) -> Iterator[pa.RecordBatch]:
@@ -227,7 +232,8 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light:
     the estimate of its shingle; ``unit`` is the count that the rarity 0 stands for. ``members`` is a filter of the
     documents that take part; None: all do.
     """
-    table = rare.value
+    table, few = rare.value, tiny(threshold)
+    few = few if few > 1 else 0  # at more than one half, such sets are equal ones
 
     def parts_of(hashes: np.ndarray) -> np.ndarray:
         about = unit * 2.0 ** (table[(hashes >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)] / 4.0)
@@ -241,11 +247,11 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light:
         for text, node in zip(batch.column("text").to_pylist(), ids, strict=True):
             h = shingle_set(text, k)
             n = len(h)
-            if n < 2:
+            if n < 2 and n > few or not n:
                 continue  # a set of one links with none but its like
             p = prefix_length(n, threshold)
             first = ordered(h, table)[: p + 1]
-            if n <= light and p + 1 <= n:
+            if 2 <= n <= light:
                 i, j = np.triu_indices(len(first), 1)
                 pair = _mixed(first[i] * _BASE + first[j]) | np.uint64(1)
                 keys.append(pair)
@@ -253,7 +259,7 @@ def _keys(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction, light:
                 ats.append(j.astype(np.int32))
                 nodes.append(np.full(len(pair), node))
                 ns.append(np.full(len(pair), n, np.int32))
-            if n >= threshold * light:
+            if n >= threshold * light or n <= few:
                 one = first[:p] & ~np.uint64(1)
                 keys.append(one)
                 parts.append(parts_of(first[:p]))
@@ -281,9 +287,10 @@ def _may_link(a: str, b: str, threshold: Fraction, light: int) -> Column:
     overlap = F.ceil(F.lit(t) * (na + nb) / F.lit(t + u))
     single = F.bitwise_not(F.col("key")).bitwiseAND(F.lit(1)) == 1
     behind = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    both_light = F.greatest(na, nb) <= light
-    # pairs of light sets are found by their pair keys, all others by single ones; a pair key counts one shingle more
-    return sizes & F.when(single, ~both_light & (behind >= overlap)).otherwise(both_light & (behind + 1 >= overlap))
+    most = F.greatest(na, nb)
+    # pairs of light sets are found by their pair keys, all others and those of tiny ones by single ones; a pair key counts one shingle more
+    alone = (most > light) | (most <= tiny(threshold))
+    return sizes & F.when(single, alone & (behind >= overlap)).otherwise((most <= light) & (behind + 1 >= overlap))
 
 
 def _sketch_test(batches: Iterator[pd.DataFrame], threshold: Fraction) -> Iterator[pd.DataFrame]:
@@ -303,17 +310,17 @@ def _links(x: np.ndarray, y: np.ndarray, t: int, u: int) -> bool:
 
 
 def _exact_test(batches: Iterator[pa.RecordBatch], k: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, role): the text of a, then those of all b to hold against it."""
+    """Rows come sorted by (a, bucket, role): the text of a, then those of all b of the bucket to hold against it."""
     t, u = threshold.numerator, threshold.denominator
     at, own = None, []
     for batch in sliced(batches):
         left, right = [], []
-        for a, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text")], strict=True):
+        for a, bucket, b, text in zip(*[batch.column(c).to_pylist() for c in ("a", "bucket", "b", "text")], strict=True):
             h = shingle_set(text, k)
             if b is None:
-                own = [*own, h] if a == at else [h]  # rows that repeat an id are one document
-                at = a
-            elif a == at and any(_links(x, h, t, u) for x in own):
+                own = [*own, h] if (a, bucket) == at else [h]  # rows that repeat an id are one document
+                at = a, bucket
+            elif (a, bucket) == at and any(_links(x, h, t, u) for x in own):
                 left.append(a)
                 right.append(b)
         yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
@@ -470,10 +477,11 @@ def _near(group: pa.Table, nearest: bool, threshold: Fraction, light: int) -> tu
     for k in range(0, len(rows), 64):
         x = rows[k : k + 64, None]
         n2, least = n[x] + n, np.minimum(n[x] - at[x], n - at)
-        both_light = np.maximum(n[x], n) <= light
+        most = np.maximum(n[x], n)
+        alone = (most > light) | (most <= tiny(threshold))
         fine = (root[x] != root) & (u * n[x] >= t * n) & (u * n >= t * n[x])
         # the same rule as _may_link: pair keys count for light sets, single ones for the others
-        fine &= (~both_light & (least * (t + u) >= t * n2)) if single else (both_light & ((least + 1) * (t + u) >= t * n2))
+        fine &= (alone & (least * (t + u) >= t * n2)) if single else ((most <= light) & ((least + 1) * (t + u) >= t * n2))
         if not one_block:
             fine &= own[x] != own
         bits = np.bitwise_count(sketch[x[:, 0], None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
@@ -493,10 +501,14 @@ def _near(group: pa.Table, nearest: bool, threshold: Fraction, light: int) -> tu
 
 
 def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries, with their component's root and the list's size, of the lists whose members lie in several components."""
-    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "at", "root")
-    apart = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-    return member.join(apart.where("lo <> hi").select("key", "size"), "key")
+    """Entries, with their component's root and the list's size, of the lists whose members lie in several components.
+
+    Only one row for each part of a list is dealt by the key alone.
+    """
+    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "part", "node", "n", "at", "root")
+    parts = written(member.groupBy("key", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")), "parts")
+    apart = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size")).where("lo <> hi")
+    return member.join(parts.select("key", "part").join(apart.select("key", "size"), "key"), ["key", "part"])
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = 75) -> DataFrame:
@@ -546,7 +558,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
     root_of = written(components(_verified(docs, star, classes, k, threshold).unionByName(same)), "roots")
 
     # lists whose members still lie in several components
-    lists = listed.select("key", "node", "n", "at")
+    lists = listed.select("key", "part", "node", "n", "at")
     for nearest in (True, False):
         lists = written(_open_lists(lists, root_of), "open")
         pairs = _long_pairs(lists.where(F.col("size") > LONG), classes, nearest, threshold, light)
@@ -576,6 +588,6 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id. Rows without id stay; of rows that repeat an id, all do."""
-    linked = join(docs, doc_id=doc_id, text=text, k=k, percent=percent)
-    gone = linked.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone, "gone"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs.columns, "gone")
+    linked = join(docs, doc_id=doc_id, text=text, k=k, percent=percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(written(linked, "gone"), F.col(doc_id) == F.col(gone), "left_anti")

@@ -5,6 +5,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm import jaccard, topk, warc
@@ -94,7 +95,7 @@ def test_warc_broken_files(spark, tmp_path):
     assert sorted(r["page_id"] for r in got) == [1, 4]
 
 
-def brute(texts):
+def brute(texts, percent=75):
     sets = {}
     for i, t in texts:
         w = (t or "").encode().lower().split()
@@ -109,7 +110,7 @@ def brute(texts):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -156,6 +157,28 @@ def test_join_with_every_boundary(spark, monkeypatch):
         assert got == want, (light, long, block)
 
 
+@pytest.mark.parametrize("percent", [1, 30, 50, 100])
+def test_join_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 8))) for _ in range(60)]
+    texts += ["a b c d e", "a b c d e f", "z a b c d e", "q r s", "q r s", "q r s t u v w x y", "u v w x y"]
+    texts = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(texts, "doc_id int, text string"), percent=percent).collect()}
+    assert got == brute(texts, percent)
+
+
+def test_join_without_a_filter_of_the_nodes(spark, monkeypatch):
+    """As it runs where there are more texts than a filter of bounded size can tell apart; parts of long lists are small too."""
+    texts = corpus(4)
+    monkeypatch.setattr(jaccard, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(jaccard, "PART", 4)
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == brute(texts)
+    clash = df.withColumns({"_gone": F.lit(1), "gone": F.lit(2)})
+    kept = jaccard.deduplicate(clash)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute(texts).items() if i == c}
+
+
 def test_join_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (0, "q r s t u v"), (2, "q r s t u v"), (3, "A b c d e f"), (None, "a b c d e f"), (None, None), (4, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string")

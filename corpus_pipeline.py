@@ -1,8 +1,11 @@
 """From raw documents to token ids: rules, classifier, near duplicates, mixing, encoding.
 
 Each stage reads all that the one before kept, written as Parquet; all but the last return
-the columns of ``documents``. A null or empty text fails the rules; for the other cases see
-the operators, whose defined results hold here. Learned parts are fitted on what reaches their stage.
+the columns of ``documents`` as they are, further columns with any names too. A null or empty text fails the
+rules and goes; a null language or source is one of its own; a null doc_id is kept, as near duplicates are told by id;
+rows that repeat an id and a text are judged alike, and all stay or go; an empty table gives empty results in
+every stage; texts of any length are read whole. For the rest see the operators, whose defined results hold here.
+Learned parts are fitted on what reaches their stage.
 """
 
 from __future__ import annotations
@@ -11,18 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.llm import bpe, jaccard, mixing, quality_model, quality_rules
-from noticeflow.llm.common import table, written
+from noticeflow.llm.common import fresh, table, written
 from noticeflow.llm.queries import THRESHOLD, tokenizer_path
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    *counts, kept, failed = fresh(docs.columns, *quality_rules.COUNTS, "kept", "base_failed")
+    return quality_rules.apply_rules(docs, out=tuple(counts), kept=kept, failed=failed).where(F.col(kept)).select(*docs.columns)
 
 
 def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = written(quality_model.statistics(docs.select("doc_id", "text")), "stats")
-    model = quality_model.fit(stats, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, text="text", out="score").where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    stats, score = fresh(docs.columns, "stats", "score")
+    measured = written(quality_model.statistics(docs, out=stats, keep_text=True), "stats")
+    model = quality_model.fit(measured, table(spark, sf_dir, "labels"), column=stats)
+    return quality_model.score(measured, model, stats=stats, out=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,19 +68,20 @@ def text_statistics(text: str) -> np.ndarray:
     return out
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], text: str, out: str) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], text: str, out: str, drop: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [text_statistics(t or "") for t in batch.column(text).to_pylist()]
         flat = np.concatenate([np.empty(0), *rows])
         ends = np.arange(len(rows) + 1, dtype=np.int32) * N_STATS
-        yield arrow_columns(batch, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}, drop=[text])
+        yield arrow_columns(batch, {out: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}, drop=drop)
 
 
-def statistics(docs: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
-    """``docs`` with an array of statistics in place of the text."""
+def statistics(docs: DataFrame, text: str = "text", out: str = "stats", keep_text: bool = False) -> DataFrame:
+    """``docs`` with an array of statistics in place of the text, or beside it."""
     small_batches(docs.sparkSession)
-    schema = with_fields(docs, {out: T.ArrayType(T.DoubleType())}, drop=[text])
-    return docs.mapInArrow(partial(_statistics, text=text, out=out), schema)
+    drop = [] if keep_text else [text]
+    schema = with_fields(docs, {out: T.ArrayType(T.DoubleType())}, drop=drop)
+    return docs.mapInArrow(partial(_statistics, text=text, out=out, drop=drop), schema)
 
 
 @dataclass
@@ -169,12 +170,12 @@ def _binned(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFr
 
 
 def fit(
-    stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", folds: int = 5,
+    stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", column: str = "stats", folds: int = 5,
     n_features: int = 256, width: float = 3.0, ridge: float = 1e-3, seed: int = 11,
 ) -> Model:
-    """Learn from all labelled rows of ``stats`` (key, stats) that are not held out."""
+    """Learn from all labelled rows of ``stats`` (key, and statistics in ``column``) that are not held out."""
     rows = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("double").alias("y"))
-    train = stats.select(F.col(key).alias("id"), "stats").where(~held_out(F.col("id"), folds)).join(rows, "id").select("stats", "y")
+    train = stats.select(F.col(key).alias("id"), F.col(column).alias("stats")).where(~held_out(F.col("id"), folds)).join(rows, "id").select("stats", "y")
     train = written(train, "train")
     sums = (
         train.mapInPandas(_moments, "k int, n long, s double, q double, part int")

@@ -11,8 +11,10 @@ exchange.
 Defined results: a null source is a source of its own; a null or empty text has
 no characters and is repeated at its source's rate all the same (rate 1 for a
 source without any characters); rows that repeat an id get the same count each;
-sources without a target get none of the budget; an empty table gives an empty
-result; further columns pass through, even ones that share a helper's name.
+sources without a target get none of the budget; a row without id is hashed by its text instead; an empty
+table gives an empty result; texts of any length pass through whole, as do further columns, even ones
+that share a helper's name. Rows are dealt by the copy's hash and the row's number together, so that rows that
+repeat an id, or have none, don't meet in one task.
 """
 
 from __future__ import annotations
@@ -93,17 +95,18 @@ def mix(
     few = len(got) <= MAX_LOCAL_SOURCES and values <= MAX_LOCAL_VALUES
     if few:
         rates = spark.createDataFrame(got, "source string, rate double")
-    c_copy, c_order, c_source, c_cdf = fresh(docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf")
+    c_copy, c_order, c_source, c_cdf, c_row = fresh(docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf", "mix_row")
     cdfs = rates.select(F.col("source").alias(c_source), poisson_cdf(F.col("rate")).alias(c_cdf))
     if few:
         cdfs = F.broadcast(cdfs)
-    u = uniform(seed, F.col(doc_id))
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    u = uniform(seed, key)
     count = F.size(F.filter(c_cdf, lambda c: c <= u))
     copies = (
         docs.join(cdfs, F.col(source).eqNullSafe(F.col(c_source)))
         .withColumn(c_copy, count).where(F.col(c_copy) > 0).drop(c_source, c_cdf)
         .withColumn(c_copy, F.explode(F.sequence(F.lit(0), F.col(c_copy) - 1)))
-        .withColumn(c_order, F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(c_copy).cast("string"))))
+        .withColumn(c_order, F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), key, F.col(c_copy).cast("string"))))
     )
-    dealt = copies.repartition(F.col(c_order)).sortWithinPartitions(c_order)
-    return dealt.drop(*[c for c, want in ((c_copy, copy), (c_order, order)) if not want])
+    dealt = copies.withColumn(c_row, F.monotonically_increasing_id()).repartition(F.xxhash64(c_order, c_row)).sortWithinPartitions(c_order)
+    return dealt.drop(c_row, *[c for c, want in ((c_copy, copy), (c_order, order)) if not want])

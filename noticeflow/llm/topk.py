@@ -11,7 +11,8 @@ Query blocks are sent to the candidate blocks, as queries are far fewer: the wor
 each query against all rows, in blocks, and what one task holds is one block of either kind.
 
 Defined results: vectors that are null, empty, or hold a null or a non-finite component take
-no part; vectors of different lengths are not compared; ties go to the smaller id; candidates
+no part; vectors of different lengths are not compared; a component of 2**53 / scale or more, and inner products that may
+need more than 64 bits, are errors; ties go to the smaller id; candidates
 that repeat an id and a vector are ranked each, a query that does is answered once; rows with the query's own id
 are no candidates for it; a null id takes no part; an empty table gives an empty result;
 further columns are not read.
@@ -28,11 +29,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES = 4096, 1024  # rows in a block, about
+#: Query blocks whose kth scores a task carries from one candidate block to the next; without them it searches on as if it met them first.
+MAX_FLOORS = 256
+#: Tasks of the search; a task gets whole candidate blocks.
+MAX_TASKS = 10_000
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, computed as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * F.lit(float(scale))
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large to be a whole number exactly")))
+
+    return F.transform(vector, whole)
 
 
 def sound(vector: Column) -> Column:
@@ -57,13 +66,16 @@ def _matrix(data: bytes, ids: np.ndarray, dim: int) -> np.ndarray:
 
 def _blocks(rows: DataFrame, n_rows: int, size: int) -> DataFrame:
     n = max(1, -(-n_rows // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+    # with the row's number, so that rows that repeat an id and a vector are dealt over all blocks
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     return dealt.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, ids binary, data binary")
 
 
 def exact_type(a: np.ndarray, b: np.ndarray):
     """The fastest number type in which all inner products of rows of a and b are exact."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most >= 2**63:
+        raise OverflowError("an inner product may not fit in 64 bits")
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
@@ -75,9 +87,13 @@ class Lists:
         self.ids, self.data = ids[by_id], data[by_id]
         self.order = np.argsort(self.data, axis=0, kind="stable")
         self.values = np.take_along_axis(self.data, self.order, axis=0)
+        self.met = 0  # rows scored, for all queries
+
+    def best(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, best first, rows with the id ``own`` left out.
 
-    def best(self, query: np.ndarray, own: int, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, best first, rows with the id ``own`` left out."""
+        ``floor`` is a score that k rows of other blocks are known to reach; what is below it may be left out.
+        """
         m = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         met = np.zeros(m, bool)
@@ -104,15 +120,17 @@ class Lists:
             if depth >= m:
                 break
             bound = self.values[m - depth, up] @ query[up] + self.values[depth - 1, down] @ query[down]
-            if len(places) >= k and bound < scores.min():  # what is unseen can't tie either
+            if bound < floor or (len(places) >= k and bound < scores.min()):  # what is unseen can't tie either
                 break
-            depth = min(m, depth * 4)
+            depth = min(m, depth * 2)
+        self.met += int(met.sum())
         rank = np.lexsort((places, -scores))
         return self.ids[places[rank]], scores[rank]
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     at, lists = None, None
+    floors: dict[tuple, np.ndarray] = {}  # of the query blocks met last: each query's kth score so far
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
@@ -121,7 +139,12 @@ def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             if at != (r.dim, r.block, kind):
                 lists, at = Lists(ids, data.astype(kind)), (r.dim, r.block, kind)
             queries = queries.astype(kind)
-            found = [lists.best(q, own, k) for q, own in zip(queries, q_ids, strict=True)]
+            floor = floors.pop((r.dim, r.q_block), np.full(len(q_ids), -np.inf))
+            found = [lists.best(q, own, k, f) for q, own, f in zip(queries, q_ids, floor, strict=True)]
+            reached = [s[k - 1] if len(s) >= k else -np.inf for _, s in found]
+            floors[r.dim, r.q_block] = np.maximum(floor, np.array(reached, float))
+            if len(floors) > MAX_FLOORS:
+                floors.pop(next(iter(floors)))
             sizes = [len(i) for i, _ in found]
             yield pd.DataFrame({
                 "query_id": np.repeat(q_ids, sizes), "query_no": np.repeat(np.arange(len(q_ids)), sizes) + (r.q_block << 32),
@@ -145,7 +168,8 @@ def search(
     n_blocks = max(1, -(-n_candidates // CANDIDATES))
     asked = _blocks(q, n_queries, QUERIES).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = _blocks(c, n_candidates, CANDIDATES).join(sent, ["dim", "block"])
+    n_tasks = min(n_blocks, MAX_TASKS)
+    pairs = _blocks(c, n_candidates, CANDIDATES).repartition(n_tasks, "dim", "block").join(sent.repartition(n_tasks, "dim", "block"), ["dim", "block"])
     found = pairs.mapInPandas(partial(_search, k=k), "query_id long, query_no long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
     return (

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.columns import once, unused
+
 # The default keyword list, in the order in which matches are reported.
 KEYWORDS = ("Entity List", "Final Rule", "Huawei", "SMIC", "military end use", "PRC")
 # Short and long name of each topic.
 TOPICS = {"ear": ("EAR", "Export Administration Regulations"), "itar": ("ITAR", "International Traffic in Arms Regulations")}
+#: Characters by which texts and keywords of a table meet.
+GRAM = 3
 # Fixed value: a digit, a letter, three digits, and perhaps a dotted suffix; letter case is ignored.
 CODE = r"\b[0-9][A-Z][0-9]{3}(?:\.[a-z0-9]+)?\b"
 
@@ -37,8 +41,8 @@ def keyword_matches(text: Column, keywords: Sequence[str] = KEYWORDS, whole_word
     if whole_word:
         padded = F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)[^\w]+", " "), F.lit(" "))
         plain = lambda k: F.concat(F.lit(" "), F.regexp_replace(F.lower(k), r"(?U)[^\w]+", " "), F.lit(" "))
-        return F.filter(words, lambda k: F.contains(padded, plain(k)))
-    return F.filter(words, lambda k: F.contains(low, F.lower(k)))
+        return once(padded, lambda t: F.filter(words, lambda k: F.contains(t, plain(k))))
+    return once(low, lambda t: F.filter(words, lambda k: F.contains(t, F.lower(k))))
 
 
 def flag_keywords(df: DataFrame, column: str = "title", keywords: Sequence[str] = KEYWORDS, whole_word: bool = False) -> DataFrame:
@@ -49,15 +53,30 @@ def flag_keywords(df: DataFrame, column: str = "title", keywords: Sequence[str]
 
 
 def flag_keywords_from_table(df: DataFrame, keywords: DataFrame, key: str, column: str = "title", keyword: str = "keyword", rank: str = "rank") -> DataFrame:
-    """As flag_keywords, for a keyword table too long for a literal: one pass over the text for each word of it.
+    """As flag_keywords, for a keyword table too long for a literal; matches are listed by rank.
 
-    Keywords of a single word meet the text's words in an equi-join (whole words); matches are listed by rank.
+    A keyword can only be in a text that has its first GRAM characters, so texts meet keywords by those in an equi-join, and the
+    whole keyword is then looked for in the text. Keywords shorter than that are few by nature and are looked for in
+    every text. ``key`` tells rows apart; rows that share one, or have none, share its flags. Null and empty keywords match nothing.
     """
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(column, F.lit(""))), r"(?U)[^\w]+"))).alias("_word"))
-    hits = words.join(keywords.withColumn("_word", F.lower(keyword)), "_word").groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_set(F.struct(F.col(rank), F.col(keyword).alias("k")))), lambda s: s["k"]).alias("flagged_keywords")
+    gram, low, word, at = unused([*df.columns, *keywords.columns], "gram", "low", "word", "at")
+    texts = df.select(F.col(key).alias(at), F.lower(F.coalesce(column, F.lit(""))).alias(low))
+    known = keywords.select(F.col(rank).alias("rank"), F.col(keyword).alias("k"), F.lower(keyword).alias(word)).where(F.length(word) > 0)
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(F.col(low), i, F.lit(GRAM)))
+    cut = texts.where(F.length(low) >= GRAM).withColumn(gram, F.explode(F.array_distinct(grams)))
+    long = known.where(F.length(word) >= GRAM).withColumn(gram, F.substring(word, 1, GRAM))
+    met = cut.join(long, gram).where(F.contains(low, F.col(word))).select(at, "rank", "k")
+    short = known.where(F.length(word) < GRAM).agg(F.collect_list(F.struct("rank", "k", word)).alias("few"))  # at most two characters each
+    few = short.first()["few"]
+    if few:
+        listed = F.array(*[F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["k"]).alias("k"), F.lit(r[word]).alias("w")) for r in few])
+        found = texts.select(at, F.explode(F.filter(listed, lambda s: F.contains(F.col(low), s["w"]))).alias("s")).select(at, "s.rank", "s.k")
+        met = met.unionByName(found)
+    hits = met.groupBy(at).agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("rank", "k"))), lambda s: s["k"]).alias("flagged_keywords")
     )
-    out = df.join(hits, key, "left").withColumn("flagged_keywords", F.coalesce("flagged_keywords", F.array().cast("array<string>")))
+    out = df.drop("flagged_keywords", "flagged").join(hits, F.col(key).eqNullSafe(F.col(at)), "left").drop(at)
+    out = out.withColumn("flagged_keywords", F.coalesce("flagged_keywords", F.array().cast("array<string>")))
     return out.withColumn("flagged", F.size("flagged_keywords") > 0)
 
 
@@ -97,15 +116,10 @@ def assemble(pages: DataFrame, key: str, order: str, text: str = "text", out: st
     t = F.coalesce(F.col(text), F.lit(""))
     if max_chars is None:
         return pages.groupBy(key).agg(F.expr(f"listagg(coalesce(`{text}`, ''), '') WITHIN GROUP (ORDER BY `{order}`)").alias(out))
-    from pyspark.sql import Window
-
+    fits, piece = unused([*pages.columns, out, "truncated"], "fits", "piece")
     so_far = F.sum(F.length(t)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    marked = pages.withColumn("_in", so_far <= max_chars)
-    text_of = _assemble_sorted(marked.withColumn("_t", F.when(F.col("_in"), t).otherwise("")), key, order, F.col("_t"), out)
-    cut = marked.groupBy(key).agg((~F.bool_and("_in")).alias("truncated"))
-    return text_of.join(cut, key)
-
-
-def _assemble_sorted(pages: DataFrame, key: str, order: str, t: Column, out: str) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), t.alias("t"))))
-    return pages.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias(out))
+    marked = pages.withColumn(fits, so_far <= max_chars).withColumn(piece, F.when(F.col(fits), t).otherwise(""))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("t"))))
+    return marked.groupBy(key).agg(
+        F.array_join(F.transform(parts, lambda p: p["t"]), "").alias(out), (~F.bool_and(fits)).alias("truncated")
+    )

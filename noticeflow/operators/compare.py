@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.columns import unused
 
-def _keyed(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    keys = right.select(F.col(key).alias("_key")).distinct()
-    return left.join(keys, left[key].eqNullSafe(F.col("_key")), how)
+
+def has_keyless(rows: DataFrame, key: str) -> bool:
+    """Whether some row has no key; stops at the first."""
+    return bool(rows.where(F.col(key).isNull()).limit(1).count())
+
+
+def keyed(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Left semi or anti join by a key, null-safe. Rows without a key are set aside, so they don't meet in one task."""
+    (other,) = unused([*left.columns, *right.columns], "other_key")
+    keys = right.where(F.col(key).isNotNull()).select(F.col(key).alias(other)).distinct()
+    joined = left.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col(other), how)
+    keep = has_keyless(right, key) == (how == "left_semi")
+    return joined.unionByName(left.where(F.col(key).isNull())) if keep else joined
 
 
 def added(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks; repeated rows stay."""
-    return _keyed(new, old, key, "left_anti")
+    return keyed(new, old, key, "left_anti")
 
 
 def removed(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     """Rows of ``old`` whose key ``new`` lacks."""
-    return _keyed(old, new, key, "left_anti")
+    return keyed(old, new, key, "left_anti")
 
 
 def members(rows: DataFrame, keys: DataFrame, key: str = "url") -> DataFrame:
     """Rows whose key is among ``keys``."""
-    return _keyed(rows, keys, key, "left_semi")
+    return keyed(rows, keys, key, "left_semi")
 
 
 def key_difference(left: DataFrame, right: DataFrame, key: str = "url") -> DataFrame:
@@ -45,9 +56,17 @@ def key_presence(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
 
 
 def differing_rows(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows, with columns in one order, that one of the two bags has more often than the other."""
-    new = new.select(*old.columns)
-    return new.exceptAll(old).withColumn("side", F.lit("new")).unionByName(old.exceptAll(new).withColumn("side", F.lit("old")))
+    """Rows, with columns in one order, that one of the two bags has more often than the other, each as often as it has more.
+
+    One aggregation over both, combined before the shuffle.
+    """
+    columns = old.columns
+    surplus, side = unused(columns, "surplus", "side")
+    both = old.withColumn(surplus, F.lit(-1)).unionByName(new.select(*columns).withColumn(surplus, F.lit(1)))
+    more = both.groupBy(*columns).agg(F.sum(surplus).alias(surplus)).where(F.col(surplus) != 0)
+    more = more.withColumn(side, F.when(F.col(surplus) > 0, "new").otherwise("old"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.abs(surplus)))
+    return more.withColumn(surplus, times).drop(surplus)
 
 
 def unchanged(old: DataFrame, new: DataFrame) -> bool:

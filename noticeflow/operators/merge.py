@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.columns import unused
+from noticeflow.operators.compare import keyed
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows; columns are those of the first frame, then further ones; missing ones are null."""
@@ -25,23 +28,22 @@ def first_by_key(df: DataFrame, key: str = "url", order: Sequence[str] = ("snaps
     An aggregation, so a key that a third of the rows share is combined before the shuffle.
     ``keep_keyless`` keeps all rows without a key.
     """
-    keyed = df.where(F.col(key).isNotNull()) if keep_keyless else df
-    out = keyed.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    (row,) = unused(df.columns, "row")
+    rows = df.where(F.col(key).isNotNull()) if keep_keyless else df
+    out = rows.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias(row)).select(f"{row}.*")
     return out.unionByName(df.where(F.col(key).isNull())) if keep_keyless else out
 
 
 def first_by_rank(df: DataFrame, key: str = "url", order: Sequence[str] = ("snapshot_ts", "row_no")) -> DataFrame:
     """The same by ranking, for checks; a hot key is one task's work here."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")
+    (rank,) = unused(df.columns, "rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
 def novel(master: DataFrame, new: DataFrame, key: str = "url", order: Sequence[str] = ("snapshot_ts", "row_no"), keep_keyless: bool = False) -> DataFrame:
     """One row for each key of ``new`` that the master lacks."""
     firsts = first_by_key(blank_to_null(new, key), key, order, keep_keyless)
-    keys = master.select(F.col(key).alias("_key")).distinct()
-    if keep_keyless:
-        keys = keys.where(F.col("_key").isNotNull())
-    return firsts.join(keys, firsts[key].eqNullSafe(F.col("_key")), "left_anti")
+    return keyed(firsts, master.where(F.col(key).isNotNull()) if keep_keyless else master, key, "left_anti")
 
 
 def merge(
@@ -53,6 +55,5 @@ def merge(
         return union_all([master, novel(master, new, key, order, keep_keyless)])
     if conflict == "latest":
         fresh = first_by_key(blank_to_null(new, key), key, order, keep_keyless)
-        keys = fresh.select(F.col(key).alias("_key"))
-        return union_all([fresh, master.join(keys, master[key].eqNullSafe(F.col("_key")), "left_anti")])
+        return union_all([fresh, keyed(master, fresh, key, "left_anti")])
     raise ValueError(conflict)

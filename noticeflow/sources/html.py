@@ -34,18 +34,24 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], no: int):
         self.tag, self.attrs, self.parts, self.no = tag, attrs, [], no
 
+    def walk(self) -> Iterator[Node | str]:
+        """All nodes and pieces of text inside, in page order; however deep, with a stack of its own."""
+        left = list(reversed(self.parts))
+        while left:
+            p = left.pop()
+            yield p
+            if isinstance(p, Node):
+                left.extend(reversed(p.parts))
+
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        return "".join(p for p in self.walk() if isinstance(p, str))
 
     def packed(self) -> str:
         """Each piece stripped, joined without anything between."""
-        return "".join(p.strip() if isinstance(p, str) else p.packed() for p in self.parts)
+        return "".join(p.strip() for p in self.walk() if isinstance(p, str))
 
     def within(self) -> Iterator[Node]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield p
-                yield from p.within()
+        return (p for p in self.walk() if isinstance(p, Node))
 
     def all(self, tag: str, css: str | None = None) -> list[Node]:
         return [n for n in self.within() if n.tag == tag and (css is None or css in n.attrs.get("class", "").split())]
@@ -202,7 +208,7 @@ def paragraph_links(pages: DataFrame, container: tuple[str, str | None] = ("div"
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, link_no, href, link_text) of plain anchors, by built-in expressions alone."""
     pattern = '<a href="([^"]*)">([^<]*)</a>'
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("link_text")
-    )
-    return pages.select("page_id", F.posexplode(found).alias("link_no", "link")).select("page_id", "link_no", "link.href", "link.link_text")
+    found = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))  # whole anchors: the page is searched once
+    part = lambda k: F.regexp_extract("anchor", pattern, k)
+    anchors = pages.select("page_id", F.posexplode(found).alias("link_no", "anchor"))
+    return anchors.select("page_id", "link_no", part(1).alias("href"), part(2).alias("link_text"))

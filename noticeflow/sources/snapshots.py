@@ -29,6 +29,15 @@ def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     ])
 
 
+#: How notice CSV is written and read: a quote inside a cell is doubled, and a quoted cell may hold line breaks.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
+
+def csv_reader(spark: SparkSession, schema: T.StructType | None = None):
+    reader = spark.read.options(**CSV)
+    return reader.schema(schema) if schema is not None else reader
+
+
 def list_to_text(c: Column) -> Column:
     return F.to_json(c)
 
@@ -40,34 +49,40 @@ def text_to_list(c: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = schemas.SNAPSHOT_CSV, lists: Sequence[str] = ("flagged_keywords",)) -> DataFrame:
     """A CSV snapshot with missing values as nulls and its list columns as arrays. Columns are found by position: see read_csv_drift."""
-    df = na_to_null(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
+    df = na_to_null(csv_reader(spark, schema).option("enforceSchema", False).csv(path))
     return df.withColumns({c: text_to_list(F.col(c)) for c in lists if c in df.columns})
 
 
 def read_csv_drift(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Snapshots of different generations as one table of the current columns; columns that one lacks are null.
 
-    Only the header line of each file is looked at for names; no types are inferred.
+    One job reads the header lines, files with the same one are read together, and no types are inferred. The number of
+    different headers, not of files, decides how many parts the plan has.
     """
+    first = (
+        spark.read.option("wholetext", False).text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        .where("block = 0").groupBy("file").agg(F.first("value").alias("header"))
+    )
+    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # names only
     frames = []
-    for path in paths:
-        names = spark.read.option("header", True).csv(path).columns
+    for row in sorted(by_header, key=lambda r: r["files"]):
+        names = csv_reader(spark).csv(row["files"][0]).columns
         own = T.StructType([schemas.SNAPSHOT_CSV[n] if n in schemas.SNAPSHOT_CSV.names else T.StructField(n, T.StringType()) for n in names])
-        frames.append(read_csv(spark, path, own, [c for c in ("flagged_keywords",) if c in names]))
+        frames.append(read_csv(spark, row["files"], own, [c for c in ("flagged_keywords",) if c in names]))
     return merge.union_all([spark.createDataFrame([], schemas.NOTICE), *frames])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header; lists, which CSV has not, as JSON."""
     lists = {f.name: list_to_text(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
-    (df.withColumns(lists) if lists else df).write.mode(mode).option("header", True).csv(path)
+    (df.withColumns(lists) if lists else df).write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
 def latest_csv(spark: SparkSession, folder: str, prefix: str = "snapshot_", schema: T.StructType = schemas.SNAPSHOT_CSV) -> DataFrame:
-    """The file with the greatest name among those that begin with the prefix."""
-    files = spark.read.schema(schema).option("header", True).csv(folder).select("*", F.col("_metadata.file_name").alias("_file"))
-    files = files.where(F.startswith("_file", F.lit(prefix)))
-    return na_to_null(files.join(files.agg(F.max("_file").alias("_file")), "_file", "left_semi").drop("_file"))
+    """The file with the greatest name among those that begin with the prefix; empty if there is none. No other file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(folder).select("path")
+    latest = files.agg(F.max("path")).first()[0]  # names have one folder in common
+    return na_to_null(csv_reader(spark, schema).csv(latest)) if latest else spark.createDataFrame([], schema)
 
 
 def write_snapshot(df: DataFrame, root: str, label: str) -> None:
@@ -85,7 +100,7 @@ def read_snapshots(spark: SparkSession, root: str, schema: T.StructType = schema
 def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = schemas.NOTICE) -> DataFrame:
     """The snapshot with the greatest label; other partitions are not read."""
     all_of = read_snapshots(spark, root, schema)
-    label = all_of.agg(F.max("snapshot_ts")).first()[0]
+    label = all_of.select("snapshot_ts").distinct().agg(F.max("snapshot_ts")).first()[0]  # a partition column: answered from folder names
     return all_of.where(F.col("snapshot_ts") == F.lit(label))
 
 

@@ -20,7 +20,7 @@ def maintain_master(
     foreachBatch may run a batch twice; the anti-join with the stored keys then appends nothing.
     """
     drops_stream = (
-        spark.readStream.schema(schema).option("header", True).csv(drops)
+        spark.readStream.schema(schema).options(**snapshots.CSV).csv(drops)
         .select("*", F.col("_metadata.file_name").alias("snapshot_ts"))
     )
 

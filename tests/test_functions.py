@@ -30,48 +30,31 @@ def test_dates_of_known_texts(spark):
     assert got == want
 
 
-def by_rule(s):
-    """The rules restated with strptime and re."""
-    if not s or not s.strip():
-        return None
-    s = s.strip()
-    for f in ("%A, %d %B %Y", "%m/%d/%Y", "%B %d, %Y", "%Y-%m-%d", "%d %B %Y", "%B %d %Y", "%m-%d-%Y", "%d-%m-%Y"):
-        try:
-            return dt.datetime.strptime(s, f).date()
-        except ValueError:
-            pass
-    m = re.search(r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})", s)
-    if m:
-        a, b, y = map(int, m.groups())
-        try:
-            return dt.date(y + 2000 if y < 100 else y, a, b)
-        except ValueError:
-            pass
-    m = re.search(r"(\w+)\s+(\d{1,2})[,]?\s+(\d{4})", s)
-    if m:
-        w, d, y = m[1], int(m[2]), int(m[3])
-        try:
-            return dt.date(y, int(w), d) if w.isdigit() else dt.datetime.strptime(f"{w} {d} {y}", "%B %d %Y").date()
-        except ValueError:
-            pass
-    return None
-
-
-def test_dates_agree_with_the_rules_on_generated_texts(spark):
+MONTHS = "January February March April May June July August September October November December".split()
+WEEKDAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+#: Ways to write a day, each read as one day only.
+WRITTEN = [
+    lambda d: f"{d.month}/{d.day}/{d.year}", lambda d: f"{d.month:02}/{d.day:02}/{d.year}", lambda d: f"{MONTHS[d.month - 1]} {d.day}, {d.year}",
+    lambda d: d.isoformat(), lambda d: f"{d.day} {MONTHS[d.month - 1].upper()} {d.year}", lambda d: f"{MONTHS[d.month - 1].lower()} {d.day:02} {d.year}",
+    lambda d: f"{d.month:02}-{d.day:02}-{d.year}", lambda d: f"{WEEKDAYS[d.weekday()]}, {d.day:02} {MONTHS[d.month - 1]} {d.year}",
+    lambda d: f"  {d.month}/{d.day}/{d.year}\n",
+]
+#: The same inside other text, where only the loose searches find it.
+BURIED = [
+    lambda d: f"Effective {d.month}/{d.day}/{d.year}, see below", lambda d: f"as of {d.month:02}-{d.day:02}-{d.year}.", lambda d: f"Issued on {MONTHS[d.month - 1]} {d.day}, {d.year} (final)",
+    lambda d: f"rule of {d.month}/{d.day}/{d.year % 100:02} as amended",
+]
+
+
+def test_dates_known_by_construction(spark):
     rng = random.Random(5)
-    months = ["January", "march", "JUNE", "Sept", "December", "Foo"]
-    texts = []
-    for _ in range(3000):
-        d, m, y = rng.randint(0, 33), rng.randint(0, 13), rng.choice([1999, 2024, 99, 7, 123])
-        w = rng.choice(months)
-        sep = rng.choice(["/", "-"])
-        texts.append(rng.choice([
-            f"{m}{sep}{d}{sep}{y}", f"{w} {d}, {y}", f"{d} {w} {y}", f"{y}-{m}-{d}", f"{w} {d} {y}", f"Friday, {d:02} {w} {y}",
-            f"see {m:02}{sep}{d:02}{sep}{y} there", f"on {w} {d},  {y}.", f"{d}  {m} {y}",
-        ]))
-    got = values(spark, texts, dates.parse_date)
-    wrong = [(t, g, by_rule(t)) for t, g in zip(texts, got, strict=True) if g != by_rule(t)]
-    assert not wrong, wrong[:10]
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(36_000)) for _ in range(2000)]
+    texts = [rng.choice(WRITTEN + BURIED)(d) for d in days]
+    assert [(t, g) for t, g, d in zip(texts, values(spark, texts, dates.parse_date), days, strict=True) if g != d] == []
+    late = [d for d in days if d.day > 12]  # day first, which only a day beyond 12 tells
+    assert values(spark, [f"{d.day}-{d.month}-{d.year}" for d in late], dates.parse_date) == late
+    none = ["no date", "13/32/2024 x", "Foo 5, 2024", "2024", "12 of 2024", "31 June 2024"]
+    assert values(spark, none, dates.parse_date) == [None] * len(none)
 
 
 def test_numeric_date_text_and_labels(spark):
@@ -111,6 +94,16 @@ def test_keywords(spark):
     assert got == {1: (["PRC", "SMIC"], True), 2: ([], False)}
 
 
+def test_keywords_of_a_table_are_flagged_as_those_of_a_list(spark):
+    texts = ["on the Entity  List", "the entity list and cosmic PRCx", "a final Rule", None, "", "x", "military END use of ai", "ai"]
+    known = (*text.KEYWORDS, "ai", "x", "")
+    df = spark.createDataFrame([(None if t == "x" else i, t, "mine") for i, t in enumerate(texts)], "id int, title string, word string")
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(known)] + [(None, 99)], "keyword string, rank int")
+    want = text.flag_keywords(df, "title", known[:-1]).collect()
+    got = text.flag_keywords_from_table(df, table, "id").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_topics_strip_blank_and_lists(spark):
     assert values(spark, ["RESEARCH", "ear", None, "Export Administration Regulations"], lambda c: text.topic_flag(c, "ear")) == [True, False, False, True]
     assert values(spark, ["  a b\t\n", "", None], text.strip) == ["a b", "", None]
@@ -122,6 +115,9 @@ def test_assembly_in_page_order(spark):
     assert {r["url"]: r["text"] for r in text.assemble(pages, "url", "page_no").collect()} == {"u": "ab", "v": "x"}
     cut = {r["url"]: (r["text"], r["truncated"]) for r in text.assemble(pages, "url", "page_no", max_chars=1).collect()}
     assert cut == {"u": ("a", True), "v": ("x", False)}
+    odd = pages.unionByName(spark.createDataFrame([(None, 1, "n")], pages.schema)).withColumns({"fits": F.lit(1), "piece": F.lit(2)})
+    for most in (None, 100):
+        assert {r["url"]: r["text"] for r in text.assemble(odd, "url", "page_no", max_chars=most).collect()} == {"u": "ab", "v": "x", None: "n"}
 
 
 PDF = {

@@ -33,6 +33,18 @@ def test_unchanged_is_bag_equality(spark):
     assert not compare.unchanged(a, a.drop("l"))
 
 
+def test_columns_with_names_of_helpers_pass_through(spark):
+    names = ("other_key", "rank", "row", "surplus", "side")
+    old = keyed(spark, [("a", 1), (None, 2)]).withColumns({n: F.lit(n) for n in names})
+    new = keyed(spark, [("a", 1), ("b", 3), (None, 4)]).withColumns({n: F.lit(n) for n in names})
+    for out in (compare.added(old, new), compare.members(new, old), merge.first_by_key(new, order=["v"]), merge.first_by_rank(new, order=["v"])):
+        assert out.columns == new.columns and all(r[n] == n for r in out.collect() for n in names)
+    assert [r["url"] for r in compare.added(old, new).collect()] == ["b"]
+    assert merge.merge(old, new, order=["v"]).count() == 3 == merge.merge(old, new, order=["v"], conflict="latest").count()
+    assert compare.differing_rows(old.drop("side"), new.drop("side")).groupBy("side").count().count() == 2
+    assert compare.added(old.where("url = 'a'"), new).count() == 2 and compare.members(new, old.where("url = 'a'")).count() == 1
+
+
 def stacked(spark):
     return spark.createDataFrame(
         [("a", 1, "1", 0), ("a", 9, "2", 0), ("b", 6, "2", 1), ("b", 7, "2", 2), (None, 5, "2", 3), ("", 4, "2", 4)],

@@ -72,6 +72,25 @@ def test_snapshots_and_csv(spark, tmp_path):
     assert {r["snapshot_ts"] for r in latest.collect()} == {"2025-04-15_18-45"}
 
 
+def test_csv_cells_with_quotes_commas_and_line_breaks(spark, tmp_path):
+    titles = ['Rule on "dual use", part 2', "two\nlines", 'ends with "', "back\\slash", "a,b;c", "  padded  "]
+    rows = notice(spark, *[(f"u{i}", t, None, ['x "y"', "z,\n"], True) for i, t in enumerate(titles)]).drop("snapshot_ts", "row_no")
+    full = spark.createDataFrame([], schemas.NOTICE).unionByName(rows, allowMissingColumns=True)
+    snapshots.write_csv(full, f"{tmp_path}/csv")
+    back = {r["url"]: (r["title"].strip(), r["flagged_keywords"]) for r in snapshots.read_csv(spark, f"{tmp_path}/csv").collect()}
+    assert back == {f"u{i}": (t.strip(), ['x "y"', "z,\n"]) for i, t in enumerate(titles)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/snapshot_1.csv").write_text('source,url,title\ns,u,"Rule on ""dual use"", part 2"\ns,v,"two\nlines"\n')
+    for got in (snapshots.latest_csv(spark, f"{tmp_path}/in", schema=schemas.T.StructType([schemas.NOTICE[c] for c in ("source", "url", "title")])),
+                snapshots.read_csv_drift(spark, [f"{tmp_path}/in/snapshot_1.csv"])):
+        assert {(r["url"], r["title"]) for r in got.collect()} == {("u", 'Rule on "dual use", part 2'), ("v", "two\nlines")}
+
+
+def test_deep_nesting(spark):
+    deep = pages(spark, "<div>" * 5000 + '<p><a href="/x.pdf">t</a>')
+    assert html.items(deep, html.Items(("p", None), ("a", None), title_is_link=True)).first()["href"] == "/x.pdf"
+
+
 def test_latest_csv_and_drift(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/snapshot_2025-01.csv").write_text("source,url\ns,old\n")

@@ -1,3 +1,4 @@
+import subprocess
 import sys
 from pathlib import Path
 
@@ -29,10 +30,13 @@ def test_entry_and_registry(spark):
     assert set(queries.SQL) == set(queries.QUERIES)
 
 
-def test_entry_without_the_corpus_part(monkeypatch):
-    monkeypatch.setattr(__spark_entry__, "_LLM", False)
-    assert set(__spark_entry__.queries()) == set(queries.QUERIES)
-    assert set(__spark_entry__.oracle_sql()) == set(queries.SQL)
+@pytest.mark.parametrize("missing", ["noticeflow.llm", "xxhash"])
+def test_entry_where_the_corpus_part_cannot_be_imported(missing):
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; from noticeflow.plans import queries as q; "
+        "assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.SQL)"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
 
 
 def test_plans_push_down_and_stay_native(spark):

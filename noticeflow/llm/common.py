@@ -43,6 +43,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
@@ -72,7 +74,10 @@ ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Lower the session's limits of an Arrow batch, where they are higher: whole texts are long, and each task holds several batches."""
+    """Lower the session's limits of an Arrow batch, where they are higher: whole texts are long, and each task holds several batches.
+
+    They stay lowered for the session, as Spark reads them when a plan runs, which is after the operator returned.
+    """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{name}"
         now = spark.conf.get(key, None)

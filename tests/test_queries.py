@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import compare
 
 import __spark_entry__
-from noticeflow.plans import queries
+from noticeflow.plans import queries, stored
 
 pytestmark = pytest.mark.skipif(not compare.present, reason="no test tables")
 
@@ -23,6 +23,17 @@ def test_query_equals_its_sql(spark, con, name):
     compare.same_rows(queries.QUERIES[name](spark, compare.SMALL), con, queries.SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(stored.SQL))
+def test_stored_query_equals_its_sql(spark, con, name):
+    compare.same_rows(stored.QUERIES[name](spark, compare.SMALL), con, stored.SQL[name])
+
+
+def test_stream_holds_each_url_once(spark):
+    rows = stored.stream_master(spark, compare.SMALL).collect()
+    urls = {r["url"] for r in stored.views.notices(spark, compare.SMALL).select("url").distinct().collect()}
+    assert len(rows) == len(urls) and {r["url"] for r in rows} == urls
+
+
 def test_entry_and_registry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["date", "notices", "total_eccns", "flagged"] and rows.count() > 0
@@ -33,8 +44,8 @@ def test_entry_and_registry(spark):
 @pytest.mark.parametrize("missing", ["noticeflow.llm", "xxhash"])
 def test_entry_where_the_corpus_part_cannot_be_imported(missing):
     code = (
-        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; from noticeflow.plans import queries as q; "
-        "assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.SQL)"
+        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; from noticeflow.plans import queries as q, stored as s; "
+        "assert set(e.queries()) == {*q.QUERIES, *s.QUERIES} and set(e.oracle_sql()) == {*q.SQL, *s.SQL}"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
 

@@ -21,6 +21,7 @@ replaced by it.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -112,7 +113,7 @@ def read_spec(path: str) -> dict:
     # few large objects, so that each worker's copy is small: tokens in order of id, merges as (left, right, result)
     triples = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
     return {
-        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": pinned(split["pattern"]["Regex"]),
+        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": split["pattern"]["Regex"], "pinned": pinned(split["pattern"]["Regex"]),
         "added": {t["content"]: t["id"] for t in raw["added_tokens"]},
     }
 
@@ -153,7 +154,8 @@ class Encoder:
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
         self.fits: dict[int, bool] = {}
-        self.words = regex.compile(spec["pattern"])
+        self.words, self.pinned_words = regex.compile(spec["pattern"]), regex.compile(spec["pinned"])
+        self.late = re.compile("[\u0530-\U0010ffff]")  # before that all versions of the tables agree
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
         self.apart = regex.compile(f"([{_listed(NO_MARKS)}])")
         self.upper = regex.compile(f"[{_listed((c, c) for c in LOWERED)}]")
@@ -230,9 +232,13 @@ class Encoder:
 
     def plain(self, text: str) -> bytes:
         """Ids, as int32 bytes, of a text without white space and added tokens."""
+        pattern = self.words
         if text.isascii():
             low = text.lower()
+        elif not self.late.search(text):
+            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         else:
+            pattern = self.pinned_words
             # what the tokenizer takes for no mark keeps apart what is before and behind it
             parts = self.apart.split(text) if self.apart.search(text) else (text,)
             low = "".join(unicodedata.normalize("NFC", t) for t in parts)
@@ -240,7 +246,7 @@ class Encoder:
             if self.upper.search(low):
                 low = low.translate(LOWERED)
         out = []
-        for w in [low] if low.isalpha() and low.isascii() else self.words.findall(low):
+        for w in [low] if pattern is self.words and low.isalpha() else pattern.findall(low):
             got = self.known.get(w)
             if got is None:
                 got = self.old_known.get(w)

@@ -1,7 +1,10 @@
+import hashlib
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
 import compare
@@ -9,6 +12,10 @@ import compare
 import corpus_pipeline
 from noticeflow.llm import bpe, jaccard, queries
 
+sys.path.insert(0, str(Path(__file__).parent))
+from test_joins import brute
+from test_quality_rules import counts
+
 pytestmark = pytest.mark.skipif(not compare.present, reason="no test tables")
 
 
@@ -42,3 +49,56 @@ def test_pipeline_stage_by_stage(spark):
             enc = bpe.Encoder(bpe.read_spec(queries.tokenizer_path()))
             assert list(np.frombuffer(enc.encode(text[row["doc_id"]]), np.int32)) == row["ids"]
         at, before = out, set(ids)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{compare.SMALL}/documents.parquet").collect()}
+
+
+def test_bpe_query_against_the_library(spark, texts):
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op4_bpe(spark, compare.SMALL).collect()}
+    want = {}
+    for i, t in texts.items():
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    assert got == want
+
+
+def test_join_query_against_brute_force(spark, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op10_ngram_jaccard(spark, compare.SMALL).collect()}
+    assert got == brute(list(texts.items()))
+
+
+def test_rules_query_against_brute_force(spark, texts):
+    for r in queries.op8_quality_rules(spark, compare.SMALL).collect():
+        n, chars, symbols, lines, repeats = counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
+        assert r["base_failed"] == (n < 20 or 100 * repeats > 30 * n) and not (r["base_failed"] and r["kept"])
+
+
+def test_model_query_on_held_out_labels(spark, texts):
+    rows = {r["doc_id"]: r for r in queries.op5_quality_model(spark, compare.SMALL).collect()}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{compare.SMALL}/labels.parquet").collect() if r["quality"] is not None}
+    right = [rows[i]["predicted"] == q for i, q in truth.items() if rows[i]["held_out"]]
+    assert sum(right) / len(right) > 0.85
+
+
+def test_stages_on_odd_rows(spark):
+    """Empty table, nulls in every column, repeated rows, a very long text, clashing names."""
+    docs = spark.read.parquet(f"{compare.SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", None, None, None), (10**6 + 1, "word " * 100_000, "en", None, None)], docs.schema)
+    names = ("kept", "n_words", "score", "stats", "gone", "base_failed", "copy_no")
+    mixed = docs.limit(30).unionByName(docs.limit(30)).unionByName(odd).withColumns({n: F.lit("mine") for n in names})
+    for table in (docs.limit(0), mixed):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, compare.SMALL)
+            if name != "encoding":
+                assert out.columns == table.columns
+                assert all(r[n] == "mine" for r in out.collect() for n in names if n in out.columns)
+            assert table is mixed or out.count() == 0

@@ -223,9 +223,9 @@ def admission_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices with defaults and the codes of their own document: here, the titles of the url's other orders."""
+    """Notices with defaults and the codes of their own document: here, the titles of all of the url's orders."""
     n = documents.with_defaults(views.notices(spark, sf_dir))
-    pages = n.where(urls.is_pdf_url(F.col("url")) & (F.col("notice_id") % 3 == 0)).select("url", F.col("notice_id").alias("page_no"), F.col("title").alias("text"))
+    pages = n.where(urls.is_pdf_url(F.col("url"))).select("url", F.col("notice_id").alias("page_no"), F.col("title").alias("text"))
     facts = text.with_codes(text.assemble(pages, "url", "page_no"), "text")
     return documents.enrich(n, facts).select("notice_id", "url", "source", "pdf_downloaded", "contains_eccn", "eccn_count", "eccns_found")
 
@@ -320,7 +320,7 @@ _SQL = {
        WHEN NOT contains(lower(content_type), 'application/pdf') THEN 'not_pdf' WHEN status <> 200 THEN 'http_error' ELSE 'accepted' END AS reason FROM fetch_log_v) GROUP BY reason""",
     "notice_enrich": f"""SELECT n.notice_id, n.url, n.source, false AS pdf_downloaded, coalesce(len(c) > 0, false) AS contains_eccn,
       coalesce(len(c), 0)::INTEGER AS eccn_count, coalesce(array_to_string(c, ', '), '') AS eccns_found FROM notices_v n LEFT JOIN
-      (SELECT url, {_CODES} AS c FROM (SELECT url, string_agg(title, '' ORDER BY notice_id) AS title FROM notices_v WHERE {_PDF} AND notice_id % 3 = 0 GROUP BY url)) d ON n.url = d.url""",
+      (SELECT url, {_CODES} AS c FROM (SELECT url, string_agg(title, '' ORDER BY notice_id) AS title FROM notices_v WHERE {_PDF} GROUP BY url)) d ON n.url = d.url""",
     "page_links": f"SELECT page_id, link_no, href, link_text FROM {_LINKS}",
     "short_link_filter": f"SELECT page_id, link_no, href, link_text FROM {_LINKS} WHERE length(href) >= 5 AND length(link_text) >= 5",
     "carry_forward_date": r"""SELECT p_no, a_no, first_value(d IGNORE NULLS) OVER (PARTITION BY p_no ORDER BY a_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS date_text

@@ -177,6 +177,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(docs, k=5, percent=75)
 
 
+#: Links between different sets, each named by its least doc_id, then all that each of them reaches.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+c AS (SELECT s, len(s) AS n, min(doc_id) AS node FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT node, n, unnest(s) AS shingle FROM c),
+p AS (SELECT x.node AS a, y.node AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.node <> y.node
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT node, node AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.node = m.node
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -189,4 +206,4 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}

@@ -56,6 +56,21 @@ def test_url_rules_on_all_shapes(spark):
     assert {(r["rule"], r["verdict"]) for r in none} == {(None, "block")} and len(none) == len(rows)
 
 
+def test_rules_of_many_shapes_are_joined(spark, monkeypatch):
+    """As it runs where a rule set has more shapes than are sent to every task; equal rules, empty rules, hosts without a name."""
+    monkeypatch.setattr(url_filter, "MAX_SENT", 0)
+    extra = [("org", "/a", "allow"), ("ORG", "/a", "block"), (None, "/", "block"), ("", "", "block"), ("", "/tmp/", "block"), ("x.org", None, "allow")]
+    rules = spark.createDataFrame(queries.RULES + extra, "host string, path string, verdict string")
+    urls = [*URLS, "http://org/ab", "http://x.org/ab", "file:///tmp/x", "file:///", "://", "://?"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "k_path int, url string, best string")
+    out = url_filter.judge(df, rules)
+    assert out.columns == ["k_path", "url", "best", "host", "path", "rule", "verdict"]
+    got = {r["k_path"]: tuple(r)[3:] for r in out.collect()}
+    known = [("org", "/ab", "org/a", "block"), ("x.org", "/ab", "x.org", "allow"), ("", "/tmp/x", "/tmp/", "block"), ("", "/", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow")]
+    want = [slow(u) if "x.org" not in (u or "") else ("x.org", "/", "x.org", "allow") for u in URLS] + known
+    assert got == dict(enumerate(want))
+
+
 def test_many_rules_against_brute_force(spark):
     rng = random.Random(2)
     part = lambda: rng.choice("ab") * rng.randint(1, 2)

@@ -73,8 +73,9 @@ def target_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
     return sizes.join(shares, "source", "left").select("source", rate.alias("rate"))
 
 
-#: Sources, and values of their distributions, that are sent to every task as one table; with more, the join is left to Spark.
-MAX_LOCAL_SOURCES, MAX_LOCAL_VALUES = 10_000, 1_000_000
+#: Sources, and values of their distributions, that are sent to every task as one table; with more, they are joined, and each
+#: source's rows are dealt over PARTS, as one may hold a third of all.
+MAX_LOCAL_SOURCES, MAX_LOCAL_VALUES, PARTS = 10_000, 1_000_000, 64
 
 
 def mix(
@@ -95,16 +96,21 @@ def mix(
     few = len(got) <= MAX_LOCAL_SOURCES and values <= MAX_LOCAL_VALUES
     if few:
         rates = spark.createDataFrame(got, "source string, rate double")
-    c_copy, c_order, c_source, c_cdf, c_row = fresh(docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf", "mix_row")
+    c_copy, c_order, c_source, c_cdf, c_row, c_part, c_of = fresh(
+        docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf", "mix_row", "mix_part", "mix_of"
+    )
     cdfs = rates.select(F.col("source").alias(c_source), poisson_cdf(F.col("rate")).alias(c_cdf))
     if few:
-        cdfs = F.broadcast(cdfs)
+        matched = docs.join(F.broadcast(cdfs), F.col(source).eqNullSafe(F.col(c_source)))
+    else:
+        parts = cdfs.withColumn(c_of, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = docs.withColumn(c_part, (F.monotonically_increasing_id() % PARTS).cast("int"))
+        matched = dealt.join(parts, F.col(source).eqNullSafe(F.col(c_source)) & (F.col(c_part) == F.col(c_of))).drop(c_part, c_of)
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
     u = uniform(seed, key)
     count = F.size(F.filter(c_cdf, lambda c: c <= u))
     copies = (
-        docs.join(cdfs, F.col(source).eqNullSafe(F.col(c_source)))
-        .withColumn(c_copy, count).where(F.col(c_copy) > 0).drop(c_source, c_cdf)
+        matched.withColumn(c_copy, count).where(F.col(c_copy) > 0).drop(c_source, c_cdf)
         .withColumn(c_copy, F.explode(F.sequence(F.lit(0), F.col(c_copy) - 1)))
         .withColumn(c_order, F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), key, F.col(c_copy).cast("string"))))
     )

@@ -4,8 +4,8 @@ Vectors are dealt into blocks of bounded size; each block of candidates keeps, f
 dimension, its list sorted by component. A query walks down the lists of a block, from the
 top where its own component is positive and from the bottom where it is negative, scores
 what it meets, and stops once the bound on all it has not met, the sum of its components
-times the lists' values at the present depth, is below the kth score so far. Depth grows
-fourfold a step. The best of each block are ranked together by query.
+times the lists' values at the present depth, is below the kth score so far. Depth doubles
+with each step. The best of each block are ranked together by query.
 
 Query blocks are sent to the candidate blocks, as queries are far fewer: the work is that of
 each query against all rows, in blocks, and what one task holds is one block of either kind.

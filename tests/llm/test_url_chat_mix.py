@@ -137,6 +137,17 @@ def test_poisson_counts(spark):
     assert mixing.mix(docs, copy=None, order=None).columns == docs.columns
 
 
+def test_many_sources_are_joined_in_parts(spark, monkeypatch):
+    """As it runs where there are more sources than are sent to every task: the same copies, nulls and repeated rows too."""
+    rows = [(i, f"s{i % 40}" if i % 3 else None, "x" * (i % 7), i) for i in range(400)] + [(None, "s1", None, 7)] * 3
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string, mix_part int")
+    few = mixing.mix(docs, epochs=2.0)
+    want = sorted(map(str, few.collect()))
+    monkeypatch.setattr(mixing, "MAX_LOCAL_SOURCES", 0)
+    many = mixing.mix(docs, epochs=2.0)
+    assert many.columns == few.columns and sorted(map(str, many.collect())) == want
+
+
 def test_named_weights_reach_their_shares(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), F.lit("xxxx").alias("text"))
     n = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"a": 3, "b": 1}).groupBy("source").count().collect()}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, quality_model, quality_rules, topk, url_filter, warc
+from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, negatives, quality_model, quality_rules, topk, url_filter, warc
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -194,6 +194,26 @@ FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.node = m.node
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -205,5 +225,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, negatives, quality_model, quality_rules, topk, url_filter, warc
+from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, negatives, quality_model, quality_rules, topk, url_filter, warc, whitening
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -214,6 +214,10 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -226,5 +230,6 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, chat, html_text, jaccard, mixing, negatives, quality_model, quality_rules, topk, url_filter, warc, whitening
+from noticeflow.llm import bpe, chat, html_text, jaccard, language_model, mixing, negatives, quality_model, quality_rules, topk, url_filter, warc, whitening
 from noticeflow.llm.common import table, written
 
 #: (host, path, verdict) of the rules that op1 applies.
@@ -218,6 +218,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+#: Bigrams: of the orders tried, the highest whose shuffles and files stay within four times the input.
+ORDER = 2
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality_model.held_out(F.col("doc_id"), 10)
+    model = language_model.fit(docs.where(~held_out), order=ORDER)
+    scored = language_model.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -231,5 +243,6 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_whitening": op12_whitening,
+    "op13_language_model": op13_language_model,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op6_chat_format": OP6_SQL, "op7_warc": OP7_SQL, "op9_topk": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_hard_negatives": OP11_SQL}

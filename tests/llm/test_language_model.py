@@ -51,7 +51,7 @@ class Plain:
             by = defaultdict(list)
             for g, v in c.items():
                 by[g[:-1]].append(v)
-            self.contexts[k] = by
+            self.contexts[k] = {u: (sum(v), sum(self.discounts[k][min(x, 3)] for x in v)) for u, v in by.items()}
 
     def p(self, word, before):
         p = 1 / (len(self.words) + 1)
@@ -60,7 +60,7 @@ class Plain:
             follow = self.contexts[k].get(u)
             if follow:
                 d, c = self.discounts[k], self.counts[k].get((*u, word), 0)
-                p = (max(c - d[min(c, 3)], 0) + sum(d[min(v, 3)] for v in follow) * p) / sum(follow)
+                p = (max(c - d[min(c, 3)], 0) + follow[1] * p) / follow[0]
         return p
 
     def scores(self, text):

@@ -13,8 +13,10 @@ from noticeflow.columns import once, unused
 KEYWORDS = ("Entity List", "Final Rule", "Huawei", "SMIC", "military end use", "PRC")
 # Short and long name of each topic.
 TOPICS = {"ear": ("EAR", "Export Administration Regulations"), "itar": ("ITAR", "International Traffic in Arms Regulations")}
-#: Characters by which texts and keywords of a table meet.
+#: Characters of the pieces by which texts and keywords of a table meet.
 GRAM = 3
+#: Texts with one such piece that meet its keywords in one part.
+PART = 100_000
 # Fixed value: a digit, a letter, three digits, and perhaps a dotted suffix; letter case is ignored.
 CODE = r"\b[0-9][A-Z][0-9]{3}(?:\.[a-z0-9]+)?\b"
 
@@ -52,31 +54,55 @@ def flag_keywords(df: DataFrame, column: str = "title", keywords: Sequence[str]
     )
 
 
-def flag_keywords_from_table(df: DataFrame, keywords: DataFrame, key: str, column: str = "title", keyword: str = "keyword", rank: str = "rank") -> DataFrame:
-    """As flag_keywords, for a keyword table too long for a literal; matches are listed by rank.
+def grams(low: Column) -> Column:
+    """The different pieces of up to GRAM characters that a text holds. Linear in the text, and no Python."""
+    whole = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    end = [F.right(low, F.lit(n)) for n in range(GRAM)]
 
-    A keyword can only be in a text that has its first GRAM characters, so texts meet keywords by those in an equi-join, and the
-    whole keyword is then looked for in the text. Keywords shorter than that are few by nature and are looked for in
-    every text. ``key`` tells rows apart; rows that share one, or have none, share its flags. Null and empty keywords match nothing.
+    def shorter(n: int) -> list[Column]:  # the beginnings of whole ones, and what the text's end adds
+        return [F.transform(whole, lambda g: F.substring(g, 1, n)), *[F.array(F.substring(e, 1, n)) for e in end]]
+
+    pieces = [whole, *[c for n in range(1, GRAM) for c in shorter(n)]]
+    return F.filter(F.array_distinct(F.concat(*pieces)), lambda g: g != "")
+
+
+def filed_keywords(pieces: DataFrame, keywords: DataFrame, part_size: int = PART) -> DataFrame:
+    """``keywords`` (rank, k, word), each under the piece of it that the fewest texts hold, as gram; a keyword with a piece that no text holds is in none and goes.
+
+    A piece that many texts hold is dealt over parts: ``parts`` says over how many. ``pieces`` has a gram of a text in each row.
     """
-    gram, low, word, at = unused([*df.columns, *keywords.columns], "gram", "low", "word", "at")
-    texts = df.select(F.col(key).alias(at), F.lower(F.coalesce(column, F.lit(""))).alias(low))
-    known = keywords.select(F.col(rank).alias("rank"), F.col(keyword).alias("k"), F.lower(keyword).alias(word)).where(F.length(word) > 0)
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(F.col(low), i, F.lit(GRAM)))
-    cut = texts.where(F.length(low) >= GRAM).withColumn(gram, F.explode(F.array_distinct(grams)))
-    long = known.where(F.length(word) >= GRAM).withColumn(gram, F.substring(word, 1, GRAM))
-    met = cut.join(long, gram).where(F.contains(low, F.col(word))).select(at, "rank", "k")
-    short = known.where(F.length(word) < GRAM).agg(F.collect_list(F.struct("rank", "k", word)).alias("few"))  # at most two characters each
-    few = short.first()["few"]
-    if few:
-        listed = F.array(*[F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["k"]).alias("k"), F.lit(r[word]).alias("w")) for r in few])
-        found = texts.select(at, F.explode(F.filter(listed, lambda s: F.contains(F.col(low), s["w"]))).alias("s")).select(at, "s.rank", "s.k")
-        met = met.unionByName(found)
-    hits = met.groupBy(at).agg(
-        F.transform(F.array_sort(F.collect_set(F.struct("rank", "k"))), lambda s: s["k"]).alias("flagged_keywords")
-    )
-    out = df.drop("flagged_keywords", "flagged").join(hits, F.col(key).eqNullSafe(F.col(at)), "left").drop(at)
-    out = out.withColumn("flagged_keywords", F.coalesce("flagged_keywords", F.array().cast("array<string>")))
+    own = F.when(F.length("word") >= GRAM, F.filter(grams(F.col("word")), lambda g: F.length(g) == GRAM)).otherwise(F.array("word"))
+    cut = keywords.withColumn("gram", F.explode(own))
+    counts = pieces.join(cut.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    met = cut.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    rarest = met.groupBy("rank", "k", "word").agg(F.min_by(F.struct("gram", "texts"), F.struct("texts", "gram")).alias("least"))
+    return rarest.where(F.col("least.texts") > 0).select("rank", "k", "word", "least.gram", F.ceil(F.col("least.texts") / part_size).cast("int").alias("parts"))
+
+
+def flag_keywords_from_table(df: DataFrame, keywords: DataFrame, column: str = "title", keyword: str = "keyword", rank: str = "rank", part_size: int = PART) -> DataFrame:
+    """As flag_keywords, for a keyword table of any length; matches are listed by rank.
+
+    A text that holds a keyword holds every piece of GRAM characters of it, the rarest among them. How many texts hold each piece is counted
+    once, each keyword is filed under its rarest piece, and texts meet keywords there; a piece that very many texts hold is dealt over parts. The keywords
+    that a text has met are then looked for in it as a whole. Only pieces and the texts' digests take part in the meeting, and each text is
+    moved once, to what it has met; equal texts meet once. Rows need no key: what a row gets depends on its own text alone.
+
+    Null and empty texts have no keyword, null and empty keywords match nothing, keywords of one rank are in order of their letters, and a repeated keyword
+    is listed once. Letter case is ignored.
+    """
+    digest, low, met = unused([*df.columns, "flagged_keywords", "flagged"], "digest", "low", "met")
+    rows = df.drop("flagged_keywords", "flagged").withColumn(low, F.lower(F.coalesce(column, F.lit("")))).withColumn(digest, F.unhex(F.md5(low)))
+    known = keywords.select(F.col(rank).alias("rank"), F.col(keyword).alias("k"), F.lower(keyword).alias("word")).where(F.length("word") > 0).distinct()
+    pieces = rows.select(F.col(digest).alias("digest"), F.explode(grams(F.col(low))).alias("gram"))
+    filed = filed_keywords(pieces, known, part_size)
+    parts = filed.groupBy("gram").agg(F.max("parts").alias("parts"))
+    of_texts = pieces.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    of_keywords = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    candidates = of_texts.select("digest", "gram", "part").join(of_keywords.select("rank", "k", "word", "gram", "part"), ["gram", "part"])
+    by_text = candidates.groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("rank", "k", "word"))).alias(met)).withColumnRenamed("digest", f"{digest}_of")
+    out = rows.join(by_text, F.col(digest) == F.col(f"{digest}_of"), "left")
+    found = once(F.col(low), lambda t: F.transform(F.filter(met, lambda s: F.contains(t, s["word"])), lambda s: s["k"]))
+    out = out.withColumn("flagged_keywords", F.coalesce(found, F.array().cast("array<string>"))).drop(low, digest, f"{digest}_of", met)
     return out.withColumn("flagged", F.size("flagged_keywords") > 0)
 
 

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from noticeflow.columns import unused
 
 
-def has_keyless(rows: DataFrame, key: str) -> bool:
-    """Whether some row has no key; stops at the first."""
-    return bool(rows.where(F.col(key).isNull()).limit(1).count())
-
-
 def keyed(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Left semi or anti join by a key, null-safe. Rows without a key are set aside, so they don't meet in one task."""
-    (other,) = unused([*left.columns, *right.columns], "other_key")
+    """Left semi or anti join by a key, null-safe; no job runs before the result is asked for.
+
+    Rows without a key are set aside, so they don't meet in one task: whether ``right`` has one too is a row at most, which is
+    sent to them.
+    """
+    other, one = unused([*left.columns, *right.columns], "other_key", "one")
     keys = right.where(F.col(key).isNotNull()).select(F.col(key).alias(other)).distinct()
     joined = left.where(F.col(key).isNotNull()).join(keys, F.col(key) == F.col(other), how)
-    keep = has_keyless(right, key) == (how == "left_semi")
-    return joined.unionByName(left.where(F.col(key).isNull())) if keep else joined
+    some = F.broadcast(right.where(F.col(key).isNull()).select(F.lit(1).alias(other)).limit(1))
+    keyless = left.where(F.col(key).isNull()).withColumn(one, F.lit(1)).join(some, F.col(one) == F.col(other), how).drop(one)
+    return joined.unionByName(keyless)
 
 
 def added(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:

@@ -42,6 +42,17 @@ def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.flag_keywords(docs, "text", KEYWORDS).select("doc_id", text.joined(F.col("flagged_keywords")).alias("flagged_keywords"), "flagged")
 
 
+#: A keyword for each part: a code that titles may hold, two letters of its name, or a word that stands in every title.
+_KEYWORD = "CASE WHEN p_partkey % 50 = 0 THEN substring(p_name, 1, 2) WHEN p_partkey % 333 = 0 THEN 'Notice' ELSE concat('5B', lpad(cast(p_partkey AS {text}), 3, '0')) END"
+
+
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by a table with as many keywords as there are parts."""
+    words = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rank"), F.expr(_KEYWORD.format(text="string")).alias("keyword"))
+    titles = views.notices(spark, sf_dir).select("notice_id", "title")
+    return text.flag_keywords_from_table(titles, words).select("notice_id", text.joined(F.col("flagged_keywords")).alias("flagged_keywords"), "flagged")
+
+
 def flagged_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     return reporting.flagged_only(text.flag_keywords(docs, "text", KEYWORDS)).select("doc_id", F.size("flagged_keywords").alias("n_keywords"))
@@ -250,7 +261,7 @@ def element_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    parse_dates, first_numeric_date, extract_codes, codes_per_date, keyword_flags, flagged_only, topic_flags, diff_added, diff_removed, diff_semi,
+    parse_dates, first_numeric_date, extract_codes, codes_per_date, keyword_flags, keyword_table, flagged_only, topic_flags, diff_added, diff_removed, diff_semi,
     change_report, key_presence, key_difference, snapshot_unchanged, union_drift, multi_source_union, source_counts, first_per_key,
     first_per_key_ranked, master_merge, master_merge_latest, newest_first_top5, pdf_summary, report_tables, run_summary, column_widths, date_coverage,
     quarter_label, assemble_text, empty_text, strip_text, pdf_url_predicate, url_filename, absolute_urls, admission_reason, notice_enrich,
@@ -277,6 +288,8 @@ _SQL = {
     "extract_codes": f"SELECT notice_id, array_to_string(c, ', ') AS eccns_found, len(c)::INTEGER AS eccn_count, len(c) > 0 AS contains_eccn FROM {_CODED}",
     "codes_per_date": f"SELECT publication_date, sum(len(c))::BIGINT AS total_eccns FROM {_CODED} WHERE publication_date IS NOT NULL GROUP BY 1",
     "keyword_flags": f"SELECT doc_id, array_to_string({_MATCHES}, ', ') AS flagged_keywords, len({_MATCHES}) > 0 AS flagged FROM documents",
+    "keyword_table": f"""SELECT n.notice_id, coalesce(string_agg(k, ', ' ORDER BY rank, k), '') AS flagged_keywords, count(k) > 0 AS flagged FROM notices_v n
+      LEFT JOIN (SELECT p_partkey AS rank, {_KEYWORD.format(text="varchar")} AS k FROM part) w ON k <> '' AND contains(lower(n.title), lower(k)) GROUP BY n.notice_id""",
     "flagged_only": f"SELECT doc_id, len({_MATCHES})::INTEGER AS n_keywords FROM documents WHERE len({_MATCHES}) > 0",
     "topic_flags": "SELECT notice_id, " + ", ".join(
         f"contains(title, '{a}') OR contains(title, '{b}') AS {k}" for k, (a, b) in (

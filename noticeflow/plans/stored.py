@@ -89,13 +89,37 @@ def master_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a stream over CSV drops, which then runs again from its start: urls that the master holds."""
+    """The same by a stream over CSV drops of many files, the second of which comes later; then all of it again from the start, to which the master has every url."""
     rows, root = _notices(spark, sf_dir), folder(spark, "stream")
     for k, part in enumerate(("date < date '1999-01-01'", "date >= date '1998-01-01'")):
-        snapshots.write_csv(rows.where(part), f"{root}/drops/{k}")
-    for run in ("first", "again"):
-        streaming.maintain_master(spark, f"{root}/drops/*", f"{root}/master", f"{root}/{run}", QUARTER).awaitTermination()
-    return snapshots.read_master(spark, f"{root}/master").select("source", "url", "quarter")
+        snapshots.write_csv(rows.where(part).repartition("url").sortWithinPartitions("url", "title", "date"), f"{root}/drops/{k}")
+        streaming.maintain_master(spark, f"{root}/drops/*", f"{root}/master", f"{root}/first", QUARTER).awaitTermination()
+    streaming.maintain_master(spark, f"{root}/drops/*", f"{root}/master", f"{root}/again", QUARTER).awaitTermination()
+    return snapshots.read_master(spark, f"{root}/master").select(*_CELLS, "quarter")
+
+
+#: Hours that a user's events of a type may pause within a run.
+GAP = 72
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each user's events of a type, from a stream that gets the events in four parts, and then one long after all, which lets every run end."""
+    root = folder(spark, "sessions")
+    events = views.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    cuts = events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75]).alias("cuts"), F.max("ts").alias("last")).first()
+    at = F.lit(0)
+    for cut in cuts["cuts"] or []:
+        at = at + (F.col("ts") > F.lit(cut)).cast("int")
+    end = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), (F.lit(cuts["last"]) + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    for part in (*[events.where(at == k) for k in range(4)], end):
+        part.write.mode("append").parquet(f"{root}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+        runs = streaming.first_of_sessions(stream, ["user_id", "event_type"], "ts", f"{GAP} hours", "1 hour")
+        query = runs.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+        query.trigger(availableNow=True).start().awaitTermination()
+    # left out here, as a filter in the stream would keep the last event from the watermark
+    found = spark.read.schema(runs.schema).parquet(f"{root}/out").where("user_id is not null")
+    return found.select("user_id", "event_type", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +196,7 @@ def current_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_round_trip, csv_generations, snapshot_latest, master_append, stream_master, stream_first_seen, report_contents, table_notices, article_items, menu_items, current_run,
+    csv_round_trip, csv_generations, snapshot_latest, master_append, stream_master, stream_sessions, stream_first_seen, report_contents, table_notices, article_items, menu_items, current_run,
 )}
 
 _CODES = r"list_sort(list_distinct(regexp_extract_all(title, '(?i)\b[0-9][A-Z][0-9]{3}(?:\.[a-z0-9]+)?\b')))"
@@ -191,6 +215,11 @@ _SQL = {
       CASE WHEN date >= DATE '1998-01-01' THEN nullif(eccns_found, '') END AS eccns_found, CASE WHEN date >= DATE '1998-01-01' THEN flagged END AS flagged FROM {_ROWS}""",
     "snapshot_latest": f"SELECT source, url, title, date, eccns_found, flagged, '2025-04-15_18-45' AS snapshot_ts FROM {_ROWS} WHERE date >= DATE '1995-01-01'",
     "master_append": f"SELECT source, url, title, date, eccns_found, flagged, '{QUARTER}' AS quarter FROM {_MASTER} WHERE r = 1",
+    "stream_master": f"SELECT source, url, nullif(title, '') AS title, date, nullif(eccns_found, '') AS eccns_found, flagged, '{QUARTER}' AS quarter FROM {_MASTER} WHERE r = 1",
+    "stream_sessions": f"""SELECT user_id, event_type, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM
+      (SELECT *, sum(start::INTEGER) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM
+        (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > INTERVAL {GAP} HOUR, true) AS start FROM events))
+      GROUP BY user_id, event_type, run""",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type, user_id::VARCHAR || '/' || event_type AS url FROM events",
     "report_contents": f"""SELECT 'all_entries' AS name, url AS a, title AS b, eccn_count AS n FROM {_ROWS} UNION ALL SELECT 'flagged_only', url, eccns_found, eccn_count FROM {_ROWS} WHERE flagged
       UNION ALL SELECT 'pdf_summary', url, title, NULL FROM {_ROWS}
@@ -203,4 +232,3 @@ _SQL = {
       (SELECT url, string_agg(title, '' ORDER BY page_id, row_no) AS title FROM {_TABLES} WHERE ends_with(url, '.pdf') GROUP BY url)) d ON n.url = d.u""",
 }
 SQL = {k: views.DUCK + v for k, v in _SQL.items()}
-#: A url's first row in a stream depends on how a batch's files are split, so its source may be any of the url's; the urls are compared in a test.

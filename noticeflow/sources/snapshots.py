@@ -1,12 +1,13 @@
 """Snapshots and the quarterly master.
 
 Snapshots are directories ``snapshot_ts=<label>`` of Parquet, whose labels sort in time, or CSV files whose names do. The
-master is Parquet partitioned by quarter, and only grows: novel rows are appended, nothing is read and
-overwritten. Labels and quarters are parameters; nothing here looks at the clock.
+master is Parquet partitioned by quarter and by the batch that brought a row, and only grows: each batch writes novel rows to a partition of its own,
+which a repeated batch replaces as a whole. Labels and quarters are parameters; nothing here looks at the clock.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -104,25 +105,33 @@ def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = schem
     return all_of.where(F.col("snapshot_ts") == F.lit(label))
 
 
-def read_master(spark: SparkSession, root: str, quarter: str | None = None, schema: T.StructType = schemas.NOTICE) -> DataFrame:
-    """The master, or one quarter of it; empty, with the same columns, where there is none yet."""
-    whole = T.StructType([*schema.fields, T.StructField("quarter", T.StringType())])
+def read_master(spark: SparkSession, root: str, quarter: str | None = None, schema: T.StructType = schemas.NOTICE, batch: bool = False) -> DataFrame:
+    """The master, or one quarter of it; empty, with the same columns, where there is none yet. ``batch`` adds what brought each row."""
+    whole = T.StructType([*schema.fields, T.StructField("quarter", T.StringType()), T.StructField("batch", T.StringType())])
     try:
         df = spark.read.schema(whole).parquet(root)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         df = spark.createDataFrame([], whole)
-    return df.where(F.col("quarter") == quarter) if quarter else df
+    df = df.where(F.col("quarter") == quarter) if quarter else df
+    return df if batch else df.drop("batch")
 
 
 def append_to_master(
     spark: SparkSession, root: str, new: DataFrame, quarter: str, order: Sequence[str] = ("snapshot_ts", "row_no"),
-    schema: T.StructType = schemas.NOTICE, keep_keyless: bool = False,
+    schema: T.StructType = schemas.NOTICE, keep_keyless: bool = False, batch: str | None = None,
 ) -> None:
-    """Append to a quarter the rows of keys it lacks. Running it again with the same rows appends nothing."""
-    master = read_master(spark, root, quarter, schema)
-    rows = merge.novel(master, new, "url", order, keep_keyless)
+    """Append to a quarter the rows of keys it lacks. Running it again with the same rows appends nothing.
+
+    ``batch`` names what is appended. A batch of that name that was written before, wholly or in part, counts as not there, and what is
+    written replaces it: so a batch that runs again leaves the master as one run does, rows without a key among them.
+    """
+    master = read_master(spark, root, quarter, schema, batch=True)
+    if batch is not None:
+        master = master.where(F.col("batch") != batch)
+    rows = merge.novel(master.drop("batch"), new, "url", order, keep_keyless)
     have = set(rows.columns)
     rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    rows.withColumn("quarter", F.lit(quarter)).write.mode("append").partitionBy("quarter").parquet(root)
+    named = rows.withColumns({"quarter": F.lit(quarter), "batch": F.lit(batch or uuid.uuid4().hex)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("quarter", "batch").parquet(root)

@@ -90,7 +90,7 @@ def test_keywords(spark):
     assert values(spark, ["PRCx entity list.", "the prc"], whole) == [["Entity List"], ["PRC"]]
     df = spark.createDataFrame([(1, "Smic and prc"), (2, None)], "id int, title string")
     words = spark.createDataFrame([("PRC", 0), ("SMIC", 1)], "keyword string, rank int")
-    got = {r["id"]: (r["flagged_keywords"], r["flagged"]) for r in text.flag_keywords_from_table(df, words, "id").collect()}
+    got = {r["id"]: (r["flagged_keywords"], r["flagged"]) for r in text.flag_keywords_from_table(df, words).collect()}
     assert got == {1: (["PRC", "SMIC"], True), 2: ([], False)}
 
 
@@ -100,10 +100,33 @@ def test_keywords_of_a_table_are_flagged_as_those_of_a_list(spark):
     df = spark.createDataFrame([(None if t == "x" else i, t, "mine") for i, t in enumerate(texts)], "id int, title string, word string")
     table = spark.createDataFrame([(k, i) for i, k in enumerate(known)] + [(None, 99)], "keyword string, rank int")
     want = text.flag_keywords(df, "title", known[:-1]).collect()
-    got = text.flag_keywords_from_table(df, table, "id").collect()
+    got = text.flag_keywords_from_table(df, table).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("part_size", [1, 7, 100_000])
+def test_each_row_of_a_keyword_table_has_its_own_flags(spark, part_size):
+    rng = random.Random(part_size)
+    letters = "abAB é\U0001F600\n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(150)] + ["every title has this"] * 60 + ["every title " * 2000 + "rare", None]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(60)] + ["title", "every", "rare", "\U0001F600a", "no such piece"]
+    words = list(dict.fromkeys(words))
+    # no key, and one key for many rows
+    df = spark.createDataFrame([(None if i % 3 else 1, t) for i, t in enumerate(texts)], "id int, title string").repartition(5)
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(words)], "keyword string, rank int")
+    got, want = text.flag_keywords_from_table(df, table, part_size=part_size), text.flag_keywords(df, "title", words)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_keywords_are_filed_under_their_rarest_piece(spark):
+    pieces = spark.createDataFrame([("abc",)] * 5 + [("bcd",)] * 2 + [("xyz",)] * 9, "gram string")
+    words = spark.createDataFrame([(0, "ABCD", "abcd"), (1, "xyz", "xyz"), (2, "abcq", "abcq")], "rank int, k string, word string")
+    got = {r["k"]: (r["gram"], r["parts"]) for r in text.filed_keywords(pieces, words, 4).collect()}
+    assert got == {"ABCD": ("bcd", 1), "xyz": ("xyz", 3)}  # no text holds bcq
+    assert {r["g"] for r in spark.range(1).select(F.explode(text.grams(F.lit("abcd"))).alias("g")).collect()} == {"abc", "bcd", "ab", "bc", "cd", "a", "b", "c", "d"}
+    assert sorted(spark.range(1).select(text.grams(F.lit("ab")).alias("g")).first()["g"]) == ["a", "ab", "b"]
+
+
 def test_topics_strip_blank_and_lists(spark):
     assert values(spark, ["RESEARCH", "ear", None, "Export Administration Regulations"], lambda c: text.topic_flag(c, "ear")) == [True, False, False, True]
     assert values(spark, ["  a b\t\n", "", None], text.strip) == ["a b", "", None]

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow.functions import text
 from noticeflow.operators import compare, documents, merge, reporting
 
 
@@ -121,3 +122,22 @@ def test_carry_forward(spark):
     assert got == [None, "1/2/2024", "1/2/2024", "1/2/2024", "7/8/2024"]
     long = reporting.long_enough(spark.createDataFrame([("/abcd", "title"), ("/a", "title"), ("/abcd", None)], "href string, link_text string"))
     assert long.count() == 1
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2)], "url string, n int")
+    right = spark.createDataFrame([("b", 3), (None, 4)], "url string, n int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "building plans")
+    try:
+        rows = left.withColumns({"snapshot_ts": F.lit("1"), "row_no": F.col("n"), "title": F.col("url")})
+        more = right.withColumns({"snapshot_ts": F.lit("2"), "row_no": F.col("n"), "title": F.col("url")})
+        plans = [
+            compare.added(left, right), compare.removed(left, right), compare.members(left, right), compare.change_report(left, right), compare.key_presence(left, right),
+            merge.merge(rows, more), merge.merge(rows, more, conflict="latest"), merge.merge(rows, more, keep_keyless=True),
+            text.flag_keywords_from_table(rows, spark.createDataFrame([("a", 1)], "keyword string, rank int")),
+        ]
+        assert len(tracker.getJobIdsForGroup("plans")) == 0
+        assert all(len(p.collect()) >= 0 for p in plans)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

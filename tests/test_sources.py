@@ -143,6 +143,74 @@ def test_stream_merges_each_drop_once(spark, tmp_path):
     assert state() == want
 
 
+def test_first_drop_wins_whatever_the_batches(spark, tmp_path):
+    """Six drops with one url, whose names are in no order, in one batch and in many."""
+    import os
+
+    drops = tmp_path / "drops"
+    drops.mkdir()
+    head = ",".join(schemas.SNAPSHOT_CSV.names)
+    for k, name in enumerate(("q", "c", "z", "a", "m", "b")):
+        (drops / f"{name}.csv").write_text(f'{head}\ns,,,,title {k},u,,,,,,,"[]",true\ns,,,,own {k},u{k},,,,,,,"[]",true\ns,,,,again {k},u{k},,,,,,,"[]",true\n')
+        os.utime(drops / f"{name}.csv", (1_700_000_000 + k, 1_700_000_000 + k))
+    want = [("u", "title 0"), *[(f"u{k}", f"own {k}") for k in range(6)]]
+    for files in (None, 1, 4):
+        root = f"{tmp_path}/m{files}"
+        streaming.maintain_master(spark, str(drops), root, f"{tmp_path}/cp{files}", "2025_Q2", max_files=files).awaitTermination()
+        assert sorted((r["url"], r["title"]) for r in snapshots.read_master(spark, root).collect()) == want
+    same = tmp_path / "same"  # of one time: by path
+    same.mkdir()
+    for name in ("b", "a"):
+        (same / f"{name}.csv").write_text(f'{head}\ns,,,,{name},u,,,,,,,"[]",true\n')
+        os.utime(same / f"{name}.csv", (1_700_000_000, 1_700_000_000))
+    streaming.maintain_master(spark, str(same), f"{tmp_path}/s", f"{tmp_path}/cps", "2025_Q2").awaitTermination()
+    assert [r["title"] for r in snapshots.read_master(spark, f"{tmp_path}/s").collect()] == ["a"]
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    from pathlib import Path
+
+    root = f"{tmp_path}/m"
+    rows = notice(spark, ("a", "1", None, None, True), ("b", "2", None, None, True), (None, "3", None, None, False), (None, "3", None, None, False)).repartition(4)
+    append = lambda part, name: snapshots.append_to_master(spark, root, part, "2025_Q2", keep_keyless=True, batch=name)
+    state = lambda: sorted((r["url"] or "", r["title"], r["batch"]) for r in snapshots.read_master(spark, root, batch=True).collect())
+    append(rows, "s-1")
+    once = state()
+    assert once == [("", "3", "s-1"), ("", "3", "s-1"), ("a", "1", "s-1"), ("b", "2", "s-1")]
+    append(rows, "s-1")
+    assert state() == once
+    next(Path(root).rglob("part-*.parquet")).unlink()  # a batch of which a part was written
+    assert state() != once
+    append(rows, "s-1")
+    assert state() == once
+    append(rows.where("url is not null"), "s-2")
+    assert state() == once and snapshots.read_master(spark, root).columns[-1] == "quarter"
+    assert streaming.batch_name("cp", 3) == streaming.batch_name("cp", 3) != streaming.batch_name("other", 3)
+
+
+def test_runs_of_a_stream_by_event_time(spark, tmp_path):
+    row = lambda key, minute: (key, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute) if minute is not None else None)
+    parts = [
+        [row("a", 0), row("a", 9), row("b", 3), row("a", None), row(None, 5)],
+        [row("a", 18), row("a", 60), row("b", 70)],
+        [row("c", 20), row("a", 61), row("b", 68)],  # c is older than the watermark, b's is within the allowance
+        [row("z", 10_000)],
+    ]
+    schema = "url string, ts timestamp"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        runs = streaming.first_of_sessions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["url"], "ts", "10 minutes", "5 minutes")
+        runs.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    minute = lambda t: int((t - dt.datetime(2024, 1, 1)).total_seconds() // 60)
+    rows = lambda df: sorted(((r["url"] or "", minute(r["first_seen"]), minute(r["last_seen"]), r["n"]) for r in df.collect()))
+    got = rows(spark.read.schema(runs.schema).parquet(f"{tmp_path}/out"))
+    assert got == [("", 5, 5, 1), ("a", 0, 18, 3), ("a", 60, 61, 2), ("b", 3, 3, 1), ("b", 68, 70, 2)]
+    whole = rows(streaming.first_of_sessions(spark.createDataFrame([r for p in parts for r in p], schema), ["url"], "ts", "10 minutes"))
+    assert [r for r in whole if r[0] not in ("c", "z")] == got
+    exact = spark.createDataFrame([row("a", 0), row("a", 10)], schema)  # a pause of just the gap
+    assert rows(streaming.first_of_sessions(exact, ["url"], "ts", "10 minutes")) == [("a", 0, 10, 2)]
+
+
 def test_first_seen(spark, tmp_path):
     src = tmp_path / "s"
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 02:00:00")], "url string, ts string")

@@ -149,3 +149,31 @@ def assemble(pages: DataFrame, key: str, order: str, text: str = "text", out: st
     return marked.groupBy(key).agg(
         F.array_join(F.transform(parts, lambda p: p["t"]), "").alias(out), (~F.bool_and(fits)).alias("truncated")
     )
+
+
+def assemble_ranges(pages: DataFrame, key: str, order: str, text: str = "text", out: str = "text", span: int = 1000, max_chars: int | None = None) -> DataFrame:
+    """As ``assemble``, for keys that may have very many pages, with whole page numbers as ``order``.
+
+    Each range of ``span`` page numbers of a key is put together apart, then the ranges are, so no task sorts more than a range's pages. With
+    ``max_chars`` the lengths of the ranges are summed up first: ranges that end before the limit are taken whole, and only the pages of the one that crosses it are looked at
+    one by one. Without a limit a key's whole text has to fit a row. Pages without a number come first, as a range of their own.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    no, part, piece, before, so_far, fits, mine, at = unused([*pages.columns, out, "truncated"], "no", "part", "piece", "before", "so_far", "fits", "key_of", "part_of")
+    rows = pages.select(F.col(key).alias(key), F.col(order).alias(no), F.expr(f"`{order}` div {span}").alias(part), t.alias(piece))
+    in_range = lambda c: F.expr(f"listagg(`{c}`, '') WITHIN GROUP (ORDER BY `{no}`, `{c}`)")
+    by_range = lambda c: F.expr(f"listagg(`{c}`, '') WITHIN GROUP (ORDER BY `{part}`)")
+    if max_chars is None:
+        return rows.groupBy(key, part).agg(in_range(piece).alias(piece)).groupBy(key).agg(by_range(piece).alias(out))
+    lengths = rows.groupBy(key, part).agg(F.sum(F.length(piece)).alias(so_far))
+    ahead = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.withColumn(before, F.coalesce(F.sum(so_far).over(ahead), F.lit(0))).select(F.col(key).alias(mine), F.col(part).alias(at), before, so_far)
+    placed = rows.join(lengths, F.col(key).eqNullSafe(F.col(mine)) & F.col(part).eqNullSafe(F.col(at))).drop(mine, at)
+    within = Window.partitionBy(key, part).orderBy(no, piece).rowsBetween(Window.unboundedPreceding, 0)
+    # a range that lies before or behind the limit as a whole needs no running sum
+    whole = placed.where((F.col(before) + F.col(so_far) <= max_chars) | (F.col(before) > max_chars)).withColumn(fits, F.col(before) + F.col(so_far) <= max_chars)
+    crossing = placed.where((F.col(before) <= max_chars) & (F.col(before) + F.col(so_far) > max_chars))
+    crossing = crossing.withColumn(fits, F.col(before) + F.sum(F.length(piece)).over(within) <= max_chars)
+    kept = whole.unionByName(crossing).withColumn(piece, F.when(F.col(fits), F.col(piece)).otherwise(""))
+    ranges = kept.groupBy(key, part).agg(in_range(piece).alias(piece), F.bool_and(fits).alias(fits))
+    return ranges.groupBy(key).agg(by_range(piece).alias(out), (~F.bool_and(fits)).alias("truncated"))

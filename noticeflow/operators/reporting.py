@@ -35,13 +35,27 @@ def head(notices: DataFrame, n: int = 5, *tie_breaks: str) -> DataFrame:
     return newest_first(notices, *tie_breaks).limit(n)
 
 
-def run_summary(notices: DataFrame) -> DataFrame:
-    """One row of counts; a flag that a table lacks is false everywhere."""
-    flag = lambda c: F.count_if(F.col(c)) if c in notices.columns else F.lit(0).cast("long")
-    return notices.agg(
-        F.count("*").alias("rows"), F.count("url").alias("with_url"), flag("pdf_downloaded").alias("downloaded"),
+def summary_columns(notices: DataFrame) -> list[Column]:
+    """The counts of a run; a flag that a table lacks is false everywhere."""
+    flag = lambda c: F.count_if(F.col(c)) if c in notices.columns else F.count_if(F.lit(False))
+    return [
+        F.count(F.lit(1)).alias("rows"), F.count("url").alias("with_url"), flag("pdf_downloaded").alias("downloaded"),
         flag("flagged").alias("flagged"), flag("is_ear_related").alias("ear"), flag("is_itar_related").alias("itar"),
-    )
+    ]
+
+
+def run_summary(notices: DataFrame) -> DataFrame:
+    """One row of counts."""
+    return notices.agg(*summary_columns(notices))
+
+
+def width_columns(df: DataFrame, columns: Sequence[str] | None = None, null_width: int = 3, margin: int = 2) -> list[Column]:
+    """For each column the longest value or the header, plus a margin."""
+    def width(c: str) -> Column:
+        longest = F.max(F.coalesce(F.length(F.col(c).cast("string")), F.lit(null_width)))
+        return (F.greatest(F.coalesce(longest, F.lit(0)), F.lit(len(c))) + margin).alias(c)
+
+    return [width(c) for c in columns or df.columns]
 
 
 def source_counts(notices: DataFrame, sources: DataFrame) -> DataFrame:
@@ -51,12 +65,8 @@ def source_counts(notices: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def column_widths(df: DataFrame, columns: Sequence[str] | None = None, null_width: int = 3, margin: int = 2) -> DataFrame:
-    """One row: for each column the longest value or the header, plus a margin; one pass."""
-    def width(c: str) -> Column:
-        longest = F.max(F.coalesce(F.length(F.col(c).cast("string")), F.lit(null_width)))
-        return (F.greatest(F.coalesce(longest, F.lit(0)), F.lit(len(c))) + margin).alias(c)
-
-    return df.agg(*[width(c) for c in columns or df.columns])
+    """One row of the columns' widths; one pass."""
+    return df.agg(*width_columns(df, columns, null_width, margin))
 
 
 def date_coverage(df: DataFrame, column: str = "date") -> DataFrame:

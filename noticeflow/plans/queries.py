@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions import dates, text, urls
-from noticeflow.operators import compare, documents, merge, reporting
+from noticeflow.operators import compare, documents, history, merge, reporting, widening
 from noticeflow.plans import views
 from noticeflow.sources import html, reports
 
@@ -108,6 +108,27 @@ def snapshot_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(old, old.orderBy(F.desc("notice_id")), "same").unionByName(count(old, new, "other"))
 
 
+def url_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each url was there, over a snapshot for each year with the notices of that year."""
+    years = views.notices(spark, sf_dir).select("url", F.date_format("true_date", "yyyy").alias("snapshot_ts"))
+    return history.presence_intervals(years)
+
+
+def widened_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations: dates and counts as texts, some of them unreadable; dates, and counts as long; neither, and counts as int."""
+    n = views.notices(spark, sf_dir)
+    part = lambda k: n.where(F.col("notice_id") % 3 == k)
+    written = F.when(F.col("notice_id") % 2 == 0, "to be set").otherwise(F.col("publication_date"))
+    count = F.when(F.col("notice_id") % 5 == 0, F.lit("2.5")).otherwise((F.col("notice_id") % 100).cast("string"))
+    frames = [
+        part(0).select("notice_id", "title", written.alias("date"), count.alias("count")),
+        part(1).select("notice_id", F.col("true_date").alias("date"), F.col("notice_id").alias("count"), "url"),
+        part(2).select("notice_id", "url", (F.col("notice_id") % 7).cast("int").alias("count")),
+    ]
+    rows = widening.union_widened(frames)
+    return rows.select("notice_id", "title", "date", "count", "url", F.col("unread")["date"].alias("unread_date"), F.col("unread")["count"].alias("unread_count"))
+
+
 def union_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = views.snapshots(spark, sf_dir)
     return merge.union_all([old.select("notice_id", "url"), new.select("notice_id", "title", "url")])
@@ -199,6 +220,18 @@ def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.assemble(turns, "conv_id", "turn")
 
 
+#: Longest text of a url in assemble_hot, and page numbers of a range.
+MOST, SPAN = 5_000, 400
+
+
+def assemble_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by url where one url has a third of all pages: whole, and within a limit."""
+    o = F.col("o_orderkey")
+    pages = views.table(spark, sf_dir, "orders").select(F.when(o % 3 == 0, "hot").otherwise((o % 1000).cast("string")).alias("url"), o.alias("page_no"), F.col("o_orderpriority").alias("text"))
+    whole = text.assemble_ranges(pages, "url", "page_no", span=SPAN)
+    return whole.join(text.assemble_ranges(pages, "url", "page_no", out="limited", span=SPAN, max_chars=MOST), "url")
+
+
 def empty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", text.is_blank(F.col("text")).alias("blank"))
 
@@ -262,9 +295,9 @@ def element_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parse_dates, first_numeric_date, extract_codes, codes_per_date, keyword_flags, keyword_table, flagged_only, topic_flags, diff_added, diff_removed, diff_semi,
-    change_report, key_presence, key_difference, snapshot_unchanged, union_drift, multi_source_union, source_counts, first_per_key,
+    change_report, key_presence, key_difference, url_history, widened_generations, snapshot_unchanged, union_drift, multi_source_union, source_counts, first_per_key,
     first_per_key_ranked, master_merge, master_merge_latest, newest_first_top5, pdf_summary, report_tables, run_summary, column_widths, date_coverage,
-    quarter_label, assemble_text, empty_text, strip_text, pdf_url_predicate, url_filename, absolute_urls, admission_reason, notice_enrich,
+    quarter_label, assemble_text, assemble_hot, empty_text, strip_text, pdf_url_predicate, url_filename, absolute_urls, admission_reason, notice_enrich,
     page_links, short_link_filter, carry_forward_date, element_links,
 )}
 
@@ -302,6 +335,14 @@ _SQL = {
     "key_difference": "SELECT url FROM snap_new_v EXCEPT SELECT url FROM snap_old_v",
     "snapshot_unchanged": f"""SELECT 'same' AS pair, 0::BIGINT AS n_differing UNION ALL SELECT 'other', (SELECT count(*) FROM
       ((SELECT {_NAMES} FROM snap_new_v EXCEPT ALL SELECT {_NAMES} FROM snap_old_v) UNION ALL (SELECT {_NAMES} FROM snap_old_v EXCEPT ALL SELECT {_NAMES} FROM snap_new_v)))""",
+    "url_history": """SELECT url, row_number() OVER (PARTITION BY url ORDER BY a)::INTEGER AS spell, l.label AS valid_from, e.label AS valid_to, n AS n_snapshots FROM
+      (SELECT url, min(no) AS a, max(no) AS b, count(*) AS n FROM (SELECT *, no - row_number() OVER (PARTITION BY url ORDER BY no) AS run FROM
+        (SELECT DISTINCT url, dense_rank() OVER (ORDER BY year(true_date)) AS no FROM notices_v)) GROUP BY url, run) r
+      JOIN (SELECT DISTINCT year(true_date)::VARCHAR AS label, dense_rank() OVER (ORDER BY year(true_date)) AS no FROM notices_v) l ON l.no = r.a
+      LEFT JOIN (SELECT DISTINCT year(true_date)::VARCHAR AS label, dense_rank() OVER (ORDER BY year(true_date)) AS no FROM notices_v) e ON e.no = r.b + 1""",
+    "widened_generations": f"""SELECT notice_id, CASE WHEN g = 0 THEN title END AS title, CASE WHEN g = 0 AND notice_id % 2 = 1 THEN {_DATE} WHEN g = 1 THEN true_date END AS date,
+      CASE WHEN g = 0 AND notice_id % 5 <> 0 THEN notice_id % 100 WHEN g = 1 THEN notice_id WHEN g = 2 THEN notice_id % 7 END::BIGINT AS count, CASE WHEN g > 0 THEN url END AS url,
+      CASE WHEN g = 0 AND notice_id % 2 = 0 THEN 'to be set' END AS unread_date, CASE WHEN g = 0 AND notice_id % 5 = 0 THEN '2.5' END AS unread_count FROM (SELECT *, notice_id % 3 AS g FROM notices_v)""",
     "union_drift": "SELECT notice_id, url, NULL::VARCHAR AS title FROM snap_old_v UNION ALL SELECT notice_id, url, title FROM snap_new_v",
     "multi_source_union": """SELECT source, notice_id, CASE WHEN source = 'src-F' THEN url END AS url, CASE WHEN source = 'src-O' THEN title END AS title,
       CASE WHEN source = 'src-P' THEN true END AS is_ear_related FROM notices_v""",
@@ -322,6 +363,8 @@ _SQL = {
     "quarter_label": """SELECT o_orderkey, year(o_orderdate)::VARCHAR || '_Q' || quarter(o_orderdate)::VARCHAR AS quarter,
       strftime(o_orderdate, '%Y-%m-%d_%H-%M') AS label, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
     "assemble_text": "SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "assemble_hot": f"""SELECT url, string_agg(t, '' ORDER BY no) AS text, string_agg(CASE WHEN l <= {MOST} THEN t ELSE '' END, '' ORDER BY no) AS limited, max(l) > {MOST} AS truncated FROM
+      (SELECT *, sum(length(t)) OVER (PARTITION BY url ORDER BY no) AS l FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE (o_orderkey % 1000)::VARCHAR END AS url, o_orderkey AS no, o_orderpriority AS t FROM orders)) GROUP BY url""",
     "empty_text": r"SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') = '' AS blank FROM documents",
     "strip_text": "SELECT notice_id, title, lower(title) AS folded FROM notices_v",
     "pdf_url_predicate": f"SELECT notice_id, {_PDF} AS is_pdf, {_PDF} AS upper_is_pdf, false AS upper_is_strict_pdf FROM notices_v",

@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow import schemas
-from noticeflow.operators import merge
+from noticeflow.columns import unused
+from noticeflow.operators import merge, reporting
 
 # Cell texts that a CSV reader of notices takes for a missing value.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -94,6 +95,29 @@ def write_snapshot(df: DataFrame, root: str, label: str) -> None:
     )
 
 
+def write_observed(df: DataFrame, root: str, label: str, widths: Sequence[str] = ()) -> dict[str, int]:
+    """As write_snapshot; the run's counts, and the widths of some columns, are gathered while the rows are written, without a second pass.
+
+    The same figures as ``run_summary`` and ``column_widths`` (as ``width_<column>``).
+    """
+    figures = [*reporting.summary_columns(df), *[w.alias(f"width_{c}") for c, w in zip(widths, reporting.width_columns(df, widths) if widths else [], strict=True)]]
+    seen = Observation()
+    write_snapshot(df.observe(seen, *figures), root, label)
+    return seen.get
+
+
+def write_sorted(df: DataFrame, root: str, label: str, column: str = "date", files: int = 16) -> None:
+    """One snapshot, newest first over all its files: each file holds a range of the column, undated rows the last files.
+
+    Bounds are quantiles that Spark finds; equal dates, and rows without one, are dealt over files by a hash, so two files have a date in common at most,
+    and no date is one task. Readers that filter by the column skip files and row groups by their statistics.
+    """
+    (salt,) = unused(df.columns, "salt")
+    order = [F.col(column).desc_nulls_last(), F.col(salt)]
+    dealt = df.withColumn(salt, F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])).repartitionByRange(files, *order)
+    write_snapshot(dealt.sortWithinPartitions(*order).drop(salt), root, label)
+
+
 def read_snapshots(spark: SparkSession, root: str, schema: T.StructType = schemas.NOTICE) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("snapshot_ts", T.StringType())])).parquet(root)
 

@@ -87,7 +87,7 @@ def walk(anchors: Anchors, ids: np.ndarray, data: np.ndarray, labels: np.ndarray
         part = order[at : at + step]
         scores = rows[part] @ members[active].T
         computed += scores.size
-        scores = scores if exact else scores.astype(np.float64)
+        scores = scores.astype(np.float64) if kind is np.float32 else scores
         for column, p in enumerate(active.tolist()):
             fit = ((labels[part] == anchors.labels[p]) == same) & (ids[part] != anchors.ids[p])
             s = scores[:, column]

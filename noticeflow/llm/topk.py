@@ -10,12 +10,11 @@ with each step. The best of each block are ranked together by query.
 Query blocks are sent to the candidate blocks, as queries are far fewer: the work is that of
 each query against all rows, in blocks, and what one task holds is one block of either kind.
 
-Defined results: vectors that are null, empty, or hold a null or a non-finite component take
-no part; vectors of different lengths are not compared; a component of 2**53 / scale or more, and inner products that may
-need more than 64 bits, are errors; ties go to the smaller id; candidates
-that repeat an id and a vector are ranked each, a query that does is answered once; rows with the query's own id
+Defined results: vectors that are null, empty, or hold a null or a non-finite component (before or after scaling) take
+no part; vectors of different lengths are not compared; components and scores of any other size are exact, and a score beyond 64 bits is returned as the
+nearest long; ties go to the smaller id; candidates that repeat an id and a vector are ranked each, a query that does is answered once; rows with the query's own id
 are no candidates for it; a null id takes no part; an empty table gives an empty result;
-further columns are not read.
+further columns are not read. Rows are dealt by what they hold, repeats as one row with a number, so a task that runs again gets the same.
 """
 
 from __future__ import annotations
@@ -25,9 +24,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeflow.llm import vectors
+from noticeflow.llm.common import small_batches
+
 CANDIDATES, QUERIES = 4096, 1024  # rows in a block, about
 #: Query blocks whose kth scores a task carries from one candidate block to the next; without them it searches on as if it met them first.
 MAX_FLOORS = 256
@@ -35,66 +37,35 @@ MAX_FLOORS = 256
 MAX_TASKS = 10_000
 
 
-def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, computed as double."""
-    def whole(x: Column) -> Column:
-        y = x.cast("double") * F.lit(float(scale))
-        return F.when(F.abs(y) < float(1 << 53), F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large to be a whole number exactly")))
-
-    return F.transform(vector, whole)
-
-
-def sound(vector: Column) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine)
-
-
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row for a block: ids, and components as a matrix in bytes."""
-    ids = pdf["id"].to_numpy(np.int64)
-    data = np.stack(pdf["v"].to_numpy())
-    width = next(w for w in (2, 4, 8) if w == 8 or np.abs(data).max() < 1 << (8 * w - 1))
-    return pd.DataFrame({
-        "dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]],
-        "ids": [ids.tobytes()], "data": [data.astype(f"i{width}").tobytes()],
-    })
-
-
-def _matrix(data: bytes, ids: np.ndarray, dim: int) -> np.ndarray:
-    return np.frombuffer(data, f"i{len(data) // (len(ids) * dim)}").reshape(-1, dim)
-
-
-def _blocks(rows: DataFrame, n_rows: int, size: int) -> DataFrame:
-    n = max(1, -(-n_rows // size))
-    # with the row's number, so that rows that repeat an id and a vector are dealt over all blocks
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    return dealt.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, ids binary, data binary")
-
-
-def exact_type(a: np.ndarray, b: np.ndarray):
-    """The fastest number type in which all inner products of rows of a and b are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most >= 2**63:
-        raise OverflowError("an inner product may not fit in 64 bits")
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+exact_type = vectors.exact_type
 
 
 class Lists:
     """A block of candidates with its sorted list for every dimension."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")  # rows in order of id, so that ties are settled by place
-        self.ids, self.data = ids[by_id], data[by_id]
-        self.order = np.argsort(self.data, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.data, self.order, axis=0)
+        self.ids, self.data = ids, data  # in order of id, so that ties are settled by place
+        if data.dtype != object:
+            self.order = np.argsort(self.data, axis=0, kind="stable")
+            self.values = np.take_along_axis(self.data, self.order, axis=0)
         self.met = 0  # rows scored, for all queries
 
     def best(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, best first, rows with the id ``own`` left out.
+        """(ids, scores) of the k best, best first, rows with the id ``own`` left out."""
+        places, scores = self.places(query, own, k, floor, first)
+        return self.ids[places], scores
+
+    def places(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the block, scores) of the k best.
 
         ``floor`` is a score that k rows of other blocks are known to reach; what is below it may be left out.
         """
         m = len(self.ids)
+        if self.data.dtype == object:  # numbers too large for any other type: all are scored
+            self.met += m
+            scores = self.data @ query
+            order = sorted(np.flatnonzero(self.ids != own).tolist(), key=lambda i: (-scores[i], i))[:k]
+            return np.array(order, np.int64), scores[order]
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         met = np.zeros(m, bool)
         scores = np.empty(0, query.dtype)
@@ -102,6 +73,8 @@ class Lists:
         depth = min(first, m)
         if not len(up) + len(down):
             depth = m
+        elif m and self.values[-1, up] @ query[up] + self.values[0, down] @ query[down] < floor:
+            return places, scores  # not even the heads of all lists together reach what others have
         while True:
             before = met.copy()
             if depth >= m:
@@ -125,7 +98,7 @@ class Lists:
             depth = min(m, depth * 2)
         self.met += int(met.sum())
         rank = np.lexsort((places, -scores))
-        return self.ids[places[rank]], scores[rank]
+        return places[rank], scores[rank]
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -133,23 +106,25 @@ def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     floors: dict[tuple, np.ndarray] = {}  # of the query blocks met last: each query's kth score so far
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-            queries, data = _matrix(r.q_data, q_ids, r.dim), _matrix(r.data, ids, r.dim)
-            kind = exact_type(queries, data)
-            if at != (r.dim, r.block, kind):
-                lists, at = Lists(ids, data.astype(kind)), (r.dim, r.block, kind)
-            queries = queries.astype(kind)
-            floor = floors.pop((r.dim, r.q_block), np.full(len(q_ids), -np.inf))
-            found = [lists.best(q, own, k, f) for q, own, f in zip(queries, q_ids, floor, strict=True)]
-            reached = [s[k - 1] if len(s) >= k else -np.inf for _, s in found]
-            floors[r.dim, r.q_block] = np.maximum(floor, np.array(reached, float))
+            q_ids, ids, times = (np.frombuffer(b, np.int64) for b in (r.q_ids, r.ids, r.tags))
+            queries, data = vectors.matrix(r.q_data, r.dim), vectors.matrix(r.data, r.dim)
+            kind = vectors.exact_type(queries, data)
+            if at != (r.dim, r.wide, r.block, kind):
+                lists, at = Lists(ids, vectors.converted(data, kind)), (r.dim, r.wide, r.block, kind)
+            floor = floors.pop((r.dim, r.q_wide, r.q_block), np.full(len(q_ids), -np.inf))
+            found = [lists.places(q, own, k, f) for q, own, f in zip(vectors.converted(queries, kind), q_ids, floor, strict=True)]
+            if kind is not object:  # a floor is a double, and may be a little less than the score
+                reached = [np.nextafter(float(s[k - 1]), -np.inf) if len(s) >= k else -np.inf for _, s in found]
+                floor = np.maximum(floor, np.array(reached, float))
+            floors[r.dim, r.q_wide, r.q_block] = floor
             if len(floors) > MAX_FLOORS:
                 floors.pop(next(iter(floors)))
-            sizes = [len(i) for i, _ in found]
+            sizes = [len(p) for p, _ in found]
+            places = np.concatenate([p for p, _ in found] or [np.empty(0, np.int64)]).astype(np.int64)
+            scores = [int(s) for _, some in found for s in some]
             yield pd.DataFrame({
-                "query_id": np.repeat(q_ids, sizes), "query_no": np.repeat(np.arange(len(q_ids)), sizes) + (r.q_block << 32),
-                "vec_id": np.concatenate([i for i, _ in found] or [np.empty(0, np.int64)]),
-                "score": np.concatenate([s for _, s in found] or [np.empty(0)]).astype(np.int64),
+                "query_id": np.repeat(q_ids, sizes), "query_no": np.repeat(np.arange(len(q_ids)), sizes) + (r.q_block << 32) + (r.q_wide << 31),
+                "vec_id": ids[places], "times": times[places], "key": [vectors.order_key(s) for s in scores], "score": vectors.as_long(np.array(scores, object)),
             })
 
 
@@ -157,22 +132,29 @@ def search(
     candidates: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of each row of ``queries`` among ``candidates``."""
+    small_batches(candidates.sparkSession)
+
     def rows(df: DataFrame) -> DataFrame:
+        """Different rows; tag says how often each is there."""
         v = F.col(vector)
-        return df.where(sound(v) & F.col(vec_id).isNotNull()).select(
-            F.col(vec_id).cast("long").alias("id"), quantised(v, scale).alias("v"), F.size(v).alias("dim")
-        )
+        fine = df.where(vectors.sound(v) & F.col(vec_id).isNotNull()).select(
+            F.col(vec_id).cast("long").alias("id"), vectors.whole(v, scale).alias("v"), F.size(v).alias("dim")
+        ).where(vectors.sound(F.col("v")))
+        return fine.groupBy("id", "v", "dim").agg(F.count("*").alias("tag"))
 
-    c, q = rows(candidates), rows(queries).dropDuplicates(["id", "v"])
     n_candidates, n_queries = candidates.count(), queries.count()
     n_blocks = max(1, -(-n_candidates // CANDIDATES))
-    asked = _blocks(q, n_queries, QUERIES).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    asked = vectors.blocks(rows(queries), n_queries, QUERIES)
+    asked = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("wide", "block", "ids", "data")])
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     n_tasks = min(n_blocks, MAX_TASKS)
-    pairs = _blocks(c, n_candidates, CANDIDATES).repartition(n_tasks, "dim", "block").join(sent.repartition(n_tasks, "dim", "block"), ["dim", "block"])
-    found = pairs.mapInPandas(partial(_search, k=k), "query_id long, query_no long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
+    lists = vectors.blocks(rows(candidates), n_candidates, CANDIDATES)
+    pairs = lists.repartition(n_tasks, "dim", "block").join(sent.repartition(n_tasks, "dim", "block"), ["dim", "block"])
+    found = pairs.mapInPandas(partial(_search, k=k), "query_id long, query_no long, vec_id long, times long, key binary, score long")
+    order = Window.partitionBy("query_id", "query_no").orderBy(F.desc("key"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
     return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

@@ -32,7 +32,10 @@ def pack(pdf: pd.DataFrame) -> pd.DataFrame:
     data = np.stack(pdf["v"].to_numpy())
     most = np.abs(data).max()
     kind = "i2" if most < 1 << 15 else "i4" if most < 1 << 31 else "f8"
-    by_id = np.lexsort((pdf["tag"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)))  # in order of id, so that ties are settled by place
+    keys = (pdf["tag"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64))
+    if pdf["id"].duplicated().any():  # rows that share an id, in an order of their own
+        keys = (*data.T[::-1], *keys)
+    by_id = np.lexsort(keys)  # in order of id, so that ties are settled by place
     column = lambda name: pdf[name].to_numpy(np.int64)[by_id].tobytes()
     return pd.DataFrame({
         "dim": [pdf["dim"].iloc[0]], "wide": [pdf["wide"].iloc[0]], "block": [pdf["block"].iloc[0]],
@@ -58,7 +61,7 @@ def blocks(rows: DataFrame, n_rows: int, size: int) -> DataFrame:
 def exact_type(a: np.ndarray, b: np.ndarray):
     """The fastest number type in which all inner products of rows of a and b are exact; Python's own integers where no other is."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
 
 
 def converted(m: np.ndarray, kind) -> np.ndarray:

@@ -31,6 +31,36 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components_and_repeats(spark):
+    rows = [(k, [2.0**46 * (1 + k / 64), -(2.0**40), float(k)]) for k in range(100)] + [(100 + k, [1e300, 3e29 * k, 1.0]) for k in range(60)]
+    rows += [(300, [2.0**46, 1.0, 1.0])] * 3 + [(301, [1.7e308] * 3), (302, [-1e300, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i != 301]  # 256 times that is beyond a double
+    assert set(got) == {0, 50, 100, 150, 300}
+    for q, v in {i: v for i, v in whole if i in got}.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
+        assert got[q] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in scored]
+    assert [i for i, _ in got[0]].count(300) == 0 and max(s for _, s in got[100]) == 2**63 - 1
+
+
+def test_many_repeats_of_a_candidate_are_ranked_each(spark):
+    df = spark.createDataFrame([(7, [1.0, 1.0])] * 40 + [(8, [0.5, 0.5]), (50, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.search(df, df.where("vec_id = 50")).collect()] == [7] * 5
+    few = df.where("vec_id <> 7").unionByName(df.limit(3))
+    assert [r["vec_id"] for r in topk.search(few, df.where("vec_id = 50")).orderBy("rank").collect()] == [7, 7, 7, 8]
+
+
+def test_blocks_hold_the_same_rows_when_a_task_runs_again(spark):
+    from noticeflow.llm import vectors
+
+    rows = spark.createDataFrame([(k % 50, [float(k % 7)] * 3, 3, 1) for k in range(400)], "id long, v array<double>, dim int, tag long").distinct()
+    packs = lambda n: sorted((r["block"], bytes(r["ids"]), bytes(r["data"])) for r in vectors.blocks(rows.repartition(n), 350, 40).collect())
+    assert packs(1) == packs(5) == packs(13)
+
+
 def test_lists_stop_early_and_are_exact():
     rng = np.random.default_rng(6)
     data = np.zeros((5000, 8), np.float32)

@@ -100,11 +100,13 @@ def mix(
         docs.columns, copy or "copy_no", order or "shuffle_key", "mix_source", "mix_cdf", "mix_row", "mix_part", "mix_of"
     )
     cdfs = rates.select(F.col("source").alias(c_source), poisson_cdf(F.col("rate")).alias(c_cdf))
+    # a row's number in the input, before any join: read again, a part of a file gives its rows the same
+    docs = docs.withColumn(c_row, F.monotonically_increasing_id())
     if few:
         matched = docs.join(F.broadcast(cdfs), F.col(source).eqNullSafe(F.col(c_source)))
     else:
         parts = cdfs.withColumn(c_of, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        dealt = docs.withColumn(c_part, (F.monotonically_increasing_id() % PARTS).cast("int"))
+        dealt = docs.withColumn(c_part, (F.col(c_row) % PARTS).cast("int"))
         matched = dealt.join(parts, F.col(source).eqNullSafe(F.col(c_source)) & (F.col(c_part) == F.col(c_of))).drop(c_part, c_of)
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
     u = uniform(seed, key)
@@ -114,5 +116,5 @@ def mix(
         .withColumn(c_copy, F.explode(F.sequence(F.lit(0), F.col(c_copy) - 1)))
         .withColumn(c_order, F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), key, F.col(c_copy).cast("string"))))
     )
-    dealt = copies.withColumn(c_row, F.monotonically_increasing_id()).repartition(F.xxhash64(c_order, c_row)).sortWithinPartitions(c_order)
+    dealt = copies.repartition(F.xxhash64(c_order, c_row)).sortWithinPartitions(c_order)
     return dealt.drop(c_row, *[c for c, want in ((c_copy, copy), (c_order, order)) if not want])

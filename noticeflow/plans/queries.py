@@ -12,7 +12,7 @@ from noticeflow.sources import html, reports
 
 FORMATS = "['%m/%d/%Y', '%B %d, %Y', '%Y-%m-%d', '%d %B %Y', '%B %d %Y', '%m-%d-%Y']"
 _DATE = f"CAST(try_strptime(publication_date, {FORMATS}) AS DATE)"
-_CODES = r"list_sort(list_distinct(regexp_extract_all(title, '(?i)\b[0-9][A-Z][0-9]{3}(?:\.[a-z0-9]+)?\b')))"
+_CODES = f"list_sort(list_distinct(regexp_extract_all(title, '(?i){text.CODE}')))"
 #: Keywords that the synthetic documents do hold.
 KEYWORDS = ("license", "copyright", "smic", "Entity List")
 _MATCHES = f"list_filter({list(KEYWORDS)}, lambda k: contains(lower(coalesce(text, '')), lower(k)))"

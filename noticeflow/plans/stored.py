@@ -309,7 +309,7 @@ def sorted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's article by its heading: title with white space as it is, and the number of paragraphs in it."""
+    """Each page's article by its heading: title with white space as it is, and its link, which these headings lack."""
     spec = html.Items(("article", None), ("h1", None))
     return html.items(views.table(spark, sf_dir, "pages").select("page_id", "html"), spec).select("page_id", "item_no", "title", "href")
 
@@ -328,6 +328,8 @@ def current_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = text.with_codes(text.assemble(found.where(urls.is_pdf_url(F.col("url"))).withColumn("page_no", F.struct("page_id", "row_no")), "url", "page_no", "title", "text"), "text")
     rows = text.flag_keywords(documents.enrich(documents.with_defaults(found, "src"), facts), "title", FLAGS)
     rows = spark.createDataFrame([], schemas.NOTICE).unionByName(rows.drop("page_id", "row_no"), allowMissingColumns=True)
+    rows.write.parquet(f"{root}/rows")  # pages are parsed once, though the comparison, the snapshot, the master and the reports all read the rows
+    rows = spark.read.schema(schemas.NOTICE).parquet(f"{root}/rows")
     before = rows.where("date < date '1998-01-01'")
     snapshots.write_snapshot(before, root + "/snapshots", "1")
     snapshots.append_to_master(spark, f"{root}/master", _ranked(before, "1"), QUARTER)
@@ -345,7 +347,7 @@ QUERIES = {f.__name__: f for f in (
     bucketed_master, json_records, record_fields, quarantine_split, observed_summary, sorted_snapshot, article_items, menu_items, current_run,
 )}
 
-_CODES = r"list_sort(list_distinct(regexp_extract_all(title, '(?i)\b[0-9][A-Z][0-9]{3}(?:\.[a-z0-9]+)?\b')))"
+_CODES = f"list_sort(list_distinct(regexp_extract_all(title, '(?i){text.CODE}')))"
 _HITS = "list_filter(['urgent', '5b1'], lambda k: contains(lower(coalesce(title, '')), k))"
 _ROWS = f"(SELECT *, true_date AS date, array_to_string({_CODES}, ', ') AS eccns_found, len({_CODES})::BIGINT AS eccn_count, len({_HITS}) > 0 AS flagged FROM notices_v)"
 _READ = "source, url, nullif(title, '') AS title, date, nullif(eccns_found, '') AS eccns_found, flagged"

@@ -31,7 +31,8 @@ def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     ])
 
 
-#: How notice CSV is written and read: a quote inside a cell is doubled, and a quoted cell may hold line breaks.
+#: How notice CSV is written and read: a quote inside a cell is doubled, and a quoted cell may hold line breaks. As a break may be inside a cell, a file
+#: is read by one task whatever its size; large tables belong in Parquet.
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 

@@ -59,15 +59,14 @@ def grams(low: Column) -> Column:
     whole = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
     end = [F.right(low, F.lit(n)) for n in range(GRAM)]
 
-    def shorter(n: int) -> list[Column]:  # the beginnings of whole ones, and what the text's end adds
-        return [F.transform(whole, lambda g: F.substring(g, 1, n)), *[F.array(F.substring(e, 1, n)) for e in end]]
+    def shorter(w: Column, n: int) -> list[Column]:  # the beginnings of whole ones, and what the text's end adds
+        return [F.array_distinct(F.transform(w, lambda g: F.substring(g, 1, n))), F.array(*[F.substring(e, 1, n) for e in end])]
 
-    pieces = [whole, *[c for n in range(1, GRAM) for c in shorter(n)]]
-    return F.filter(F.array_distinct(F.concat(*pieces)), lambda g: g != "")
+    return once(whole, lambda w: F.array_except(F.concat(w, *[c for n in range(1, GRAM) for c in shorter(w, n)]), F.array(F.lit(""))))
 
 
 def filed_keywords(pieces: DataFrame, keywords: DataFrame, part_size: int = PART) -> DataFrame:
-    """``keywords`` (rank, k, word), each under the piece of it that the fewest texts hold, as gram; a keyword with a piece that no text holds is in none and goes.
+    """``keywords`` (word, labels), a row for each word, each under the piece of it that the fewest texts hold, as gram; a word with a piece that no text holds is in none and goes.
 
     A piece that many texts hold is dealt over parts: ``parts`` says over how many. ``pieces`` has a gram of a text in each row.
     """
@@ -75,8 +74,8 @@ def filed_keywords(pieces: DataFrame, keywords: DataFrame, part_size: int = PART
     cut = keywords.withColumn("gram", F.explode(own))
     counts = pieces.join(cut.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
     met = cut.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    rarest = met.groupBy("rank", "k", "word").agg(F.min_by(F.struct("gram", "texts"), F.struct("texts", "gram")).alias("least"))
-    return rarest.where(F.col("least.texts") > 0).select("rank", "k", "word", "least.gram", F.ceil(F.col("least.texts") / part_size).cast("int").alias("parts"))
+    rarest = met.groupBy("word").agg(F.min_by(F.struct("gram", "texts"), F.struct("texts", "gram")).alias("least"), F.first("labels").alias("labels"))
+    return rarest.where(F.col("least.texts") > 0).select("word", "labels", "least.gram", F.ceil(F.col("least.texts") / part_size).cast("int").alias("parts"))
 
 
 def flag_keywords_from_table(df: DataFrame, keywords: DataFrame, column: str = "title", keyword: str = "keyword", rank: str = "rank", part_size: int = PART) -> DataFrame:
@@ -92,16 +91,18 @@ def flag_keywords_from_table(df: DataFrame, keywords: DataFrame, column: str = "
     """
     digest, low, met = unused([*df.columns, "flagged_keywords", "flagged"], "digest", "low", "met")
     rows = df.drop("flagged_keywords", "flagged").withColumn(low, F.lower(F.coalesce(column, F.lit("")))).withColumn(digest, F.unhex(F.md5(low)))
-    known = keywords.select(F.col(rank).alias("rank"), F.col(keyword).alias("k"), F.lower(keyword).alias("word")).where(F.length("word") > 0).distinct()
+    known = keywords.select(F.col(rank).alias("rank"), F.col(keyword).alias("k"), F.lower(keyword).alias("word")).where(F.length("word") > 0)
+    known = known.groupBy("word").agg(F.collect_set(F.struct("rank", "k")).alias("labels"))  # a word that the table has under many ranks meets texts once
     pieces = rows.select(F.col(digest).alias("digest"), F.explode(grams(F.col(low))).alias("gram"))
     filed = filed_keywords(pieces, known, part_size)
     parts = filed.groupBy("gram").agg(F.max("parts").alias("parts"))
     of_texts = pieces.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     of_keywords = filed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    candidates = of_texts.select("digest", "gram", "part").join(of_keywords.select("rank", "k", "word", "gram", "part"), ["gram", "part"])
-    by_text = candidates.groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("rank", "k", "word"))).alias(met)).withColumnRenamed("digest", f"{digest}_of")
+    candidates = of_texts.select("digest", "gram", "part").join(of_keywords.select("word", "labels", "gram", "part"), ["gram", "part"])
+    by_text = candidates.groupBy("digest").agg(F.collect_set(F.struct("word", "labels")).alias(met)).withColumnRenamed("digest", f"{digest}_of")
     out = rows.join(by_text, F.col(digest) == F.col(f"{digest}_of"), "left")
-    found = once(F.col(low), lambda t: F.transform(F.filter(met, lambda s: F.contains(t, s["word"])), lambda s: s["k"]))
+    held = once(F.col(low), lambda t: F.flatten(F.transform(F.filter(met, lambda s: F.contains(t, s["word"])), lambda s: s["labels"])))
+    found = F.transform(F.array_sort(held), lambda s: s["k"])
     out = out.withColumn("flagged_keywords", F.coalesce(found, F.array().cast("array<string>"))).drop(low, digest, f"{digest}_of", met)
     return out.withColumn("flagged", F.size("flagged_keywords") > 0)
 

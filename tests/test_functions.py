@@ -120,9 +120,9 @@ def test_each_row_of_a_keyword_table_has_its_own_flags(spark, part_size):
 
 def test_keywords_are_filed_under_their_rarest_piece(spark):
     pieces = spark.createDataFrame([("abc",)] * 5 + [("bcd",)] * 2 + [("xyz",)] * 9, "gram string")
-    words = spark.createDataFrame([(0, "ABCD", "abcd"), (1, "xyz", "xyz"), (2, "abcq", "abcq")], "rank int, k string, word string")
-    got = {r["k"]: (r["gram"], r["parts"]) for r in text.filed_keywords(pieces, words, 4).collect()}
-    assert got == {"ABCD": ("bcd", 1), "xyz": ("xyz", 3)}  # no text holds bcq
+    words = spark.createDataFrame([("abcd", [0]), ("xyz", [1, 7]), ("abcq", [2])], "word string, labels array<int>")
+    got = {r["word"]: (r["gram"], r["parts"], r["labels"]) for r in text.filed_keywords(pieces, words, 4).collect()}
+    assert got == {"abcd": ("bcd", 1, [0]), "xyz": ("xyz", 3, [1, 7])}  # no text holds bcq
     assert {r["g"] for r in spark.range(1).select(F.explode(text.grams(F.lit("abcd"))).alias("g")).collect()} == {"abc", "bcd", "ab", "bc", "cd", "a", "b", "c", "d"}
     assert sorted(spark.range(1).select(text.grams(F.lit("ab")).alias("g")).first()["g"]) == ["a", "ab", "b"]
 

@@ -43,7 +43,7 @@ def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A keyword for each part: a code that titles may hold, two letters of its name, or a word that stands in every title.
-_KEYWORD = "CASE WHEN p_partkey % 50 = 0 THEN substring(p_name, 1, 2) WHEN p_partkey % 333 = 0 THEN 'Notice' ELSE concat('5B', lpad(cast(p_partkey AS {text}), greatest(3, length(cast(p_partkey AS {text}))), '0')) END"
+_KEYWORD = "CASE WHEN p_partkey % 50 = 0 THEN substring(p_name, 1, 2) WHEN p_partkey % 333 = 0 THEN 'Notice' ELSE concat('5B', lpad(cast(p_partkey AS {text}), cast(greatest(3, length(cast(p_partkey AS {text}))) AS int), '0')) END"
 
 
 def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:

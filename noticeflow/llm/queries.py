@@ -218,7 +218,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-#: Bigrams: of the orders tried, the highest whose shuffles and files stay within four times the input.
+#: Bigrams: trigrams would need more disk than four times the input, by the sizes of their arrays; any order can be passed to fit.
 ORDER = 2
 
 

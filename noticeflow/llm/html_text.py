@@ -1,16 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text. Each block gets shallow features: its
-word count and link density, those of the blocks before and after it, its kind of element, and
-what the containers around it hint at, each hint by itself: the nearest sectioning element, the names
-(class, id) below and above it, whether it is hidden, whether the page has a main element at all. No
-hint decides alone: names mislead (``site has-comments``), articles hold menus, adverts and comments, asides hold
-articles, and many pages hint at nothing. A decision tree, trained on a small labelled table of blocks
-from pages of many layouts, weighs them.
+word count, link density, text density and kind of tag, word count, link density and kind of the two blocks before
+and the two after it, and its place on the page: blocks since the last first-level heading, words outside of links before and after
+it. Two plain flags come with them: the sectioning element it lies in, and whether a container's name says that
+it is none of the page's text. A decision tree, trained on a small labelled table of blocks from pages of many
+layouts, weighs them. In the training pages neither flag decides: main elements hold menus and adverts ahead of their heading, and
+a third of the pages has no flag at all.
 
 Defined results: a null or empty page has no text; character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by two line
-breaks; nothing else is dropped, whatever the length; tags that are not closed, or closed
+breaks; nothing else is dropped, whatever the length; lists of links inside the text stay; tags that are not closed, or closed
 without having been opened, are put up with: only script, style, textarea and title run to the
 page's end, the label of a button or the like that is not closed ends at the next tag; pages that repeat
 are extracted each; an empty table gives an empty result; further columns pass through, and columns that
@@ -30,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.llm.common import arrow_columns, sliced, with_fields
@@ -61,27 +62,24 @@ LEAVES = frozenset(("p", *ITEMS, *HEADINGS))
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav aside footer dialog menu fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that hint at what is around the main text.
+#: Last words of a class or id that say a container is around the main text.
 ASIDE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar
     navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget related recommended recommendations share
     sharing social cookie cookies consent gdpr notice notices popup modal overlay subscribe subscription newsletter signup
     login search form pagination pager toolbar skip copyright disclaimer toc""".split()
 )
-MAIN_NAMES = frozenset("article entry story post".split())
-#: Words that hint at readers' comments.
+#: The same for readers' comments.
 COMMENT_NAMES = frozenset("comment comments commentlist commenter reply replies respond responses disqus discussion".split())
+#: Words that say only where or how a container stands; the word before them is the one that counts.
+PLACES = frozenset("area bar block body bottom box col column container content group inner item items left link links list page panel region right row section slot text top unit wide wrap wrapper zone".split())
 
 
 class State(NamedTuple):
-    """What the open containers hint at; a container's is made from its parent's, so a tag costs the same at any depth."""
-
-    element: int = 0  # nearest sectioning element: 1 main, -1 aside
-    name: int = 0  # names below the nearest main element: -1 main, 1 aside, 2 comments
-    above: int = 0  # the same above it
-    outer: int = 0  # around the nearest main element: 1 a form, 2 an aside
-    form: int = 0
-    hidden: int = 0
+    """What the open containers say; a container's is made from its parent's, so a tag costs the same at any depth."""
+
+    element: int = 0  # sectioning element: 1 main, -1 a form, -2 an aside or hidden
+    name: int = 0  # named as something around the text: 1, as comments: 2
     marked: bool = False
 
 
@@ -89,55 +87,53 @@ class Block(NamedTuple):
     text: str
     words: int
     links: float
-    heading: int
-    item: int
+    kind: int
     state: State
 
 
+#: Kinds of tags around a block's text, in this order.
+TEXT, PARAGRAPH, ITEM, HEADING, TITLE = range(5)
+
+
 @lru_cache(4096)
-def _hints(attrs: str) -> tuple[int, bool, int, int]:
-    """(name, "header" among the names, element by role, hidden) of an element's attributes."""
+def _hints(attrs: str) -> tuple[int, bool, int]:
+    """(name, "header" among the names, element) by an element's attributes."""
     at = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)}
-    names = [n for k in ("class", "id") for n in at.get(k, "").split() if not ABOUT.match(n)]
-    words = {w.lower() for n in names for w in WORDS_IN_NAME.findall(n)}
-    name = 2 if words & COMMENT_NAMES else 1 if words & ASIDE_NAMES else -1 if words & MAIN_NAMES else 0
-    role = 1 if at.get("role") in ("main", "article") or at.get("itemprop") == "articleBody" else -1 if at.get("role") in ASIDE_ROLES else 0
+    name, header = 0, False
+    for one in (n for k in ("class", "id") for n in at.get(k, "").split() if not ABOUT.match(n)):
+        words = [w.lower() for w in WORDS_IN_NAME.findall(one)]
+        last = next((w for w in reversed(words) if w not in PLACES), "")
+        name = max(name, 2 if last in COMMENT_NAMES else int(last in ASIDE_NAMES))
+        header = header or last == "header"
     style = at.get("style", "").replace(" ", "").lower()
-    hidden = "display:none" in style or at.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
-    return name, "header" in words, role, int(hidden)
+    if "display:none" in style or at.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
+        return name, header, -2
+    return name, header, 1 if at.get("role") in ("main", "article") or at.get("itemprop") == "articleBody" else -2 if at.get("role") in ASIDE_ROLES else 0
 
 
 def _within(s: State, tag: str, attrs: str, mark: str | None) -> State:
-    """The state inside a container that opens in ``s``."""
+    """The state inside a container that opens in ``s``: an aside holds no main element, a main element has the last word on names but those of comments."""
     hints = _hints if len(attrs) < 256 else _hints.__wrapped__
-    name, header, role, hidden = hints(attrs) if attrs and tag not in ("body", "html") else (0, False, 0, 0)
+    name, header, element = hints(attrs) if attrs and tag not in ("body", "html") else (0, False, 0)
     in_main = s.element == 1
-    element = role or (1 if tag in MAIN else -1 if tag in ASIDE or (tag == "header" and not in_main) else 0)
-    if header and not in_main and name == 0:
-        name = 1
-    s = s._replace(hidden=s.hidden | hidden, marked=s.marked or bool(mark and mark in attrs))
-    if tag == "form":
-        return s._replace(form=1, element=-1 if in_main else s.element, name=max(s.name, name, int(in_main)))
-    if element == 1 and name != 2:
-        outer = max(s.outer, 2 if s.element == -1 else s.form)
-        if in_main:  # a main element in another one: what was between them still counts
-            return s._replace(outer=outer)
-        return s._replace(element=1, outer=outer, above=max(s.above, s.name), name=0)
-    if s.name == 2 or name == 2:
-        name = 2
-    elif name == 0 or (name == -1 and s.name == 1 and in_main):
-        name = s.name
-    return s._replace(element=element if element == -1 else s.element, name=name)
+    element = element or (1 if tag in MAIN else -2 if tag in ASIDE or ((tag == "header" or header) and not in_main) else -2 if tag == "form" and in_main else -1 if tag == "form" else 0)
+    label = re.search(rf"{mark}=(\d)", attrs) if mark else None
+    marked = label[1] == "1" if label else s.marked
+    if s.element == -2 or element == 0:
+        return State(s.element, max(s.name, name), marked)
+    if element == 1:
+        return State(1, 2 if max(s.name, name) == 2 else s.name if in_main else 0, marked)
+    return State(element, max(s.name, name), marked)
 
 
 def blocks(page: str, mark: str | None = None) -> list[Block]:
-    """Each flat block with text, in page order. ``mark`` is the name of an attribute that labels a container in training pages."""
+    """Each flat block with text, in page order. ``mark`` is the name of an attribute that labels containers of training pages, 1 or 0."""
     out: list[Block] = []
     stack: list[tuple[str, State]] = []  # open containers
     n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = item = 0
+    in_link = heading = item = paragraph = 0
     outside = state = State()
     nexts: dict[tuple[str, str], tuple[int, int]] = {}  # of a pattern: where the last look-up began, and what it found
     at = 0
@@ -149,7 +145,8 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
         if text:
             n = text.count(" ") + 1
             link_words = len(html_lib.unescape(" ".join(linked)).split())
-            out.append(Block(text, n, min(1.0, link_words / n), int(heading > 0), int(item > 0), state))
+            kind = (HEADING if heading == 1 else TITLE) if heading else ITEM if item else PARAGRAPH if paragraph else TEXT
+            out.append(Block(text, n, min(1.0, link_words / n), kind, state))
         parts, linked = [], []
 
     def text_until(end: int) -> None:
@@ -212,7 +209,7 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
         end_block()
         in_link = 0
         if tag in HEADINGS:
-            heading = 0 if closing else 1
+            heading = 0 if closing else 2 if tag == "h1" else 1
         elif tag in ("p", "li"):
             heading = 0
         if tag in ITEMS:
@@ -221,6 +218,7 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
             item = 0
         if tag in VOID:
             continue
+        paragraph = int(tag in ("p", "pre", "blockquote") and not closing)
         if stack and stack[-1][0] == "p" and not closing:
             close(len(stack) - 1)  # whatever begins a block ends a paragraph
         if (closing or tag in LEAVES) and n_open[tag]:  # an element that was not closed ends where the next of its kind begins
@@ -241,27 +239,47 @@ def blocks(page: str, mark: str | None = None) -> list[Block]:
     return out
 
 
+AROUND = (-2, -1, 0, 1, 2)
 FEATURES = (
-    "words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item",
-    "element", "name", "above", "outer", "form", "hidden", "main_on_page",
+    *(f"{name}{at:+d}" if at else name for at in AROUND for name in ("words", "links", "kind")),
+    "density", "since_title", "title_after", "text_before", "text_after", "blocks_after", "element", "name",
 )
-#: Those that are read off texts and links alone.
-SHALLOW = FEATURES[:8]
+#: Those that are read off texts, links and tags of the blocks alone.
+SHALLOW = FEATURES[:-2]
 
 
 def features(found: Sequence[Block]) -> np.ndarray:
-    """A row of FEATURES for each block of one page."""
-    own = np.array([[b.words, b.links] for b in found], float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
-    kinds = np.array([[b.heading, b.item, *b.state[:6]] for b in found], float).reshape(-1, 8)
-    main = any(b.state.element == 1 and b.state.outer < 2 and b.state.above < 2 for b in found)
-    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], kinds, np.full((len(found), 1), float(main))])
+    """A row of FEATURES for each block of one page.
+
+    ``density`` is words a line of 80 characters; ``since_title`` blocks since the last first-level heading, -1 ahead of the first; ``title_after`` whether
+    one follows; ``text_before`` and ``text_after`` words outside of links. ``element`` is 1 in a main element, -1 outside of the page's, in asides and what is hidden, -0.5 in forms, else 0.
+    """
+    n = len(found)
+    if not n:
+        return np.empty((0, len(FEATURES)))
+    own = np.array([[b.words, b.links, b.kind] for b in found], float)
+    edge = np.array([[0.0, 0.0, -1.0]] * 2)
+    padded = np.vstack([edge, own, edge])
+    near = np.hstack([padded[2 + at : 2 + at + n] for at in AROUND])
+    titles = own[:, 2] == TITLE
+    place = np.arange(n)
+    last = np.maximum.accumulate(np.where(titles, place, -1))
+    since = np.where(last >= 0, place - last, -1)
+    after = (np.cumsum(titles) < titles.sum()).astype(float)
+    free = own[:, 0] * (1 - own[:, 1])
+    run = np.cumsum(free)
+    lines = np.array([(len(b.text) + 79) // 80 for b in found], float)
+    element = np.array([b.state.element for b in found])
+    name = np.array([b.state.name > 0 for b in found], float)
+    has_main = bool(((element == 1) & (name == 0)).any())
+    flag = np.where(element == 1, 1.0, -1.0 if has_main else np.where(element == -2, -1.0, element / 2))
+    return np.hstack([near, np.column_stack([own[:, 0] / lines, since, after, run - free, run[-1] - run, n - 1 - place, flag, name])])
 
 
 # ------------------------------------------------------------ decision tree
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3) -> dict:
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 3) -> dict:
     """Binary splits by Gini impurity; leaves hold the share of main text."""
     share = float(y.mean()) if len(y) else 0.0
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
@@ -296,25 +314,28 @@ def classify(tree: dict, x: np.ndarray) -> np.ndarray:
 
 
 class _Layouts:
-    """Training pages; main content lies in containers with the attribute data-main."""
+    """Training pages of usual layouts; containers with data-main=1 hold main text, those with data-main=0 in them none."""
+
+    WORDS = tuple("x" * k for k in range(1, 13))
 
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
 
     def words(self, a: int, b: int) -> str:
-        return " ".join("lorem" for _ in range(self.rng.randint(a, b)))
+        """Words of one to twelve letters; only their number and length count."""
+        return " ".join(self.rng.choices(self.WORDS, k=self.rng.randint(a, b)))
 
     def links(self, k: int) -> str:
-        return "".join(f"<li><a href='#'>{self.words(1, 4)}</a></li>" for _ in range(k))
+        return "".join(f"<li><a href='#'>{self.words(1, 6)}</a></li>" for _ in range(k))
 
     def menu(self) -> str:
         """Links one after another, as a list or not."""
-        k = self.rng.randint(3, 9)
+        k = self.rng.randint(2, 9)
         rows = "".join(f"<div><a href='#'>{self.words(1, 6)}</a></div>" for _ in range(k))
         return rows if self.rng.random() < 0.3 else f"<ul>{self.links(k)}</ul>"
 
     def aside(self, name: str = "") -> str:
-        """Something that is no main text, told by an element, by ``name`` or by its links alone."""
+        """Something that is no main text, told by an element or by ``name``."""
         rng, w = self.rng, self.words
         inner = rng.choice([w(1, 200), f"<p>{w(1, 200)}</p>", f"<ul>{self.links(rng.randint(1, 2))}</ul>", f"<h3>{w(1, 4)}</h3><p>{w(2, 120)}</p>", self.menu(), f"<p>{w(1, 6)} <a href='#'>{w(1, 6)}</a></p>"])
         if name:
@@ -338,76 +359,110 @@ class _Layouts:
         plain = f"<article><p>{self.words(1, 120)}</p></article><article><p>{self.words(1, 120)}</p></article>"
         return self.rng.choice([many, f"<section class='comments'>{self.rng.choice([many, plain])}</section>"])
 
-    def piece(self, hinted: bool) -> str:
-        """A piece of main text; where nothing around it hints at main text, one that can be told by its words."""
+    def short(self) -> str:
+        """Menus, slogans, dates, adverts and the like without any hint."""
+        w = self.words
+        return self.rng.choice([self.menu(), self.menu(), f"<div>{w(1, 12)}</div>", f"<div>{w(1, 5)} <a href='#'>{w(1, 8)}</a></div>", f"<div><a href='#'>{w(1, 3)}</a> | <a href='#'>{w(1, 3)}</a></div>", f"<div>{w(1, 30)}</div>"])
+
+    def piece(self) -> str:
+        """A piece of main text: long and short paragraphs, lists, also of links, tables, headings."""
         rng, w = self.rng, self.words
-        if not hinted:
-            return rng.choice([f"<p>{w(25, 150)}</p>", f"<p>{w(15, 90)} <a href='#'>{w(1, 3)}</a> {w(10, 40)}</p>"])
         return rng.choice([
-            f"<p>{w(1, 4)}</p>", f"<p>{w(5, 40)}</p>", f"<p>{w(20, 200)}</p>", f"<p>{w(1, 90)} <a href='#'>{w(1, 6)}</a> {w(0, 40)}</p>", w(1, 60),
-            f"<h2>{w(1, 8)}</h2><p>{w(1, 80)}</p>", f"<ul>{''.join(f'<li>{w(1, 25)}</li>' for _ in range(3))}</ul>", f"<p>{w(1, 60)}</p><p><a href='#'>{w(1, 9)}</a></p><p>{w(1, 60)}</p>",
-            f"<ul><li>{w(1, 20)}</li><li><a href='#'>{w(1, 9)}</a></li><li>{w(1, 20)}</li></ul>",
+            f"<p>{w(1, 4)}</p>", f"<p>{w(5, 40)}</p>", f"<p>{w(20, 200)}</p>", f"<p>{w(20, 200)}</p>", f"<p>{w(1, 90)} <a href='#'>{w(1, 6)}</a> {w(0, 40)}</p>", f"<div>{w(1, 90)}</div>", w(1, 60),
+            f"<p><a href='#'>{w(1, 9)}</a></p><p>{w(1, 60)}</p>", f"<h2>{w(1, 8)}</h2><p>{w(1, 80)}</p>", f"<ul>{''.join(f'<li>{w(1, 25)}</li>' for _ in range(3))}</ul>", f"<p>{w(1, 60)}</p><p><a href='#'>{w(1, 9)}</a></p><p>{w(1, 60)}</p>",
+            f"<p>{w(1, 60)}</p><ul>{self.links(rng.randint(1, 6))}</ul><p>{w(1, 60)}</p>", f"<p><b>{w(1, 9)}<br><p>{w(10, 90)}</p>",
             f"<table><tr><td>{w(1, 4)}</td><td>{w(1, 9)}</td></tr></table>", f"<blockquote><p>{w(5, 60)}</p></blockquote>",
         ])
 
-    def body(self, hinted: bool) -> str:
+    def body(self, hinted: bool, titled: bool = True, header: bool = False) -> str:
+        """A heading, if ``titled``, in a ``header`` or not, and pieces; where the page hints, with asides, names and comments among them."""
         rng = self.rng
         title = f"<h1>{self.words(1, 14)}</h1>"
-        head = rng.choice([title, title, f"<header>{title}<p>{self.words(1, 8)}</p></header>" if hinted else title])
-        out = [head if hinted or rng.random() < 0.5 else ""]
-        out += [self.piece(hinted) for _ in range(rng.randint(1 if hinted else 3, 9))]
+        out = [rng.choice([title, title, title, f"<header>{title}<p>{self.words(1, 8)}</p></header>" if header else title]) if titled else ""]
+        out += [self.piece() for _ in range(rng.randint(1, 9))]
         if hinted:
-            for extra in (self.aside, self.named, self.comments, self.menu):
+            for extra in (self.aside, self.named, self.comments):
                 if rng.random() < 0.25:
-                    out.insert(rng.randint(1, len(out)), f"<div data-out>{extra()}</div>")
+                    out.insert(rng.randint(1, len(out)), f"<div data-main=0>{extra()}</div>")
         return "".join(out)
 
+    def untitled(self) -> str:
+        """Text without a heading of the first level: it shows by its words."""
+        rng, w = self.rng, self.words
+        return "".join([f"<p>{w(15, 90)}</p>", *(rng.choice([f"<p>{w(25, 150)}</p>", f"<p>{w(15, 90)} <a href='#'>{w(1, 3)}</a> {w(10, 40)}</p>", f"<h2>{w(1, 8)}</h2><p>{w(25, 90)}</p>"]) for _ in range(rng.randint(1, 8)))])
+
+    def plain(self) -> str:
+        """A page of text and next to nothing else."""
+        rng, w = self.rng, self.words
+        title = f"<h1>{w(1, 9)}</h1>"
+        few = "".join(f"<p>{w(1, 30)}</p>" for _ in range(rng.randint(1, 6)))
+        return rng.choice([
+            f"<div data-main=1>{rng.choice([w(4, 20), w(4, 300)])}</div>", f"<section data-main=1>{title}{few}</section>", f"<div id=content data-main=1>{title}{few}</div>", f"<div data-main=1>{few}</div>",
+            f"<div class='{rng.choice(['search-engine-history', 'form-of-life', 'menu-prices'])}' data-main=1>{title}<p>{w(60, 200)}</p></div>", f"<div data-main=1>{self.body(False)}</div>",
+        ])
+
     def page(self, kind: int) -> str:
         rng = self.rng
-        if kind == 2:  # nothing but words and links
-            short = lambda: rng.choice([self.menu(), f"<div>{self.words(1, 8)}</div>", f"<div>{self.words(1, 5)} <a href='#'>{self.words(3, 8)}</a></div>", f"<p>{self.words(1, 9)}</p>"])
-            return f"<html><body>{self.menu()}{short()}<div data-main>{self.body(False)}</div>{short()}{short()}{self.menu()}</body></html>"
-        if kind == 0:  # main elements, some with names that mislead
+        if kind == 2:  # nothing but words, links and tags
+            choice = rng.random()
+            if choice < 0.05:  # no text at all but a few words or links
+                return f"<html><body>{rng.choice([self.words(1, 3), self.menu(), self.short() + self.menu()])}</body></html>"
+            if choice < 0.3:
+                return f"<html><body>{self.plain()}</body></html>"
+            inner = self.untitled() if choice < 0.5 else self.body(False)
+            before = "".join(self.short() for _ in range(rng.randint(1, 4)))
+            end = "".join(f"<div>{self.words(1, 12)}</div>" if rng.random() < 0.5 else self.menu() for _ in range(rng.randint(0, 3)))
+            return f"<html><body>{before}<div data-main=1>{inner}</div>{end}</body></html>"
+        if kind == 0 and rng.random() < 0.2:  # a main element of a few lines
+            lines = [f"<h1>{self.words(1, 8)}</h1>"] * rng.randint(0, 1)
+            for _ in range(rng.randint(1, 5)):
+                lines.append(rng.choice([f"<p>{self.words(1, 8)}</p>", f"<div>{self.words(1, 8)}</div>", f"<p><a href='#'>{self.words(1, 8)}</a></p>", f"<ul>{self.links(rng.randint(1, 5))}</ul>"]))
+            return f"<html><body><article data-main=1>{''.join(lines)}</article></body></html>"
+        if kind == 0:  # main elements, some with names that mislead, some that hold menus and adverts too
             tag = rng.choice(["article", "main", "div role='main'", "article class='post'", "article class='post share'", "main class='content has-sidebar'", "section itemprop='articleBody'"])
-            main = f"<{tag} data-main>{self.body(True)}</{tag.split()[0]}>"
-        else:  # names alone
-            main = f"<div class='{rng.choice(['post', 'entry', 'story', 'article-text', 'post-body'])}' data-main>{self.body(True)}</div>"
-        wrap = rng.choice(["{}"] * 4 + ["<div class='site no-sidebar has-comments'>{}</div>", "<form>{}</form>"] + ["<div class='comments-page'>{}</div>", "<div class='banner widget'>{}</div>"] * (kind == 0))
-        around = [rng.choice([self.aside, self.named, self.comments, self.cards, self.menu])() for _ in range(rng.randint(2, 6))]
-        around += [f"<header><h2>{self.words(1, 5)}</h2></header>"] * (rng.random() < 0.4) + [f"<p>{self.words(1, 60)}</p>"] * (rng.random() < 0.3)
+            ahead = "".join(self.short() for _ in range(rng.randint(1, 3))) if rng.random() < 0.5 else ""
+            main = f"<{tag} data-main=1><div data-main=0>{ahead}</div>{self.body(True, header=True)}</{tag.split()[0]}>" if ahead else f"<{tag} data-main=1>{self.body(True, rng.random() < 0.5, header=True)}</{tag.split()[0]}>"
+        else:  # asides by elements and names, the text by itself
+            main = f"<div class='{rng.choice(['post', 'entry', 'story', 'article-text', 'post-body'])}' data-main=1>{self.body(True)}</div>"
+        wrap = rng.choice(["{}"] * 4 + ["<div class='site no-sidebar has-comments'>{}</div>", "<form>{}</form>"] + ["<div class='banner widget'>{}</div>"] * (kind == 0))
+        around = [rng.choice([self.aside, self.named, self.comments, self.cards])() for _ in range(rng.randint(2, 6))]
         rng.shuffle(around)
         cut = rng.randint(0, len(around))
-        return f"<html><body>{''.join(around[:cut])}{wrap.format(main)}{''.join(around[cut:])}</body></html>"
+        if kind == 0:  # a page with a main element may have anything around it
+            around.append(rng.choice([f"<p>{self.words(1, 60)}</p>", self.menu(), f"<div>{self.words(1, 30)}</div>"]))
+        first = [self.short()] * (rng.random() < 0.6)
+        if rng.random() < 0.4:
+            first.append(f"<header>{rng.choice([f'<h1>{self.words(1, 5)}</h1>', f'<h2>{self.words(1, 5)}</h2>'])}</header>")
+        return f"<html><body>{''.join(first + around[:cut])}{wrap.format(main)}{''.join(around[cut:])}</body></html>"
 
 
-def labelled_pages(n: int = 1200, seed: int = 7) -> list[str]:
-    """Pages of usual layouts: a third tell their parts by elements, a third by names, the others by nothing but words and links."""
+def labelled_pages(n: int = 2000, seed: int = 7) -> list[str]:
+    """Pages of usual layouts: a third have main elements, a third asides and names alone, the others nothing but words, links and tags."""
     make = _Layouts(seed)
     return [make.page(k % 3) for k in range(n)]
 
 
 def labels(page: str) -> tuple[list[Block], np.ndarray]:
-    """A training page's blocks, and for each whether it is main text: in a container marked data-main, and in none marked data-out."""
+    """A training page's blocks, and for each whether it is main text: whether the nearest container with data-main says 1."""
     found = blocks(page, "data-main")
-    return found, np.array([b.state.marked for b in found]) & ~np.array([b.state.marked for b in blocks(page, "data-out")])
+    return found, np.array([b.state.marked for b in found], bool)
 
 
 def labelled_blocks(spark: SparkSession, pages: Sequence[str] | None = None) -> DataFrame:
     """The labelled table: FEATURES and main (0/1) of each block of the training pages."""
-    rows = []
-    for page in pages or labelled_pages():
-        found, main = labels(page)
-        rows += [[float(v) for v in f] + [int(y)] for f, y in zip(features(found), main, strict=True)]
-    return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", main int")
+    found = [labels(page) for page in pages or labelled_pages()]
+    x = np.vstack([np.empty((0, len(FEATURES))), *[features(f) for f, _ in found]])
+    columns = {f: pa.array(x[:, k]) for k, f in enumerate(FEATURES)}
+    return spark.createDataFrame(pa.table({**columns, "main": pa.array(np.concatenate([y for _, y in found]).astype(np.int32))}))
 
 
 #: Rows of a labelled table that a tree is trained on; it is meant to be small.
 MAX_LABELLED = 100_000
 
 
-def train(labelled: DataFrame, depth: int = 10) -> dict:
+def train(labelled: DataFrame, depth: int = 12) -> dict:
     """The tree of a labelled table of at most MAX_LABELLED rows."""
-    rows = labelled.select(*FEATURES, "main").limit(MAX_LABELLED + 1).toPandas()
+    rows = labelled.select(*(F.col(f"`{f}`") for f in FEATURES), "main").limit(MAX_LABELLED + 1).toPandas()
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled blocks")
     return train_tree(rows[list(FEATURES)].to_numpy(float), rows["main"].to_numpy(float), depth)

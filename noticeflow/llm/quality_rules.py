@@ -142,14 +142,17 @@ def _scatter(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _factored(sums: DataFrame, keep: list[str], scale: str = "1.0D") -> DataFrame:
-    """Means and the Cholesky factor of the covariance times ``scale``, as columns m_* and l_*. Variances are at least their floor's square."""
+    """Means and the Cholesky factor of the covariance times ``scale``, as columns m_* and l_*.
+
+    What is left of a variance after the dimensions before it is at least its floor's square, so that vectors that nearly lie in a plane have no small determinant by it.
+    """
     cols = [f"s_{a} / m / {GRID} AS m_{a}" for a in DIMS]
     cols += [f"(s_{a}_{b} - s_{a} * s_{b} / m) / m / {GRID**2} * {scale} AS c_{a}_{b}" for a, b in PAIRS]
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[: i + 1]):
             rest = "".join(f" - l_{a}_{k} * l_{b}_{k}" for k in DIMS[:j])
             square = FLOORS[a] ** 2
-            cols.append(f"sqrt(greatest(greatest(c_{a}_{a}, {square}D){rest}, {square * 0.01}D)) AS l_{a}_{a}" if i == j else f"(c_{a}_{b}{rest}) / l_{b}_{b} AS l_{a}_{b}")
+            cols.append(f"sqrt(greatest(c_{a}_{a}{rest}, {square}D)) AS l_{a}_{a}" if i == j else f"(c_{a}_{b}{rest}) / l_{b}_{b} AS l_{a}_{b}")
     return sums.selectExpr(*keep, *cols).select(*keep, *CENTRE, *FACTOR)
 
 
@@ -255,8 +258,8 @@ def apply_rules(
 
 
 def _group_keys(lang: str, source: str) -> tuple[Column, Column]:
-    """Keys of a document's language and source, and of its language."""
-    name = lambda x: F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null"))
+    """Keys of a document's language and source, and of its language; bars inside names are doubled, so that no two pairs share a key."""
+    name = lambda x: F.coalesce(F.concat(F.lit("="), F.replace(F.col(x).cast("string"), F.lit("|"), F.lit("||"))), F.lit("null"))
     return F.concat(F.lit("both|"), name(lang), F.lit("|"), name(source)), F.concat(F.lit("lang|"), name(lang))
 
 

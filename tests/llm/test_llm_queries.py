@@ -1,6 +1,7 @@
 import hashlib
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -10,11 +11,11 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 import compare
 
 import corpus_pipeline
-from noticeflow.llm import bpe, jaccard, queries
+from noticeflow.llm import bpe, jaccard, quality_rules, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_joins import brute
-from test_quality_rules import counts
+from test_quality_rules import counts, plain_distances
 
 pytestmark = pytest.mark.skipif(not compare.present, reason="no test tables")
 
@@ -79,6 +80,16 @@ def test_rules_query_against_brute_force(spark, texts):
         assert r["base_failed"] == (n < 20 or 100 * repeats > 30 * n) and not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("folder", [compare.SMALL, "/root/testdata/sf0.01"])
+def test_verdicts_of_the_rules_query_against_numpy(spark, folder):
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"]: r["kept"] for r in queries.op8_quality_rules(spark, folder).collect()}
+    want, cut = plain_distances(docs), quality_rules.CUT
+    clear = {i: d <= cut for i, d in want.items() if not 0.67 * cut < d < 1.5 * cut}  # other starts move an estimate a little
+    assert set(got) == set(want) and len(clear) > 0.95 * len(want) and any(clear.values()) and not all(clear.values())
+    assert sum(got[i] != k for i, k in clear.items()) == 0
+
+
 def test_model_query_on_held_out_labels(spark, texts):
     rows = {r["doc_id"]: r for r in queries.op5_quality_model(spark, compare.SMALL).collect()}
     assert set(rows) == set(texts)
@@ -102,3 +113,28 @@ def test_stages_on_odd_rows(spark):
                 assert out.columns == table.columns
                 assert all(r[n] == "mine" for r in out.collect() for n in names if n in out.columns)
             assert table is mixed or out.count() == 0
+
+
+def test_rows_that_stay_of_odd_ones(spark):
+    """What each stage keeps of rows that come twice, nulls, an empty and a very long text."""
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_path())
+    docs = spark.read.parquet(f"{compare.SMALL}/documents.parquet").orderBy("doc_id").limit(30)
+    empty, long, none = 10**6, 10**6 + 1, 10**6 + 2
+    odd = [(None, None, None, None, None), (empty, "", None, None, None), (long, "word " * 100_000, "en", None, None), (none, None, "en", "a|b", None)]
+    rows = [*map(tuple, docs.collect())] * 2 + [(i, t, lang, source, n) for i, t, lang, source, n in odd]
+    mixed = spark.createDataFrame(rows, docs.schema)
+    text = {r[0]: r[1] for r in rows}
+    stay = {name: stage(spark, mixed, compare.SMALL).collect() for name, stage in corpus_pipeline.STAGES}
+    ids = {name: Counter(r["doc_id"] for r in out) for name, out in stay.items()}
+    for name in ("quality_rules", "quality_model"):  # copies are judged alike, rows come out as they were
+        assert set(ids[name].values()) <= {1, 2} and all(n == 2 for i, n in ids[name].items() if i is not None and i < empty)
+        assert all(tuple(r) in rows for r in stay[name])
+    failed = {i for i, t in text.items() for n, _, _, _, repeats in [counts(t)] if n < 20 or 100 * repeats > 30 * n}
+    assert {None, empty, long, none} <= failed and not failed & set(ids["quality_rules"]) and ids["quality_rules"]
+    groups = brute([(i, t) for i, t in text.items() if i is not None])
+    assert ids["near_duplicates"] == Counter({i: 2 if i < empty else 1 for i, (_, least) in groups.items() if i == least} | {None: 1})
+    assert set(ids["mixing"]) <= set(text) and all(tuple(r) in rows for r in stay["mixing"])
+    assert ids["encoding"] == Counter(r[0] for r in rows)
+    for r in stay["encoding"]:
+        want = lib.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == want and r["n_tokens"] == len(want) and r["decoded"] == lib.decode(want, skip_special_tokens=False)

@@ -53,8 +53,12 @@ def numpy_mcd(x, starts, rng):
     def scatter(y, scale):
         m = y.mean(axis=0)
         s = np.cov(y.T, bias=True) * scale
-        s[np.diag_indices(5)] = np.maximum(np.diag(s), floors**2)
-        return m, s
+        low = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i):
+                low[i, j] = (s[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+            low[i, i] = np.sqrt(max(s[i, i] - low[i, :i] @ low[i, :i], floors[i] ** 2))
+        return m, low @ low.T
 
     def distance(m, s):
         return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
@@ -128,6 +132,15 @@ def test_small_source_is_judged_by_its_own_normal(spark):
     assert all(got[:640]) and got[640:] == [False, False]
 
 
+def test_junk_in_a_plane_has_no_small_determinant(spark):
+    rng = random.Random(7)
+    clean = [("web", int(np.exp(rng.gauss(5.5, 0.7))) + 30, 0, 0, 0) for _ in range(26)]
+    table = counted(spark, [*clean, *[("web", n, 3 * n, 0, 0) for n in (150, 200, 300, 780, 270)]])  # long words, many symbols: the two go together
+    table = table.withColumn("word_chars", F.when(F.col("n_symbols") > 0, 8 * F.col("n_words")).otherwise(F.col("word_chars")))
+    got = kept(table)
+    assert all(got[:26]) and not any(got[26:])
+
+
 @pytest.mark.parametrize("copies", ["exact", "near"])
 def test_a_third_of_junk_copies_has_no_say(spark, copies):
     rng = random.Random(2)
@@ -146,3 +159,37 @@ def test_each_statistic_rejects_alone(spark):
     odd = [("web", 16000, 0, 0, 0), ("web", 400, 30, 0, 0), ("web", 400, 0, 14, 0), ("web", 400, 0, 0, 119)]
     got = kept(counted(spark, [*clean, *odd]))
     assert all(got[:300]) and got[300:] == [False] * 4
+
+
+def test_no_two_pairs_of_names_share_a_key(spark):
+    names = [None, "", "null", "a", "b", "c", "|", "||", "=", "a|", "|a", "a|=b", "b|=c", "=b|", "a||", "null|null"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "lang string, source string")
+    own, by_lang = quality_rules._group_keys("lang", "source")
+    keys = pairs.select(own.alias("own"), by_lang.alias("lang")).collect()
+    assert len({r["own"] for r in keys}) == len(names) ** 2 and len({r["lang"] for r in keys}) == len(names)
+
+
+def plain_distances(docs):
+    """For each of (doc_id, text, lang, source) the squared distance from its group's estimate, infinite where the base rules fail; all in numpy."""
+    rng, points, at = np.random.default_rng(9), {}, {}
+    for i, text, lang, source in docs:
+        n, chars, symbols, lines, repeats = counts(text)
+        if n < 20 or 100 * repeats > 30 * n:
+            continue
+        at[i] = (np.array([np.log1p(n), np.log(chars / n), np.log1p(20 * symbols / n), np.log1p(50 * lines / n), np.log1p(10 * repeats / n)]), lang, source)
+        points.setdefault((lang, source), set()).add(tuple(np.floor(at[i][0] * quality_rules.GRID + 0.5)))
+    wider = {(lang,): set().union(*(v for k, v in points.items() if k[0] == lang)) for lang, _ in points}
+    small = {lang for (lang, _), v in points.items() if len(v) < quality_rules.MIN_GROUP}
+    in_all = set().union(*points.values())
+    level = lambda lang, source: next(
+        (k, v) for k, v in (((lang, source), points[lang, source]), ((lang,), wider[lang,]), ((), in_all)) if len(v) >= quality_rules.MIN_GROUP or k == ()
+    )
+    assert small  # wider groups are asked for
+    fitted, out = {}, {i: np.inf for i, *_ in docs}
+    for i, (x, lang, source) in at.items():
+        key, found = level(lang, source)
+        if key not in fitted:
+            fitted[key] = numpy_mcd(np.array(sorted(found)) / quality_rules.GRID, 30, rng)[1:]
+        m, s = fitted[key]
+        out[i] = (x - m) @ np.linalg.inv(s) @ (x - m)
+    return out

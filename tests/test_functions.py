@@ -167,3 +167,14 @@ def test_file_names(spark):
     got = values(spark, ["https://h/a/b.pdf?x=/y#z", "https://h/a/", "https://h", "b.pdf"], urls.file_name)
     assert got[0] == "b.pdf" and got[3] == "b.pdf"
     assert re.fullmatch(r"pdf_[0-9a-f]{16}\.pdf", got[1]) and got[1] != got[2]
+
+
+def test_long_keywords_that_share_short_pieces_meet_few_texts(spark):
+    # each piece of three characters of a keyword stands in many texts, the keyword in none
+    df = spark.createDataFrame([(f"Notice on 0A{k % 1000:03}.a and 5b{k * 7 % 1000:03}",) for k in range(2000)], "title string")
+    table = spark.createDataFrame([(f"5B{k:04}", k) for k in range(1000, 3000)] + [("notice", 5000 + k) for k in range(3)] + [("NOTICE", 9000)], "keyword string, rank int")
+    pieces = df.select(F.explode(F.concat(text.grams(F.lower("title")), text.pieces_of(F.lower("title"), 6))).alias("gram"))
+    known = table.where("rank < 5000").select(F.lower("keyword").alias("word"), F.array("rank").alias("labels"))
+    assert text.filed_keywords(pieces, known, sizes=text.SIZES).count() == 0  # by pieces of three all are filed
+    got = text.flag_keywords_from_table(df, table).select("flagged_keywords").distinct().collect()
+    assert [r[0] for r in got] == [["notice"] * 3 + ["NOTICE"]]

@@ -221,3 +221,15 @@ def test_first_seen(spark, tmp_path):
         q.awaitTermination()
         assert sorted(r["url"] for r in spark.table(f"seen{k}").collect()) == ["a", "b"]
     assert compare.unchanged(df, df)
+
+
+def test_extractors_put_rows_out_in_small_parts():
+    import pyarrow as pa
+
+    page = "<table>" + "<tr><td>a<td>b" * 1000 + "</table>"
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(50), pa.int64()), "html": pa.array([page, None] * 25)})
+    schema = pa.schema([("page_id", pa.int64()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("links", pa.list_(pa.string()))])
+    sizes = [b.num_rows for b in html._rows(iter([batch]), html._table_rows, schema)]
+    assert sum(sizes) == 25_000 and max(sizes) <= html.ROWS
+    long = pa.RecordBatch.from_pydict({"page_id": pa.array(range(8), pa.int64()), "html": pa.array(["<table><tr><td>" + "x" * (html.CHARS // 2)] * 8)})
+    assert max(b.num_rows for b in html._rows(iter([long]), html._table_rows, schema)) <= 3

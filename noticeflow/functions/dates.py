@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ _SHAPE = (
     r"^(?:[0-9]{1,2}([/-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
     r"|[A-Za-z]+ [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} [A-Za-z]+ [0-9]{4})$"
 )
+#: The shape of a written form by its parts: a text that the date parser refuses costs an exception, so it gets only those that can be right.
+_PARTS = {"M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+"}
+
+
+def _shape(form: str) -> str:
+    """The pattern of the texts that a form of FORMS can fit."""
+    return "^" + re.sub("[A-Za-z]+", lambda m: _PARTS[m[0]], form) + "$"
 
 
 def _spaced(c: Column) -> Column:
@@ -31,6 +40,10 @@ def _as_date(c: Column, form: str) -> Column:
     return F.try_to_timestamp(c, F.lit(form)).cast("date")
 
 
+def _of_form(c: Column, form: str) -> Column:
+    return F.when(c.rlike(_shape(form)), _as_date(c, form))
+
+
 def _of_parts(year: Column, month: Column, day: Column) -> Column:
     zero = F.lit(0)
     return F.try_make_timestamp(year, month, day, zero, zero, F.lit(0).cast("decimal(16,6)")).cast("date")
@@ -51,8 +64,8 @@ def parse_date(c: Column) -> Column:
     t = _spaced(c)
     after_weekday = F.regexp_replace(t, _WEEKDAY, "")
     strict = F.coalesce(
-        F.when(t.rlike(_WEEKDAY) & after_weekday.rlike(_SHAPE), _as_date(after_weekday, WEEKDAY_FORM)),
-        *[F.when(t.rlike(_SHAPE), _as_date(t, f)) for f in FORMS],
+        F.when(t.rlike(_WEEKDAY), _of_form(after_weekday, WEEKDAY_FORM)),
+        *[_of_form(t, f) for f in FORMS],
     )
     raw = strip(c)
     part = lambda pattern, k: F.regexp_extract(raw, pattern, k)

@@ -325,10 +325,12 @@ def current_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = folder(spark, "run")
     found = html.notices_from_tables(_tables_of_html(spark, sf_dir), "src").withColumn("url", urls.absolute(F.col("url"), "https://www.example.org", "relative"))
     found = found.withColumn("date", dates.parse_date(F.col("publication_date")))
+    found.write.parquet(f"{root}/found")  # pages are parsed once, though the documents and the notices with and without a url all read the rows
+    found = spark.read.schema(found.schema).parquet(f"{root}/found")
     facts = text.with_codes(text.assemble(found.where(urls.is_pdf_url(F.col("url"))).withColumn("page_no", F.struct("page_id", "row_no")), "url", "page_no", "title", "text"), "text")
     rows = text.flag_keywords(documents.enrich(documents.with_defaults(found, "src"), facts), "title", FLAGS)
     rows = spark.createDataFrame([], schemas.NOTICE).unionByName(rows.drop("page_id", "row_no"), allowMissingColumns=True)
-    rows.write.parquet(f"{root}/rows")  # pages are parsed once, though the comparison, the snapshot, the master and the reports all read the rows
+    rows.write.parquet(f"{root}/rows")  # and documents are joined once, though the comparison, the snapshot, the master and the reports all read the rows
     rows = spark.read.schema(schemas.NOTICE).parquet(f"{root}/rows")
     before = rows.where("date < date '1998-01-01'")
     snapshots.write_snapshot(before, root + "/snapshots", "1")

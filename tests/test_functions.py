@@ -178,3 +178,13 @@ def test_long_keywords_that_share_short_pieces_meet_few_texts(spark):
     assert text.filed_keywords(pieces, known, sizes=text.SIZES).count() == 0  # by pieces of three all are filed
     got = text.flag_keywords_from_table(df, table).select("flagged_keywords").distinct().collect()
     assert [r[0] for r in got] == [["notice"] * 3 + ["NOTICE"]]
+
+
+def test_each_written_form_gets_the_texts_that_fit_it_alone(spark):
+    texts = ["7/4/2024", "07-04-2024", "2024-7-4", "July 4, 2024", "4 July 2024", "July 4 2024", "13-12-2024", "Thursday, 4 July 2024", "July 4,2024", "x"]
+    for form in (*dates.FORMS, dates.WEEKDAY_FORM):
+        loose = values(spark, texts, lambda c, f=form: dates.one_form(c, f))
+        gated = values(spark, texts, lambda c, f=form: dates._of_form(dates._spaced(c), f))
+        assert gated == loose
+        fits = values(spark, texts, lambda c, f=form: c.rlike(dates._shape(f)))
+        assert 1 <= sum(fits) <= 2  # before, each form tried nearly all

@@ -236,8 +236,11 @@ def multi_source_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merge.union_all([df.withColumn("source", F.lit(name)) for name, df in parts.items()])
     rows = rows.withColumn("date", dates.parse_date(F.col("date_text")))
     rows = text.flag_keywords(rows, "title", FLAGS).withColumn("is_ear_related", text.topic_flag(F.col("title"), ("URGENT", "NOT SPECIFIED")))
-    snapshots.write_sorted(rows.drop("date_text"), f"{root}/snapshots", "2025-04-15_18-04", files=8)
-    last = spark.read.schema(rows.drop("date_text").schema).parquet(f"{root}/snapshots/snapshot_ts=2025-04-15_18-04")
+    rows = rows.drop("date_text")
+    rows.write.parquet(f"{root}/rows")  # pages are parsed once, though a sort by ranges reads its rows twice
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+    snapshots.write_sorted(rows, f"{root}/snapshots", "2025-04-15_18-04", files=8)
+    last = spark.read.schema(rows.schema).parquet(f"{root}/snapshots/snapshot_ts=2025-04-15_18-04")
     known = spark.createDataFrame([(name,) for name in (*parts, "closed")], "source string")
     counts = last.groupBy("source").agg(F.count("date").alias("dated"), F.count("url").alias("with_url"), F.count("citation").alias("cited"), F.count_if("flagged").alias("flagged"), F.count_if("is_ear_related").alias("ear"))
     return reporting.source_counts(last, known).join(counts, "source", "left").na.fill(0)

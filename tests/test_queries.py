@@ -56,3 +56,17 @@ def test_plans_push_down_and_stay_native(spark):
         assert "Python" not in plan and "CartesianProduct" not in plan
     plan = queries.QUERIES["parse_dates"](spark, compare.SMALL)._jdf.queryExecution().toString()
     assert "o_totalprice" not in plan.split("ReadSchema")[-1]
+
+
+def test_what_is_read_twice_holds_no_parser(spark, monkeypatch):
+    seen = []
+
+    def watched(owner, name):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda df, *a, **k: (seen.append(df._jdf.queryExecution().toString()), real(df, *a, **k))[1])
+
+    watched(stored.snapshots, "write_sorted")
+    watched(stored.text, "assemble")
+    stored.multi_source_run(spark, compare.SMALL)
+    stored.current_run(spark, compare.SMALL)
+    assert len(seen) == 2 and not any("MapIn" in plan for plan in seen)

@@ -75,8 +75,12 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.latest_snapshot(spark, root).select(*_CELLS, "snapshot_ts")
 
 
+#: What ranks a url's rows within a snapshot. The SQL's order ends with the date; the source makes it total, as the other cells follow from the title.
+_ORDER = ("title", "date", "source")
+
+
 def _ranked(rows: DataFrame, ts: str) -> DataFrame:
-    return rows.withColumns({"snapshot_ts": F.lit(ts), "row_no": F.struct("title", "date")})
+    return rows.withColumns({"snapshot_ts": F.lit(ts), "row_no": F.struct(*_ORDER)})
 
 
 def master_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ def stream_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a stream over CSV drops of many files, the second of which comes later; then all of it again from the start, to which the master has every url."""
     rows, root = _notices(spark, sf_dir), folder(spark, "stream")
     for k, part in enumerate(("date < date '1999-01-01'", "date >= date '1998-01-01'")):
-        snapshots.write_csv(rows.where(part).repartition("url").sortWithinPartitions("url", "title", "date"), f"{root}/drops/{k}")
+        snapshots.write_csv(rows.where(part).repartition("url").sortWithinPartitions("url", *_ORDER), f"{root}/drops/{k}")
         streaming.maintain_master(spark, f"{root}/drops/*", f"{root}/master", f"{root}/first", QUARTER).awaitTermination()
     streaming.maintain_master(spark, f"{root}/drops/*", f"{root}/master", f"{root}/again", QUARTER).awaitTermination()
     return snapshots.read_master(spark, f"{root}/master").select(*_CELLS, "quarter")

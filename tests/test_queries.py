@@ -1,3 +1,4 @@
+import datetime as dt
 import subprocess
 import sys
 from pathlib import Path
@@ -70,3 +71,14 @@ def test_what_is_read_twice_holds_no_parser(spark, monkeypatch):
     stored.multi_source_run(spark, compare.SMALL)
     stored.current_run(spark, compare.SMALL)
     assert len(seen) == 2 and not any("MapIn" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("name", ["master_append", "stream_master", "bucketed_master"])
+def test_first_rows_do_not_depend_on_the_order_of_input(spark, tmp_path, name):
+    """Orders in pairs that differ in their source alone, by what the SQL ranks them by."""
+    day = dt.datetime(1998, 3, 4)
+    keys = [k for k in range(1, 60) if k % 17 and (k + 1000) % 17]
+    pairs = [(k + at, k, status, 1.0, day, "1-URGENT") for k in keys for at, status in ((0, "P"), (1000, "F"))]
+    for turn, rows in enumerate((pairs, pairs[::-1])):
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/{turn}/orders.parquet")
+        assert [r["source"] for r in stored.QUERIES[name](spark, f"{tmp_path}/{turn}").collect()] == ["src-F"] * len(keys)

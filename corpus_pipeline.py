@@ -25,9 +25,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats, score = fresh(docs.columns, "stats", "score")
-    measured = written(quality_model.statistics(docs, out=stats, keep_text=True), "stats")
+    # without the texts, which scratch tables would hold once more until the run's end: those are measured again as they are scored
+    measured = written(quality_model.statistics(docs.select("doc_id", "text"), out=stats), "stats")
     model = quality_model.fit(measured, table(spark, sf_dir, "labels"), column=stats)
-    return quality_model.score(measured, model, stats=stats, out=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
+    return quality_model.score(docs, model, text="text", out=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 import compare
 
 import corpus_pipeline
-from noticeflow.llm import bpe, jaccard, quality_rules, queries
+from noticeflow.llm import bpe, jaccard, quality_model, quality_rules, queries
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_joins import brute
@@ -138,3 +138,13 @@ def test_rows_that_stay_of_odd_ones(spark):
     for r in stay["encoding"]:
         want = lib.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["n_tokens"] == len(want) and r["decoded"] == lib.decode(want, skip_special_tokens=False)
+
+
+def test_model_stage_writes_no_text_beside_its_result(spark, monkeypatch):
+    docs, scratch = spark.read.parquet(f"{compare.SMALL}/documents.parquet"), []
+    kept = lambda df, name: scratch.append(df.columns) or quality_model.written(df, name)
+    monkeypatch.setattr(corpus_pipeline, "written", kept)
+    out = corpus_pipeline.quality_model_stage(spark, docs, compare.SMALL)
+    assert scratch == [["doc_id", "stats"]] and out.columns == docs.columns
+    scored = {r["doc_id"]: r["score"] for r in queries.QUERIES["op5_quality_model"](spark, compare.SMALL).collect()}
+    assert {r["doc_id"] for r in out.collect()} == {i for i, s in scored.items() if s >= queries.THRESHOLD}

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """The written table and aggregates of its rows, taken by the tasks that write it: no job of their own, whose stages each cost the driver some MB."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def arrow_columns(batch: pa.RecordBatch, add: dict[str, pa.Array], drop: Iterable[str] = ()) -> pa.RecordBatch:
     """The batch with columns added or replaced, and some left out."""
     cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names) if n not in set(drop)}

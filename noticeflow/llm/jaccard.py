@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, fresh, iterated, sliced, small_batches, written
+from noticeflow.llm.common import MAX_BLOCKS, bloom_blocks, bloom_build, bloom_test, fresh, iterated, sliced, small_batches, written, written_measured
 
 WORDS = 5
 #: Counters of the sketch of shingle frequencies; one byte each where tasks get it.
@@ -380,7 +380,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     previous = None
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # both directions from one row: a union would double all that is planned and scanned before it
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         # large star: every greater neighbour of u goes to the least node around u
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = edges.join(least, "u").select(F.col("v"), F.col("m"))
@@ -388,10 +389,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u's lesser neighbours and u itself go to the least of them
         lesser = large.select(F.greatest("v", "m").alias("v"), F.least("v", "m").alias("m"))
         root = lesser.groupBy("v").agg(F.min("m").alias("r"))
-        small = lesser.join(root, "v")
-        new = small.select(F.col("r").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("r").alias("u"), "v")).where("u <> v").distinct()
-        edges = written(new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "edges")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        ends = F.array(F.struct(F.col("r").alias("u"), F.col("m").alias("v")), F.struct(F.col("r").alias("u"), F.col("v")))
+        new = lesser.join(root, "v").select(F.inline(ends)).where("u <> v").distinct()
+        new = new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        edges, state = written_measured(new, "edges", n=F.count("*"), s=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if state == previous:
             break
         previous = state

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import SPACE, fresh, written
+from noticeflow.llm.common import SPACE, fresh, written, written_measured
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -163,11 +163,11 @@ def _distance(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _middle(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The least value that half of a key's rows do not exceed, by counting equal values first; ``value`` has few different ones."""
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    counts = counts.withColumns({"upto": F.sum("c").over(order), "of": F.sum("c").over(Window.partitionBy(*keys))})
-    return counts.where("2 * upto >= of").groupBy(*keys).agg(F.min(value).alias(out))
+    """The least value that half of a key's rows do not exceed, by counting equal values; ``value``, an int, has few different ones.
+
+    Counts are combined before the one shuffle, so the driver has one stage to plan and no window.
+    """
+    return values.groupBy(*keys).agg(F.expr(f"cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY {value}) AS int) AS {out}"))
 
 
 #: The half of normal data in five dimensions nearest to its centre, and what lies within its 0.975 quantile, understate the covariance by these factors.
@@ -208,7 +208,7 @@ def _step(points: DataFrame, est: DataFrame, sent: bool) -> DataFrame:
     log_det = " + ".join(f"2 * ln(l_{a}_{a})" for a in DIMS)
     new = _factored(_scatter(near, ["g", "s", "n"]), ["g", "s", "n"], f"{HALF}D").selectExpr("*", f"{log_det} AS det")
     new = new.select("g", "s", F.struct(*names).alias("new"))
-    both = est.join(new, ["g", "s"], "left").withColumnRenamed("falls", "fell").withColumn("falls", F.expr(f"coalesce(new.det < det - {FALL}D, false)"))
+    both = est.join(F.broadcast(new) if sent else new, ["g", "s"], "left").withColumnRenamed("falls", "fell").withColumn("falls", F.expr(f"coalesce(new.det < det - {FALL}D, false)"))
     return both.selectExpr("g", "s", "n", *[f"CASE WHEN falls THEN new.{c} ELSE {c} END AS {c}" for c in names], "falls")
 
 
@@ -217,15 +217,16 @@ def robust(points: DataFrame) -> DataFrame:
 
     ``points`` has different vectors in grid units in each group, and is read several times, so it should be a written table.
     """
-    sizes = written(points.groupBy("g").agg(F.count("*").alias("n")), "sizes")
-    sent = sizes.count() <= MAX_SENT
-    est, k = written(_starts(points, sizes, sent), "mcd"), 0
-    while est.where("falls").limit(1).count():
+    sizes, of = written_measured(points.groupBy("g").agg(F.count("*").alias("n")), "sizes", groups=F.count("*"))
+    sent = of["groups"] <= MAX_SENT
+    moving = {"falls": F.count_if("falls")}
+    (est, left), k = written_measured(_starts(points, sizes, sent), "mcd", **moving), 0
+    while left["falls"]:
         est, k = _step(points, est, sent), k + 1
         if k == EARLY:
             best = F.row_number().over(Window.partitionBy("g").orderBy("det", "s"))  # a row a start
             est = est.withColumn("rank", best).where(F.col("rank") <= BEST).drop("rank")
-        est = written(est, "mcd")
+        est, left = written_measured(est, "mcd", **moving)
     names = ["n", *CENTRE, *FACTOR]
     least = est.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("det", "s")).alias("e")).select("g", "e.*")
     near = _distance(_with_estimates(points, least, sent), ["g", "n", *DIMS]).where(F.col("d") <= WITHIN)
@@ -280,9 +281,9 @@ def estimates(
     parts = [vecs.join(sizes.where("not few").select("g"), "g", "left_semi").drop("l")]
     few_langs = written(sizes.where("few").select("l").distinct(), "languages")
     in_few = written(vecs.join(few_langs, "l", "left_semi").select(F.col("l").alias("g"), *DIMS).distinct(), "vectors")
-    lang_sizes = written(in_few.groupBy("g").agg(F.count("*").alias("n")), "groups")
+    lang_sizes, of = written_measured(in_few.groupBy("g").agg(F.count("*").alias("n")), "groups", few=F.count_if(F.col("n") < min_group))
     parts.append(in_few.join(lang_sizes.where(F.col("n") >= min_group).select("g"), "g", "left_semi"))
-    if lang_sizes.where(F.col("n") < min_group).limit(1).count():
+    if of["few"]:
         parts.append(vecs.select(F.lit("all").alias("g"), *DIMS).distinct())
     est = robust(written(reduce(DataFrame.unionByName, parts), "points")).select("g", F.struct(*CENTRE, *FACTOR).alias("e"))
     levels = F.array(*[F.struct(F.lit(k).alias("level"), g.alias("g")) for k, g in enumerate((F.col("g"), F.col("l"), F.lit("all")))])

@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded) of each row."""
     tokenizer = bpe.load(spark, tokenizer_path())
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer).drop("text"), tokenizer)
+    coded = bpe.recode(docs.select("doc_id", "lang", "source", "text"), tokenizer)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -8,7 +8,8 @@ before it, takes the next shorter one otherwise, and steps back where none is
 left. Two neighbours are compatible if merging would not have joined anything
 across their border: a chain of pairwise compatible tokens is what merging in
 order of rank gives, and there is one such chain. Places found dead are never tried
-again, so the work is linear.
+again, so the work is linear. Words that a task met lately are looked up; the rest of
+the work on a text (normal form, lower case, cutting) is done on the whole of it.
 
 Decoding gathers from one string of all tokens by a table of offsets.
 
@@ -54,10 +55,13 @@ NO_MARKS = (
     (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
     (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF), (0x11930, 0x11930),
 )
-#: White space that str.split() cuts at, but the tokenizer's ``\s`` does not.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Encoded chunks and words that a task keeps of each in a young and in an old table, and pairs known to be compatible or not.
-MAX_CACHED = 60_000
+#: The tokenizer's white space; Python's has 0x1C to 0x1F as well.
+SPACES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+#: Encoded words that a worker keeps in a young and in an old table each, and pairs known to be compatible or not.
+MAX_CACHED = 200_000
+#: Characters of the basic plane that stand for those beyond it while a text is cut, by kind: a class with characters of other planes is slow.
+STAND_INS = {"L": "\ua000", "N": "\u2460"}
+OTHER_STAND_IN = "\ue000"
 
 
 def byte_alphabet() -> list[str]:
@@ -72,24 +76,34 @@ def _listed(ranges) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+MORE = {c: name for name, ranges in (("L", LETTERS), ("N", NUMBERS)) for a, b in ranges for c in range(a, b + 1)}
+
+
+def kind(c: int) -> str:
+    """The first letter of a code point's category, as the tokenizer has it."""
+    return MORE.get(c) or unicodedata.category(chr(c))[0]
+
+
+def _ranges(chars: set[int]):
+    return zip(sorted(c for c in chars if c - 1 not in chars), sorted(c for c in chars if c + 1 not in chars), strict=True)
+
+
 def pinned(pattern: str) -> str:
-    """The pattern with letters and numbers that are the tokenizer's, whatever the regex module's version knows."""
-    import regex
-
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    code = lambda i: i if i < 0xD800 else i + 0x800
-    for name, more in (("L", LETTERS), ("N", NUMBERS)):
-        extra = {c for a, b in more for c in range(a, b + 1)}
-        mine = {c for c in map(ord, every) if c in extra or unicodedata.category(chr(c))[0] == name}
-        theirs = {code(i) for m in regex.finditer(rf"\p{{{name}}}+", every) for i in range(*m.span())}
-        parts = f"\\p{{{name}}}"
-        for op, chars in (("--", theirs - mine), ("||", mine - theirs)):
-            if chars:
-                starts = sorted(c for c in chars if c - 1 not in chars)
-                ends = sorted(c for c in chars if c + 1 not in chars)
-                parts = f"[{parts}{op}[{_listed(zip(starts, ends, strict=True))}]]"
-        pattern = pattern.replace(f"\\p{{{name}}}", parts)
-    return "(?V1)" + pattern
+    """The pattern, for texts of the basic plane, with the tokenizer's letters, numbers and white space listed, whatever a module's tables know."""
+    kinds = [kind(c) for c in range(0x10000)]
+    listed = {r"\s": _listed(SPACES)}
+    for name in "LN":
+        listed[rf"\p{{{name}}}"] = _listed(_ranges({c for c, k in enumerate(kinds) if k == name}))
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in listed:
+            out.append(listed[part] if inside else f"[{listed[part]}]")
+        elif part[0] == "\\" and part[1] in "pPSwWdDbB":
+            raise ValueError(f"this encoder does not know {part} in a pattern")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
 
 
 def read_spec(path: str) -> dict:
@@ -113,7 +127,7 @@ def read_spec(path: str) -> dict:
     # few large objects, so that each worker's copy is small: tokens in order of id, merges as (left, right, result)
     triples = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
     return {
-        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": split["pattern"]["Regex"], "pinned": pinned(split["pattern"]["Regex"]),
+        "tokens": "\0".join(tokens), "merges": triples, "suffix": suffix, "pattern": pinned(split["pattern"]["Regex"]),
         "added": {t["content"]: t["id"] for t in raw["added_tokens"]},
     }
 
@@ -123,6 +137,25 @@ def tokens_of(spec: dict) -> list[str]:
     return spec["tokens"].split("\0")
 
 
+class Lately(dict):
+    """What ``make`` gave by word. A full table becomes the old one, so what is used often stays."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= MAX_CACHED:
+            self.old = self.copy()
+            self.clear()
+        if len(word) < 100:
+            self[word] = got
+        return got
+
+
 class Encoder:
     """Tables of one tokenizer: automaton, merges, pair compatibility and offsets."""
 
@@ -130,7 +163,6 @@ class Encoder:
 
     def __init__(self, spec: dict):
         import ahocorasick
-        import regex
 
         suffix, self.added_ids = spec["suffix"], spec["added"]
         tokens = tokens_of(spec)
@@ -148,34 +180,29 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             self.length[i] = len(t)
-            self.automaton.add_word(t, (i, len(t)))
+            if len(t) > 1:
+                self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        # a letter's own token, where no longer one starts; the end mark is none by itself
+        self.single = {c: self.ids.get(c, -1) for c in self.alphabet.values()} | {self.END: -1}
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for t, i in self.ids.items():
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
-        self.fits: dict[int, bool] = {}
-        self.words, self.pinned_words = regex.compile(spec["pattern"]), regex.compile(spec["pinned"])
+        self.fits: dict[int, bool] = {}  # by left * size + right
+        self.words = re.compile(spec["pattern"])
         self.late = re.compile("[\u0530-\U0010ffff]")  # before that all versions of the tables agree
-        self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
-        self.apart = regex.compile(f"([{_listed(NO_MARKS)}])")
-        self.upper = regex.compile(f"[{_listed((c, c) for c in LOWERED)}]")
-        self.spaces = regex.compile(r"[^\S\x1c-\x1f]+")
-        # what was encoded lately, by chunk and by word; a full young table becomes the old one, so what is used often stays
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.old_known: dict[str, bytes] = {}
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(spec["added"], key=len, reverse=True))) + ")") if spec["added"] else None
+        self.apart, self.upper = re.compile(f"([{_listed(NO_MARKS)}])"), re.compile(f"[{_listed(_ranges(set(LOWERED)))}]")
+        self.known = Lately(self.ids_of)
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves the border between tokens a and b open.
+        """Whether merging leaves the border between tokens a and b open; ``fits`` keeps the answer.
 
         The merges of both sides are undone from the last one back. If the pieces that
         then meet at the border have a merge that comes before the one just undone,
         merging would have joined them.
         """
-        known = self.fits.get(a * self.size + b)
-        if known is not None:
-            return known
         x, y, rank = a, b, self.rank
         bound = len(self.joined)  # a merge across the border counts if it came before this one
         fine = True
@@ -191,7 +218,7 @@ class Encoder:
                 bound, x = rx, self.right[x]
             else:
                 bound, y = ry + 1, self.left[y]
-        if len(self.fits) > MAX_CACHED:
+        if len(self.fits) >= MAX_CACHED:
             self.fits.clear()
         self.fits[a * self.size + b] = fine
         return fine
@@ -202,91 +229,75 @@ class Encoder:
         whole = self.ids.get(s)
         if whole is not None:  # the longest token at the start is the whole word
             return [whole]
-        n = len(s)
-        longest = [-1] * n
-        for last, (i, size) in self.automaton.iter(s):
-            longest[last - size + 1] = i  # ends come in order, so the last is the longest
+        n, size, length, shorter, fits = len(s), self.size, self.length, self.shorter, self.fits
+        longest = list(map(self.single.__getitem__, s))
+        for last, i in self.automaton.iter(s):
+            longest[last + 1 - length[i]] = i  # ends come in order, so the last is the longest
         alive = [True] * (n + 1)
         alive[n - 1] = False  # the end mark is no token by itself
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, before = 0, longest[0], -1
         while at < n:
-            before = out[-1] if out else -1
             while token >= 0:
-                to = at + self.length[token]
-                if alive[to] and (before < 0 or self.compatible(before, token)):
-                    break
-                token = self.shorter[token]
+                to = at + length[token]
+                if alive[to]:
+                    if before < 0:
+                        break
+                    fine = fits.get(before * size + token)
+                    if fine is None:
+                        fine = self.compatible(before, token)
+                    if fine:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = to
+                before, at = token, to
                 token = longest[at] if at < n else -1
             else:
                 alive[at] = False
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
                 token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+                before = out[-1] if out else -1
+                at -= length[token]
+                token = shorter[token]
         return out
 
+    def ids_of(self, word: str) -> bytes:
+        """Ids, as int32 bytes, of a word as the pattern cuts it."""
+        letters = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("i", self.word(letters)).tobytes()
+
     def plain(self, text: str) -> bytes:
-        """Ids, as int32 bytes, of a text without white space and added tokens."""
-        pattern = self.words
+        """Ids, as int32 bytes, of a text without added tokens.
+
+        No white space joins or is joined by a neighbour, whatever the step, so a text's
+        words are those of its parts between white space.
+        """
         if text.isascii():
             low = text.lower()
         elif not self.late.search(text):
             low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         else:
-            pattern = self.pinned_words
             # what the tokenizer takes for no mark keeps apart what is before and behind it
-            parts = self.apart.split(text) if self.apart.search(text) else (text,)
-            low = "".join(unicodedata.normalize("NFC", t) for t in parts)
+            low = "".join(unicodedata.normalize("NFC", t) for t in self.apart.split(text))
             low = low.replace("Σ", "σ").lower()  # each character is lowered by itself: a final sigma is a sigma
             if self.upper.search(low):
                 low = low.translate(LOWERED)
-        out = []
-        for w in [low] if pattern is self.words and low.isalpha() else pattern.findall(low):
-            got = self.known.get(w)
-            if got is None:
-                got = self.old_known.get(w)
-                if got is None:
-                    letters = w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)
-                    got = array("i", self.word(letters)).tobytes()
-                if len(self.known) >= MAX_CACHED:
-                    self.old_known, self.known = self.known, {}
-                if len(w) < 100:
-                    self.known[w] = got
-            out.append(got)
-        return b"".join(out)
-
-    def chunk(self, text: str) -> bytes:
-        if not (self.added and self.added.search(text)):
+        if low.isascii() or not self.beyond.search(low):
+            words = self.words.findall(low)
+        else:
+            cut = self.beyond.sub(lambda m: STAND_INS.get(kind(ord(m[0])), OTHER_STAND_IN), low)
+            words = [low[m.start() : m.end()] for m in self.words.finditer(cut)]
+        return b"".join(map(self.known.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        if not any(t in text for t in self.added_ids):
             return self.plain(text)
-        parts = self.added.split(text)
         return b"".join(
-            array("i", [self.added_ids[part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(parts)
+            array("i", [self.added_ids[part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(self.added.split(text))
         )
 
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in NOT_SPACE):
-            chunks = [c for c in self.spaces.split(text) if c]
-        else:
-            chunks = text.split()
-        out, young, old = [], self.chunks, self.old_chunks
-        for c in chunks:
-            got = young.get(c)
-            if got is None:
-                got = old.get(c)
-                if got is None:
-                    got = self.chunk(c)
-                if len(young) >= MAX_CACHED:
-                    self.old_chunks, self.chunks = old, young = young, {}
-                if len(c) < 100:
-                    young[c] = got
-            out.append(got)
-        return b"".join(out)
-
 
 class Decoder:
     """One string of all tokens and where in it each begins."""
@@ -343,6 +354,11 @@ def _decode(batches: Iterator[pa.RecordBatch], tables, ids: str, out: str) -> It
         yield arrow_columns(batch, {out: pa.array(texts, pa.binary()).cast(pa.string())})
 
 
+def _both(batches: Iterator[pa.RecordBatch], tables, text: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    coded = _encode(batches, tables, text, ids)
+    yield from _decode((arrow_columns(b, {}, drop={text} - {ids, out}) for b in coded), tables, ids, out)
+
+
 def load(spark, path: str):
     """The tokenizer's tables, read once by the driver and sent to the tasks; their size is the vocabulary's."""
     return spark.sparkContext.broadcast(read_spec(path))
@@ -358,3 +374,10 @@ def decode(tokens: DataFrame, tokenizer, ids: str = "ids", out: str = "decoded")
     """``tokens`` with the text of the ids, special tokens included."""
     small_batches(tokens.sparkSession)
     return tokens.mapInArrow(partial(_decode, tables=tokenizer, ids=ids, out=out), with_fields(tokens, {out: T.StringType()}))
+
+
+def recode(docs: DataFrame, tokenizer, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` without the texts themselves, in one pass: each task has one worker, and neither texts nor ids go back and forth."""
+    small_batches(docs.sparkSession)
+    fields = with_fields(docs, {ids: T.ArrayType(T.IntegerType()), out: T.StringType()}, drop={text} - {ids, out})
+    return docs.mapInArrow(partial(_both, tables=tokenizer, text=text, ids=ids, out=out), fields)

@@ -80,7 +80,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokenizer = bpe.load(spark, tokenizer_path())
-    coded = bpe.decode(bpe.encode(docs, tokenizer).drop("text"), tokenizer)
+    coded = bpe.recode(docs, tokenizer)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -64,3 +64,39 @@ def test_every_code_point_is_as_the_library_has_it(tools):
     enc, _, lib = tools
     wrong = [t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(enc.encode(t), np.int32).tolist() != e.ids]
     assert not wrong, [hex(ord(t[1])) for t in wrong[:20]]
+
+
+def test_words_met_before_are_not_encoded_again(tools):
+    fresh, calls = bpe.Encoder(bpe.read_spec(queries.tokenizer_path())), []
+    one, rng = fresh.word, random.Random(3)
+    fresh.word = lambda letters: calls.append(letters) or one(letters)
+    words = list({"".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(130_000)})
+    for form in (str, str.capitalize, "{},".format, "({}".format):  # 60,000 words or chunks a table, of each form, would not do
+        fresh.encode(" ".join(map(form, words)))
+    assert len(calls) == len(words) + 2
+
+
+def test_characters_beyond_the_basic_plane(tools):
+    rng = random.Random(4)
+    odd = "ab's'1 　\x1c.🙂𝐀𝟗𐐀𐐨\U0001e5d0\U00010d50\U00010d40\U00016ea0\U00011930𢡊ꀀ①Σé́"
+    for _ in range(3000):
+        same(tools, "".join(rng.choice(odd) for _ in range(rng.randint(1, 15))))
+    with pytest.raises(ValueError):
+        bpe.pinned(r"\p{Lu}+|\S")
+
+
+def test_one_pass_equals_two(spark, tools):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Hello  World", "", None, "Hello  World", "é" * 50_000, "<|endoftext|> x"])], "doc_id int, text string")
+    tok = bpe.load(spark, queries.tokenizer_path())
+    two = bpe.decode(bpe.encode(docs, tok).drop("text"), tok)
+    one = bpe.recode(docs, tok)
+    assert one.schema == two.schema and one.collect() == two.collect()
+    named = bpe.recode(docs, tok, out="text")
+    assert named.columns == ["doc_id", "text", "ids"] and named.select("doc_id", "ids", "text").collect() == [tuple(r) for r in two.collect()]
+    assert bpe.recode(docs.limit(0), tok).count() == 0
+
+
+def test_the_query_has_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op4_bpe(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -14,7 +14,8 @@ Three passes over the blocks:
    whose score s has ``low * p <= 100 * s <= high * p``. A walk ends where the bound falls below the least of ``low * p / 100``, or
    below the last kept score where there are as many.
 
-The anchors are sent to the blocks, as they are the smaller side: the work is that of the anchors against all rows, in blocks.
+The anchors are sent to the blocks, as they are the smaller side: the work is that of the anchors against all rows, in blocks. A pack goes once to each group
+of blocks that it has to meet, and what is sent is exchanged, never broadcast: it grows as anchors times groups, whatever the size of the table of packs.
 
 Defined results: rows without an id or a label, and vectors that are null, empty, or hold a null or a non-finite component (before or after
 scaling) take no part; vectors of different lengths are not compared; components and scores of any other size are exact, and a score beyond 64 bits is returned as
@@ -41,6 +42,10 @@ CANDIDATES, ANCHORS = 4096, 512  # rows of a block and of a pack, about
 #: Directions that anchors and candidates are put to, and the most numbers that all of them hold together.
 MAX_CLUSTERS, MAX_NUMBERS = 1024, 1 << 20
 MAX_TASKS = 10_000
+#: Packs whose scores so far a task carries from one block to the next; without them it searches on as if it met them first.
+MAX_FLOORS = 64
+#: Blocks that get a pack together, at most; a task holds as many at a time. There are fewer where that would leave less than so many groups for each core.
+GROUP, GROUPS_PER_CORE = 8, 4
 _FOUND = "pack long, place int, part int, anchor_id long, vec_id long, key binary, score long"
 
 
@@ -63,15 +68,65 @@ def bounds(data: np.ndarray, anchors: Anchors) -> np.ndarray:
     return norms * np.cos(np.maximum(0.0, angles - anchors.angle - 1e-6)) + norms * 1e-9
 
 
-def walk(anchors: Anchors, ids: np.ndarray, data: np.ndarray, labels: np.ndarray, bands: list[list[tuple]], same: bool, k: int, first: int = 64) -> tuple[list, int]:
+def walk(
+    anchors: Anchors, ids: np.ndarray, data: np.ndarray, labels: np.ndarray, bands: list[list[tuple]], same: bool, k: int, first: int = 64, floors: np.ndarray | None = None,
+) -> tuple[list, int]:
     """((place, part, candidate's place, score) of what is kept, scores computed).
 
     ``bands`` has for each member the (least, greatest) scores asked for, a part each; the k highest of each are kept.
     ``same`` asks for the member's label, else for other labels. Candidates are in order of id.
+    ``floors``, members by parts, has scores that k candidates of other blocks are known to reach, and gets those that k of this one do: what is below may be left out.
     """
     kind = vectors.exact_type(anchors.data, data)
-    m, exact = len(ids), kind is object
     rows, members = vectors.converted(data, kind), vectors.converted(anchors.data, kind)
+    if kind not in (np.float32, np.float64):
+        return _walk_singly(anchors, ids, data, labels, rows, members, bands, same, k, first, kind is object)
+    m, n, n_parts = len(ids), len(bands), max(map(len, bands), default=0)
+    if floors is None:
+        floors = np.full((n, n_parts), -np.inf)
+    asked = np.array([p * n_parts + no for p in range(n) for no in range(len(bands[p]))], np.int64)
+    near = lambda x: min(max(x, -(2.0**60)), 2.0**60)  # noqa: E731  scores of these types are below 2**53, and a double is too small for some bands
+    least, most = np.full(n * n_parts, np.inf), np.full(n * n_parts, -np.inf)
+    least[asked], most[asked] = [near(b[0]) for some in bands for b in some], [near(b[1]) for some in bands for b in some]
+    floors = floors.reshape(-1)
+    least[asked] = np.maximum(least, floors)[asked]
+    upper = bounds(data, anchors)
+    order = np.argsort(-upper, kind="stable")
+    kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # part of a member, candidate's place, score
+    active = np.unique(asked // max(1, n_parts))
+    greatest = most.reshape(n, n_parts).max(axis=1, initial=-np.inf)
+    at, step, computed = 0, first, 0
+    while at < m and len(active):
+        need = least.reshape(n, n_parts).min(axis=1, initial=np.inf)  # one that ties may still win by its id
+        active = active[upper[order[at]] * anchors.norms[active] >= need[active]]
+        part = order[at : at + step]
+        scores = rows[part] @ members[active].T
+        computed += scores.size
+        i, column = np.nonzero((scores >= need[active].astype(kind)) & (scores <= greatest[active].astype(kind)))
+        p, place, s = active[column], part[i], scores[i, column].astype(np.float64)
+        fit = np.flatnonzero(((labels[place] == anchors.labels[p]) == same) & (ids[place] != anchors.ids[p]))
+        p, place, s = p[fit], place[fit], s[fit]
+        met = [kept]
+        for no in range(n_parts):
+            of = p * n_parts + no
+            some = np.flatnonzero((s >= least[of]) & (s <= most[of]))
+            met.append((of[some], place[some], s[some]))
+        if any(len(x[0]) for x in met[1:]):
+            of, place, s = (np.concatenate(x) for x in zip(*met, strict=True))
+            best = np.lexsort((place, -s, of))
+            of, place, s = of[best], place[best], s[best]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            full = rank == k - 1
+            least[of[full]] = s[full]
+            kept = of[rank < k], place[rank < k], s[rank < k]
+        at, step = at + step, step * 2
+    floors[asked] = np.maximum(floors, np.where(np.isfinite(least), least, -np.inf))[asked]
+    return [(int(of) // n_parts, int(of) % n_parts, int(i), int(s)) for of, i, s in zip(*kept, strict=True)], computed
+
+
+def _walk_singly(anchors: Anchors, ids, data, labels, rows, members, bands: list[list[tuple]], same: bool, k: int, first: int, exact: bool) -> tuple[list, int]:
+    """The walk in numbers that a double doesn't hold: a member and a part at a time."""
+    m = len(ids)
     upper = np.full(m, np.inf) if exact else bounds(data, anchors)
     order = np.argsort(-upper, kind="stable")
     kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -87,7 +142,6 @@ def walk(anchors: Anchors, ids: np.ndarray, data: np.ndarray, labels: np.ndarray
         part = order[at : at + step]
         scores = rows[part] @ members[active].T
         computed += scores.size
-        scores = scores.astype(np.float64) if kind is np.float32 else scores
         for column, p in enumerate(active.tolist()):
             fit = ((labels[part] == anchors.labels[p]) == same) & (ids[part] != anchors.ids[p])
             s = scores[:, column]
@@ -130,12 +184,19 @@ def _asked(limits, n: int, role: str, low: int, high: int) -> tuple[list[list[tu
 
 
 def _search(batches: Iterator[pd.DataFrame], role: str, k: int, low: int, high: int) -> Iterator[pd.DataFrame]:
+    floors: dict[int, np.ndarray] = {}  # of the packs met last: what each member's parts have reached so far
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             anchors = Anchors(np.frombuffer(r.a_ids, np.int64), vectors.matrix(r.a_data, r.dim), np.frombuffer(r.a_tags, np.int64))
             ids, labels = np.frombuffer(r.ids, np.int64), np.frombuffer(r.tags, np.int64)
             bands, parts = _asked(r.limits if r.limits is not None else [], len(anchors.ids), role, low, high)
-            found, _ = walk(anchors, ids, vectors.matrix(r.data, r.dim), labels, bands, role != "negatives", k)
+            floor = floors.pop(r.pack, None)
+            if floor is None:
+                floor = np.full((len(bands), max(map(len, bands), default=0)), -np.inf)
+            floors[r.pack] = floor
+            if len(floors) > MAX_FLOORS:
+                floors.pop(next(iter(floors)))
+            found, _ = walk(anchors, ids, vectors.matrix(r.data, r.dim), labels, bands, role != "negatives", k, floors=floor)
             if found:
                 p, no, place, score = zip(*found, strict=True)
                 yield pd.DataFrame({
@@ -189,15 +250,32 @@ def _packs(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     return written(dealt.select("dim", "wide", "block", "cluster", "id", "v", "tag").groupBy("dim", "wide", "block").applyInPandas(pack, schema), "packs"), start
 
 
+def _group_size(n_blocks: int, cores: int) -> int:
+    return max(1, min(GROUP, n_blocks // (GROUPS_PER_CORE * cores)))
+
+
+def _meetings(sent: DataFrame, lists: DataFrame, n_tasks: int, own: bool) -> DataFrame:
+    """Each pack beside each block of its length of vectors, with ``own`` those of its own cluster alone.
+
+    Only the numbers of groups are broadcast. The join's hint says that neither side may be: Spark would judge the packs by
+    the size of their file, and what is sent is that many times over. On its right a sort-merge join holds the rows of a key, here the blocks of a group.
+    """
+    groups = lists.select("dim", "group", *["cluster"] * own).distinct()
+    to = groups.withColumnRenamed("cluster", "own") if own else groups
+    sent = sent.join(F.broadcast(to), ["dim", "own"] if own else "dim")
+    met = sent.repartition(n_tasks, "dim", "group").hint("merge").join(lists.repartition(n_tasks, "dim", "group"), ["dim", "group"])
+    return met.where("own = cluster") if own else met
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("pack", "place", "part").orderBy(F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _limits(best: DataFrame) -> DataFrame:
-    """The entries of each pack, a bounded number: place, part, score."""
+    """The entries of each pack, a bounded number, in one order: place, part, score."""
     entry = F.struct("place", "part", "key")
-    return best.groupBy("pack").agg(F.collect_list(entry).alias("limits"))
+    return best.groupBy("pack").agg(F.sort_array(F.collect_list(entry)).alias("limits"))
 
 
 def mine(
@@ -222,20 +300,21 @@ def mine(
     blocks, n_blocks = _packs(near.drop("asked"), CANDIDATES)
     packs, n_packs = _packs(near.where("asked").drop("asked"), ANCHORS)
     packs = packs.select("dim", F.col("block").cast("long").alias("pack"), F.col("cluster").alias("own"), *[F.col(c).alias(f"a_{c}") for c in ("ids", "data", "tags")])
-    n_tasks = max(1, min(n_blocks, MAX_TASKS))
-    lists = blocks.select("dim", "block", "cluster", "ids", "data", "tags")
+    size = _group_size(n_blocks, spark.sparkContext.defaultParallelism)
+    n_tasks = max(1, min(-(-n_blocks // size), MAX_TASKS))
+    lists = blocks.select("dim", F.expr(f"block div {size}").cast("int").alias("group"), "cluster", "ids", "data", "tags")
 
     def searched(limits: DataFrame | None, role: str, k: int) -> DataFrame:
-        sent = packs.withColumn("limits", F.lit(None).cast("array<struct<place:int,part:int,key:binary>>")) if limits is None else packs.join(limits, "pack", "left")
-        sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))))
-        met = lists.repartition(n_tasks, "block").join(sent.repartition(n_tasks, "block"), ["dim", "block"])
-        met = met.where("own = cluster") if role == "floors" else met.where("limits is not null") if role == "negatives" else met
-        return met.mapInPandas(partial(_search, role=role, k=k, low=low, high=high), _FOUND)
+        if limits is None:
+            sent = packs.withColumn("limits", F.lit(None).cast("array<struct<place:int,part:int,key:binary>>"))
+        else:
+            sent = packs.join(limits.hint("merge"), "pack", "inner" if role == "negatives" else "left")
+        return _meetings(sent, lists, n_tasks, own=role == "floors").mapInPandas(partial(_search, role=role, k=k, low=low, high=high), _FOUND)
 
     floors = _best(searched(None, "floors", n_positives), n_positives).where(F.col("rank") == n_positives)
     positives = written(_best(searched(_limits(floors), "positives", n_positives), n_positives).withColumn("part", F.col("rank")), "positives")
     negatives = _best(searched(_limits(positives), "negatives", n_negatives), n_negatives)
     named = positives.select("pack", "place", "part", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return negatives.join(named, ["pack", "place", "part"]).select(
+    return negatives.join(named.hint("merge"), ["pack", "place", "part"]).select(  # in memory the positives are some eight times their file
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

@@ -1,3 +1,5 @@
+import itertools
+import re
 import sys
 from fractions import Fraction
 from pathlib import Path
@@ -88,6 +90,51 @@ def test_a_walk_ends_early_on_clustered_vectors():
     assert (anchors.data @ data.T <= upper * anchors.norms[:, None]).all()
 
 
+def test_negatives_with_several_blocks_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "CANDIDATES", 40)
+    monkeypatch.setattr(negatives, "ANCHORS", 3)
+    monkeypatch.setattr(negatives, "_group_size", lambda n_blocks, cores: 4)
+    rows = clustered(11, 500, 4) + [(1000 + k, [0.5, 0.5, -0.5, 1.0], k % 2) for k in range(60)]
+    assert mined(spark, rows) == brute_negatives(rows)
+
+
+def test_blocks_of_a_group():
+    assert [negatives._group_size(n, 6) for n in (0, 1, 47, 48, 5000)] == [1, 1, 1, 2, 8]
+
+
+def test_a_walk_keeps_what_a_plain_one_does():
+    rng = np.random.default_rng(3)
+    data, labels, ids = rng.integers(-9, 9, (300, 3)), rng.integers(0, 3, 300), np.sort(rng.integers(0, 250, 300))
+    anchors = negatives.Anchors(ids[::9], data[::9].astype(float), labels[::9])
+    bands = [[], *[[(-np.inf, np.inf)], [(20, 60), (-5, 31), (10, 10**400)]] * 17][: len(anchors.ids)]
+    for same in (True, False):
+        want, _ = negatives._walk_singly(anchors, ids, data, labels, data, data[::9], bands, same, 3, 64, False)
+        found, _ = negatives.walk(anchors, ids, data, labels, bands, same, 3, first=7)
+        assert want and sorted(found) == sorted(want)
+        floors, parts = np.full((len(bands), 3), -np.inf), []
+        for at in range(0, 300, 60):  # in blocks, with what was reached so far
+            some = slice(at, at + 60)
+            parts += [(p, no, i + at, s) for p, no, i, s in negatives.walk(anchors, ids[some], data[some], labels[some], bands, same, 3, floors=floors)[0]]
+        best = {}
+        for p, no, i, s in sorted(parts, key=lambda x: (-x[3], x[2])):
+            best.setdefault((p, no), []).append((p, no, i, s))
+        assert sorted(x for some in best.values() for x in some[:3]) == sorted(want)
+
+
+def test_vectors_are_not_broadcast(spark):
+    """What is sent to the blocks is many times the file of the packs, by which Spark would judge it."""
+    rows = spark.createDataFrame([(*r, "x") for r in clustered(2, 120, 4)], SCHEMA)
+    plan = negatives.mine(rows, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(re.match(r"[ :+\-]*", line)[0])
+    found = 0
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda x, at=depth(line): depth(x) > at, plan[i + 1 :]))
+            assert below and not re.search(r"\b(a_)?data#\d", "\n".join(below))
+            found += 1
+    assert found and any("SortMergeJoin" in line for line in plan)
+
+
 def test_order_keys_sort_as_numbers():
     numbers = sorted({s * (1 << b) + d for s in (-1, 0, 1) for b in (0, 1, 7, 8, 9, 15, 16, 31, 63, 64, 200, 2000) for d in (-1, 0, 1)})
     keys = [vectors.order_key(n) for n in numbers]

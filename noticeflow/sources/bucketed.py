@@ -13,46 +13,15 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow import schemas
 from noticeflow.columns import unused
+from noticeflow.functions.bloom import bloom_filter, may_be_among
 from noticeflow.operators import merge
 
-#: Blocks of the filter and the bits of one; BLOCKS times 4 KiB is what is sent to the tasks, whatever the number of keys.
-BLOCKS, BITS = 256, 1 << 15
-#: Bits that a key sets in its block.
-PROBES = 4
-
-
-def _places(key: Column) -> tuple[Column, list[Column]]:
-    """The block of a key, and its bits in it."""
-    bits = F.xxhash64(F.lit("bits"), key)
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), [F.pmod(F.shiftrightunsigned(bits, 16 * k), F.lit(BITS)).cast("int") for k in range(PROBES)]
-
-
-def bloom_filter(keys: DataFrame, key: str) -> DataFrame:
-    """(block, words): a row for each block that has keys, at most BLOCKS, with its bits as longs. Set and merged by aggregation."""
-    block, places = _places(F.col(key))
-    bits = keys.where(F.col(key).isNotNull()).select(block.alias("block"), F.explode(F.array(*places)).alias("place"))
-    one = F.expr("shiftleft(1L, place % 64)")
-    words = bits.groupBy("block", (F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
-    found = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
-    return found.select("block", F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.coalesce(F.col("found")[w], F.lit(0).cast("long"))).alias("words"))
-
-
-def may_be_among(rows: DataFrame, key: str, filter_rows: DataFrame) -> DataFrame:
-    """Rows whose key may be one that the filter was made of; all of those, and few others. The filter is sent to the tasks, so ``rows`` stay where they are."""
-    block, words = unused(rows.columns, "block", "words")
-    own, places = _places(F.col(key))
-    sent = F.broadcast(filter_rows.select(F.col("block").alias(block), F.col("words").alias(words)))
-    hit = F.lit(True)
-    for p in places:
-        hit = hit & (F.getbit(F.get(F.col(words), (p / 64).cast("int")), p % 64) == 1)
-    return rows.join(sent, own == F.col(block)).where(hit).drop(block, words)
-
 
 class BucketedMaster:
     """The master below ``root``, in ``buckets`` buckets by ``key``; their number is the folder's for good."""

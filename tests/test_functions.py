@@ -127,6 +127,36 @@ def test_keywords_are_filed_under_their_rarest_piece(spark):
     assert sorted(spark.range(1).select(text.grams(F.lit("ab")).alias("g")).first()["g"]) == ["a", "ab", "b"]
 
 
+def test_each_list_of_matches_is_formed_once(spark):
+    """``form`` runs before the lists meet the rows, and the text's pieces are made once, those that no keyword has left out before they are exchanged."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Smic and prc", "PRC of smic", "prc", "none", "", None])], "id int, title string")
+    words = spark.createDataFrame([("PRC", 0), ("SMIC", 1), ("prc", 2), ("ai", 3), (None, 4)], "keyword string, rank int")
+    got = text.flag_keywords_from_table(df, words, form=text.joined)
+    both, one, none = ("PRC, SMIC, prc", True), ("PRC, prc", True), ("", False)
+    assert {r["id"]: (r["flagged_keywords"], r["flagged"]) for r in got.collect()} == {0: both, 1: both, 2: one, 3: none, 4: none, 5: none}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    formed = [i for i, line in enumerate(plan) if "array_join(" in line and "collect_list(" in line]
+    assert formed and joins[0] < formed[0]  # below the join with the rows
+    made = [i for i, line in enumerate(plan) if "explode(" in line and "array_contains(sizes" in line]
+    depth = lambda line: len(re.match(r"[ :+\-]*", line)[0])
+    for i in made:  # the filter by getbit comes next to the pieces, before any other join or exchange of them
+        above = [line for line in plan[:i] if depth(line) < depth(plan[i]) and ("Join" in line or "Repartition" in line)]
+        assert "getbit(" in above[-1]
+    assert made
+
+
+def test_pieces_of_texts_that_no_keyword_has_go(spark):
+    texts = [f"text {i} of many" for i in range(50)] + ["\U0001F600a", "ab", "a", ""]
+    words = ["a", "\U0001F600a", "many", "7 of many", "text 41 of many", "no such text", "b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, title string")
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(words)], "keyword string, rank int")
+    got, want = text.flag_keywords_from_table(df, table), text.flag_keywords(df, "title", words)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r["gram"] for r in text.cut_keywords(table.select(F.col("keyword").alias("word"), F.col("rank").alias("labels")), text.SIZES).where("labels < 4").collect()} == {
+        "a", "\U0001F600a", "man", "any", "7 of m", " of ma", "of man", "f many"}
+
+
 def test_topics_strip_blank_and_lists(spark):
     assert values(spark, ["RESEARCH", "ear", None, "Export Administration Regulations"], lambda c: text.topic_flag(c, "ear")) == [True, False, False, True]
     assert values(spark, ["  a b\t\n", "", None], text.strip) == ["a b", "", None]
